@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from quern.llm import bpe, url_filter
+from quern.llm import bpe, simhash, url_filter
 
-MODULES = (bpe, url_filter)
+MODULES = (bpe, simhash, url_filter)
 
 
 def queries() -> dict:
