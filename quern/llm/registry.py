@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from quern.llm import bpe, simhash, url_filter
+from quern.llm import bpe, mixing, simhash, url_filter
 
-MODULES = (bpe, simhash, url_filter)
+MODULES = (bpe, mixing, simhash, url_filter)
 
 
 def queries() -> dict:
