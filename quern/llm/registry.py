@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from quern.llm import bpe, mixing, simhash, toxicity, url_filter
+from quern.llm import bpe, html_text, mixing, simhash, toxicity, url_filter
 
-MODULES = (bpe, mixing, simhash, toxicity, url_filter)
+MODULES = (bpe, html_text, mixing, simhash, toxicity, url_filter)
 
 
 def queries() -> dict:
