@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from quern.llm import bpe, html_text, mixing, permutation_index, quality, simhash, toxicity, training_order, url_filter
+from quern.llm import bm25, bpe, html_text, mixing, permutation_index, quality, simhash, toxicity, training_order, url_filter
 
-MODULES = (bpe, html_text, mixing, permutation_index, quality, simhash, toxicity, training_order, url_filter)
+MODULES = (bm25, bpe, html_text, mixing, permutation_index, quality, simhash, toxicity, training_order, url_filter)
 
 
 def queries() -> dict:
