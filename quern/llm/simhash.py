@@ -151,8 +151,8 @@ def _small_cells(fp: np.ndarray, start: np.ndarray, stop: np.ndarray, radius: in
 SMALL = 16
 
 
-def links(points: DataFrame, radius: int = 4, groups: int | None = None) -> DataFrame:
-    """(u, v): links between distinct fingerprints (column fp) within ``radius`` bits, enough to join each component."""
+def links(points: DataFrame, radius: int = 4, groups: int | None = None, most: int = BLOCK, small: int = SMALL) -> DataFrame:
+    """(u, v): links between distinct fingerprints (column fp) within ``radius`` bits, enough to join each component. most: points of a cell that a task holds, twice."""
     groups = groups or radius + 3
     masks = _axes(groups)
     # A pair within the radius agrees in groups - radius groups at least.
@@ -162,7 +162,7 @@ def links(points: DataFrame, radius: int = 4, groups: int | None = None) -> Data
     ordered = cells.repartition("choice", "cell").sortWithinPartitions("choice", "cell", "fp")
 
     def within(batches):
-        """Cells in order. A cell beyond BLOCK points is passed on in numbered blocks (choice -1: a link)."""
+        """Cells in order. A cell beyond ``most`` points is passed on in numbered blocks (choice -1: a link)."""
         names = ["choice", "cell", "block", "u", "v"]
 
         def out(choice, cell, block, u, v):
@@ -189,13 +189,13 @@ def links(points: DataFrame, radius: int = 4, groups: int | None = None) -> Data
                 yield out(kind[: stop[0]], cell[: stop[0]], np.full(stop[0], passed), fp[: stop[0]], fp[: stop[0]])
                 start, stop, passed = start[1:], stop[1:], 0
             sizes = stop - start
-            few = (sizes > 1) & (sizes <= SMALL)
+            few = (sizes > 1) & (sizes <= small)
             yield found(_small_cells(fp, start[few], stop[few], radius))
-            for s, e in zip(start[sizes > SMALL].tolist(), stop[sizes > SMALL].tolist()):
+            for s, e in zip(start[sizes > small].tolist(), stop[sizes > small].tolist()):
                 yield found(_forest(fp[s:e], None, radius))
             rest = tuple(x[keep:] for x in (kind, cell, fp))
-            while len(rest[2]) > BLOCK:
-                n = BLOCK
+            while len(rest[2]) > most:
+                n = most
                 yield out(rest[0][:n], rest[1][:n], np.full(n, passed), rest[2][:n], rest[2][:n])
                 passed += 1
                 rest = tuple(x[n:] for x in rest)
@@ -204,7 +204,7 @@ def links(points: DataFrame, radius: int = 4, groups: int | None = None) -> Data
         for batch in batches:
             fresh = [np.asarray(batch.column(k)) for k in range(3)]
             joined = [np.concatenate([h, f.astype(h.dtype) if k < 2 else f.astype(np.int64).view(np.uint64)]) for k, (h, f) in enumerate(zip(held, fresh))]
-            # A cell of up to BLOCK points stays in hand; more points than that make a further block.
+            # A cell of up to ``most`` points stays in hand; more points than that make a further block.
             held = yield from settle(*joined, last=False)
         yield from settle(*held, last=True)
 
@@ -212,7 +212,7 @@ def links(points: DataFrame, radius: int = 4, groups: int | None = None) -> Data
     first = cut(ordered.select("choice", "cell", "fp").mapInArrow(within, kinds))
     done = first.where("choice = -1").select("u", "v")
     blocks = first.where("choice >= 0")
-    # Most inputs have no cell beyond BLOCK points; then there is nothing more to do.
+    # Most inputs have no cell beyond ``most`` points; then there is nothing more to do.
     shape = blocks.groupBy("choice", "cell").agg(F.max("block").alias("top"))
     if shape.isEmpty():
         return done

@@ -57,7 +57,7 @@ def test_odd_rows(spark):
     assert got(spark, []) == []
 
 
-def test_random_fingerprints_against_all_pairs(spark, monkeypatch):
+def test_random_fingerprints_against_all_pairs(spark):
     rng = np.random.default_rng(5)
     centres = rng.integers(0, 1 << 63, 60, dtype=np.uint64)
     points = set(centres.tolist())
@@ -78,9 +78,7 @@ def test_random_fingerprints_against_all_pairs(spark, monkeypatch):
             break
         label = new
     for block, small in ((8192, 16), (3, 2)):  # the second: many cells are worked through in blocks
-        monkeypatch.setattr(simhash, "BLOCK", block)
-        monkeypatch.setattr(simhash, "SMALL", small)
-        edges = simhash.links(frame)
+        edges = simhash.links(frame, most=block, small=small)
         found = {r.node & (1 << 64) - 1: r.component for r in components(edges).collect()}
         groups = Counter()
         mine = {}
