@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
+from quern.plans import lists, usage
+
+MODULES = (usage, lists)
+
 
 def queries() -> dict:
-    return {}
+    return {name: query for module in MODULES for name, query in module.QUERIES.items()}
 
 
 def oracle_sql() -> dict:
-    return {}
+    return {name: sql for module in MODULES for name, sql in module.ORACLE_SQL.items()}
