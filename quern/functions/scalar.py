@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import Column, functions as F
 
 
@@ -201,8 +202,6 @@ def first_intent(text: Column, rules: list[tuple[str, tuple[str, ...]]], default
 
 def truncate_middle(text: Column, limit: int = 32_768) -> Column:
     """Texts beyond ``limit`` UTF-8 bytes keep head and tail with a notice between, cut between characters."""
-    import pandas as pd
-
     @F.pandas_udf("string")
     def run(batch: pd.Series) -> pd.Series:
         def cut(t):

@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from quern.plans import lists, usage
+from quern.plans import content, flows, lists, usage
 
-MODULES = (usage, lists)
+MODULES = (usage, lists, content, flows)
 
 
 def queries() -> dict:
