@@ -17,7 +17,7 @@ def lines(df: DataFrame, text: str = "text", keep: tuple[str, ...] = ()) -> Data
 
 def files(spark, folder: str, glob: str = "*", skipped: tuple[str, ...] = SKIPPED) -> DataFrame:
     """(path, text) of the text files below ``folder`` whose names fit ``glob``, without hidden and skipped folders."""
-    found = spark.read.option("recursiveFileLookup", "true").option("pathGlobFilter", glob).option("wholetext", "true").text(folder)
+    found = spark.read.text(folder, wholetext=True, recursiveFileLookup=True, pathGlobFilter=glob)
     rows = found.select(F.col("_metadata.file_path").alias("path"), F.col("value").alias("text"))
     inner = F.slice(F.split(F.substring_index("path", folder.rstrip("/"), -1), "/"), 1, 1000)
     return rows.where(~F.exists(inner, lambda p: p.isin(*skipped) | p.startswith(".")))

@@ -63,7 +63,7 @@ def token_budget_tail_realigned(spark, d):
 
 @query("SELECT p_brand, p_partkey, row_number() OVER (PARTITION BY p_brand ORDER BY p_retailprice DESC, p_partkey) AS turn FROM part")
 def interleaved_brands(spark, d):
-    return Q.interleave(read(spark, d, "part"), "p_brand", [F.desc("p_retailprice"), "p_partkey"]).select("p_brand", "p_partkey", "turn")
+    return Q.interleave(read(spark, d, "part"), "p_brand", [F.desc("p_retailprice"), "p_partkey"]).select("p_brand", "p_partkey", F.col("turn").cast("long").alias("turn"))
 
 
 @query()

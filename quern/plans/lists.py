@@ -77,7 +77,7 @@ def launcher_candidates(spark, d):
     name = F.lower("p_name")
     ladder = F.when(name == "red", 100).when(name.startswith("red"), 90).when(name.contains(" red"), 88).when(name.contains("red"), 80 - F.instr(name, "red")).otherwise(0)
     score = ladder + F.when(F.col("p_size") > 40, 1000).otherwise(0)
-    return read(spark, d, "part").select("p_partkey", score.alias("score")).where("score % 1000 > 0").orderBy(F.desc("score"), "p_partkey").limit(20)
+    return read(spark, d, "part").select("p_partkey", score.cast("long").alias("score")).where("score % 1000 > 0").orderBy(F.desc("score"), "p_partkey").limit(20)
 
 
 # Joins.
@@ -273,7 +273,7 @@ def union_first_wins(spark, d):
     ids = read(spark, d, "documents").select(F.col("doc_id").alias("id"))
     a = ids.where("id % 3 = 0").withColumn("rank", F.row_number().over(W.orderBy("id")))
     b = ids.where("id % 2 = 0").withColumn("rank", F.row_number().over(W.orderBy(F.desc("id"))))
-    return merge.union_first([a, b], ["id"], ["rank"])
+    return merge.union_first([a, b], ["id"], ["rank"]).withColumn("rank", F.col("rank").cast("long"))
 
 
 @query("SELECT p_partkey FROM (SELECT *, row_number() OVER (PARTITION BY p_brand, p_type ORDER BY src, p_partkey) AS m FROM (SELECT *, row_number() OVER (PARTITION BY lower(p_name) ORDER BY src, p_partkey) AS n FROM (SELECT *, CASE WHEN p_size > 25 THEN 0 ELSE 1 END AS src FROM part)) WHERE n = 1) WHERE m = 1")
