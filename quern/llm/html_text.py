@@ -48,10 +48,10 @@ CLOSES_P = frozenset(
 SAME = {"li": ({"li"}, {"ul", "ol", "menu"}), "dt": ({"dt", "dd"}, {"dl"}), "dd": ({"dt", "dd"}, {"dl"}), "option": ({"option"}, {"select"}), "tr": ({"tr", "td", "th"}, {"table"}), "td": ({"td", "th"}, {"tr", "table"}), "th": ({"td", "th"}, {"tr", "table"})}
 HEADINGS = frozenset("h1 h2 h3 h4 h5 h6 hgroup header".split())
 #: Elements that never hold main text.
-SKIP = frozenset("head script style noscript template iframe object embed svg math nav footer aside form button select option textarea input label dialog menu canvas audio video map noembed noframes".split())
+SKIP = frozenset("head script style noscript template iframe object embed svg math nav footer aside form button select option textarea input label dialog menu search canvas audio video map noembed noframes".split())
 #: Words in a class, id or role that mark an element as boilerplate.
 MARKS = frozenset(
-    "ad ads advert adverts advertisement advertising adsense banner banners breadcrumb breadcrumbs comment comments contentinfo alert alerts aside cookie cookies consent copyright discussion disqus footer gdpr masthead menu menus menubar modal nav navbar navigation newsletter notice notices notification notifications pager pagination popular popup promo promoted promotion recommended recommendations related reply replies sidebar share sharing signup skip social sponsor sponsored sponsors subscribe subscription toolbar topbar trending widget widgets".split()
+    "ad adbox adcontainer ads adslot adunit advert adverts advertisement advertising adsense banner banners breadcrumb breadcrumbs comment commentlist comments complementary contentinfo alert alerts aside cookie cookiebanner cookiebar cookies consent copyright discussion disqus footer gdpr masthead menu menus menubar modal nav navbar navigation newsletter notice notices notification notifications pager pagination popular popup promo promoted promotion recommended recommendations related reply replies sidebar sidenav share sharing signup skip social sponsor sponsored sponsors subscribe subscription toolbar topbar topnav usercomments trending widget widgets".split()
 )
 
 
