@@ -22,17 +22,22 @@ import re
 import sys
 import unicodedata
 from functools import lru_cache
-from itertools import chain, islice
+from itertools import chain, islice, repeat
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 #: Units (a run of non-spaces with the space before it) taken at once from a long text.
-CHUNK_WORDS = 200_000
-#: Entries of the tables of encoded units and words (some 60 MB each); they are emptied beyond that.
-MAX_UNITS, MAX_WORDS = 400_000, 400_000
-#: Unicode White_Space (fixed values).
+CHUNK_WORDS = 500_000
+#: Positions of a rank from which a merge is done on all of them at once.
+MANY = 24
+#: Keys of a generation of a table of encoded strings (some 16 MB).
+MAX_KEYS = 80_000
+#: Marks the first piece of a text: a character that no valid text holds.
+FIRST = "\udcff"
+WHITE = "".join(chr(c) for c in range(0x3001) if chr(c).isspace() and not 0x1C <= c <= 0x1F)
+#: Unicode White_Space, inside a character class (fixed values).
 SPACES = "\t-\r \x85\xa0  -     　"
 
 
@@ -55,20 +60,52 @@ def _class_of(*initials: str) -> str:
 
 
 @lru_cache(1)
-def patterns() -> tuple[re.Pattern, re.Pattern, re.Pattern]:
-    """(units, words, uneven): the pre-tokenizer pattern in two steps, in the standard library's syntax.
+def patterns() -> tuple[re.Pattern, re.Pattern]:
+    """(units, words): the pre-tokenizer pattern in two steps, in the standard library's syntax.
 
     A unit is a run of non-spaces with at most one space before it, or white space. No match of the pre-tokenizer
-    pattern crosses the border of a unit or depends on what lies beyond it, so units can be split on their own. Where
-    ``uneven`` finds nothing, white space stands alone between other characters, and a text's units are what splitting
-    at spaces gives (with a line end kept before what follows it).
+    pattern crosses the border of a unit or depends on what lies beyond it, so units can be split on their own.
     """
     letters, numbers = _class_of("L"), _class_of("N")
     units = re.compile(rf" ?[^{SPACES}]+|[{SPACES}]+(?![^{SPACES}])|[{SPACES}]+")
     words = re.compile(
         rf"'s|'t|'re|'ve|'m|'ll|'d| ?[{letters}]+| ?[{numbers}]+| ?[^{SPACES}{letters}{numbers}]+|[{SPACES}]+(?![^{SPACES}])|[{SPACES}]+"
     )
-    return units, words, re.compile(rf"[{SPACES}][{SPACES}]|\A[{SPACES}]|[{SPACES}]\Z")
+    return units, words
+
+
+class Table:
+    """Encoded strings, at most two generations of MAX_KEYS and one chunk: what a full generation's successor meets again is carried over, the rest is forgotten."""
+
+    def __init__(self):
+        self.now: dict[str, bytes | None] = {}
+        self.old: dict[str, bytes | None] = {}
+
+    def missing(self, found) -> set[str]:
+        """The keys of ``found`` that must be encoded; all others are in ``now`` afterwards."""
+        if len(self.now) > MAX_KEYS:
+            self.now, self.old = {}, self.now
+        new = set(found).difference(self.now)
+        if self.old:
+            again = new & self.old.keys()
+            self.now.update((k, self.old[k]) for k in again)
+            new -= again
+        return new
+
+
+def piece_words(piece: str) -> list[str] | None:
+    """The words of what stands between two spaces: a space (none at the start of a text or before a line end) and the piece. None where white space touches the piece's ends, so that its words depend on its neighbours."""
+    if piece.isalpha():
+        return [" " + piece]
+    if piece[:-1].isalpha() and piece[-1] in ".,;:!?|":
+        return [" " + piece[:-1], piece[-1]]
+    head = piece[:1] if piece[:1] in (FIRST, "\n") else ""
+    rest = piece[len(head) :]
+    if not rest or rest != rest.strip(WHITE):
+        return None
+    if head == FIRST:
+        return patterns()[1].findall(rest)
+    return patterns()[1].findall((head or " ") + rest)
 
 
 class Codec:
@@ -91,9 +128,8 @@ class Codec:
         for b, i in ranks.items():
             if len(b) == 2:
                 self.pairs[b[0] * 256 + b[1]] = i
-        self.pieces: dict[str, bytes] = {}
-        self.units: dict[str, bytes] = {}
-        self.words: dict[str, bytes] = {}
+        self.table: list[bytes | None] = [self.bytes_of.get(i) for i in range(self.border)]
+        self.pieces, self.units, self.words = Table(), Table(), Table()
 
     def replay(self, words: list[bytes]) -> list[bytes]:
         """Ids of each word, as little-endian unsigned 32-bit integers."""
@@ -120,9 +156,10 @@ class Codec:
         if len(order):
             cuts = np.flatnonzero(np.diff(code[order], prepend=-1))
             index = {int(code[p[0]]): p.tolist() for p in np.split(order, cuts[1:])}
-        at = code.tolist()  # the rank of the pair that starts here; -1: none
-        symbol = symbols.tolist()
-        after, before = list(range(1, total + 1)), list(range(-1, total - 1))
+        # Arrays for steps over many positions, and views of the same memory for steps over few.
+        at_all, symbol_all = code, symbols  # at: the rank of the pair that starts here; -1: none
+        after_all, before_all = np.arange(1, total + 1), np.arange(-1, total - 1)
+        at, symbol, after, before = (memoryview(x) for x in (at_all, symbol_all, after_all, before_all))
         merged, posted, push, pop, shift = self.merged.get, index.get, heapq.heappush, heapq.heappop, self.shift
         heap = list(index)
         heapq.heapify(heap)
@@ -131,8 +168,44 @@ class Codec:
             todo = index.pop(rank, None)
             if todo is None:
                 continue
-            todo.sort()
             high = rank << shift
+            if len(todo) >= MANY:
+                here = np.sort(np.array(todo))
+                here = here[np.diff(here, prepend=-1) > 0]
+                here = here[at_all[here] == rank]
+                gone = after_all[here]
+                right, left = after_all[gone], before_all[here]
+                # Neighbours as they will be: one that merges in this step, too, is the new symbol.
+                beyond = np.where(at_all[right] == rank, rank, symbol_all[right])
+                outer = before_all[left]
+                joins = (outer >= 0) & (at_all[outer] == rank)
+                ahead = np.where(joins, rank, symbol_all[left])
+                new_right = list(map(merged, (high | beyond).tolist(), repeat(-1)))
+                new_left = list(map(merged, ((ahead << shift) | rank).tolist(), repeat(-1)))
+                low = [r for r in new_right if 0 <= r < rank] or [r for r in new_left if 0 <= r < rank]
+                # Pairs that overlap, or a lower rank that comes up, need the order of positions.
+                if not low and not (at_all[gone] == rank).any():
+                    after_all[here] = right
+                    before_all[right] = here
+                    symbol_all[here] = rank
+                    at_all[gone] = -1
+                    symbol_all[gone] = -1
+                    left = np.where(joins, outer, left)
+                    at_all[left] = new_left
+                    at_all[here] = new_right
+                    found, places = np.array(new_right + new_left), np.concatenate([here, left])
+                    order = np.argsort(found, kind="stable")
+                    order = order[np.searchsorted(found[order], 0) :]
+                    found, places = found[order], places[order].tolist()
+                    cuts = [*np.flatnonzero(np.diff(found, prepend=-1)).tolist(), len(found)]
+                    for r, start, stop in zip(found[cuts[:-1]].tolist(), cuts, cuts[1:]):
+                        if (posts := posted(r)) is None:
+                            index[r] = places[start:stop]
+                            push(heap, r)
+                        else:
+                            posts.extend(places[start:stop])
+                    continue
+            todo.sort()
             for k, i in enumerate(todo):
                 if at[i] != rank:
                     continue
@@ -166,72 +239,73 @@ class Codec:
                     index.setdefault(rank, []).extend(todo[k + 1 :])
                     push(heap, rank)
                     break
-        ids = np.array(symbol, dtype=np.int64)
+        ids = symbol_all
         keep = np.flatnonzero((ids >= 0) & place)
         where = np.searchsorted(keep, starts)
         data = ids[keep].astype("<u4").tobytes()
         stop = np.append(where[1:], len(keep))
         return [data[4 * a : 4 * b] for a, b in zip(where.tolist(), stop.tolist())]
 
-    def learn(self, table: dict[str, bytes], found, spaced: bool) -> None:
-        """Encode the keys of ``found`` that ``table`` lacks. spaced: a key stands for a space and itself, if it doesn't begin with a line end."""
-        if len(table) > MAX_UNITS:
-            table.clear()
-        missing = list(set(found).difference(table))
-        if not missing:
+    def learn(self, table: "Table", found, split) -> None:
+        """Encode the keys of ``found`` that ``table`` lacks. split: the words of a key, or None if it has no meaning of its own."""
+        parts = {key: split(key) for key in table.missing(found)}
+        if not parts:
             return
-        split = patterns()[1].findall
-        if spaced:
-            parts = [split(u if u[0] == "\n" else " " + u) for u in missing]
-        else:
-            parts = [split(u) for u in missing]
-        if len(self.words) > MAX_WORDS:
-            self.words.clear()
-        new = list(set(chain.from_iterable(parts)).difference(self.words))
-        self.words.update(zip(new, self.replay([w.encode() for w in new])))
         known = self.words
-        table.update((u, b"".join([known[w] for w in p])) for u, p in zip(missing, parts))
+        new = list(known.missing(chain.from_iterable(p for p in parts.values() if p)))
+        known.now.update(zip(new, self.replay([w.encode() for w in new])))
+        get = known.now.__getitem__
+        table.now.update((key, None if p is None else get(p[0]) if len(p) == 1 else b"".join(map(get, p))) for key, p in parts.items())
 
     def encode(self, texts: list[str | None]) -> list[bytes]:
         """Ids of each text, as little-endian unsigned 32-bit integers."""
         out: list[bytes] = []
-        #: (units, pieces) of each text: a plain text's first unit and its pieces, another text's units.
-        group: list[tuple[list[str], list[str]]] = []
+        group: list[list[str]] = []
+        whole: list[str] = []
         size = 0
-        find, uneven = patterns()[0], patterns()[2].search
+        find, split = patterns()[0], patterns()[1].findall
+
+        def by_units(text: str) -> bytes:
+            """For texts whose white space doesn't stand alone, and very long ones."""
+            done, run = [], find.finditer(text)
+            while units := [m[0] for m in islice(run, CHUNK_WORDS)]:
+                self.learn(self.units, units, split)
+                done.append(b"".join(map(self.units.now.__getitem__, units)))
+            return b"".join(done)
 
         def flush() -> None:
-            nonlocal group, size
-            self.learn(self.units, chain.from_iterable(u for u, _ in group), False)
-            self.learn(self.pieces, chain.from_iterable(p for _, p in group), True)
-            unit, piece = self.units.__getitem__, self.pieces.__getitem__
-            out.extend(b"".join(chain(map(unit, u), map(piece, p))) for u, p in group)
-            group, size = [], 0
+            nonlocal group, whole, size
+            self.learn(self.pieces, chain.from_iterable(group), piece_words)
+            get = self.pieces.now.__getitem__
+            for text, pieces in zip(whole, group):
+                try:
+                    out.append(b"".join(map(get, pieces)))
+                except TypeError:  # a piece is None
+                    out.append(by_units(text))
+            group, whole, size = [], [], 0
 
         for text in texts:
             text = text or ""
-            if len(text) > 16 * CHUNK_WORDS:
+            if len(text) > 8 * CHUNK_WORDS:
                 flush()
-                done, run = [], find.finditer(text)
-                while units := [m[0] for m in islice(run, CHUNK_WORDS)]:
-                    self.learn(self.units, units, False)
-                    done.append(b"".join(map(self.units.__getitem__, units)))
-                out.append(b"".join(done))
+                out.append(by_units(text))
                 continue
-            if text and not uneven(text):
-                first, *pieces = text.replace("\n", " \n").split(" ")
-                group.append(([first], pieces))
-            else:
-                group.append((find.findall(text), []))
-            size += len(group[-1][0]) + len(group[-1][1])
+            # The mark tells the first piece, which has no space before it, from the same piece further on.
+            pieces = f"{FIRST}{text}".replace("\n", " \n").split(" ") if text else []
+            group.append(pieces)
+            whole.append(text)
+            size += len(pieces)
             if size >= CHUNK_WORDS:
                 flush()
         flush()
         return out
 
     def decode(self, ids: bytes | None) -> bytes:
-        get = self.bytes_of.get
-        return b"".join([get(i, b"") for i in np.frombuffer(ids or b"", dtype="<u4").tolist()])
+        found = np.frombuffer(ids or b"", dtype="<u4").tolist()
+        try:
+            return b"".join(map(self.table.__getitem__, found))
+        except (IndexError, TypeError):
+            return b"".join([self.bytes_of.get(i, b"") for i in found])
 
 
 @lru_cache(2)
@@ -259,6 +333,18 @@ def decode_column(ids: Column, ranks_path: str | None = None) -> Column:
     return run(ids)
 
 
+def round_trip_column(text: Column, ranks_path: str | None = None) -> Column:
+    """Struct of token_ids and decoded, both from one pass: as two columns the ids would be made twice."""
+
+    @F.pandas_udf("token_ids binary, decoded binary")
+    def run(batch: pd.Series) -> pd.DataFrame:
+        made = codec(ranks_path)
+        ids = made.encode(batch.tolist())
+        return pd.DataFrame({"token_ids": ids, "decoded": [made.decode(x) for x in ids]})
+
+    return run(text)
+
+
 def encode(docs: DataFrame, text_col: str = "text", into: str = "token_ids", ranks_path: str | None = None) -> DataFrame:
     """``docs`` with the ids of ``text_col`` as packed unsigned 32-bit integers. ``ranks_path``: the rank file on every worker; by default the installed public one."""
     return docs.withColumn(into, encode_column(F.col(text_col), ranks_path))
@@ -275,12 +361,12 @@ def op9_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def digests(docs: DataFrame) -> DataFrame:
-    both = decode(encode(docs)).drop("text")
+    both = docs.select("doc_id", round_trip_column(F.col("text")).alias("__made"))
     return both.select(
         "doc_id",
-        (F.octet_length("token_ids") / 4).cast("long").alias("n_tokens"),
-        F.sha2("token_ids", 256).alias("ids_sha256"),
-        F.sha2("decoded", 256).alias("decoded_sha256"),
+        (F.octet_length("__made.token_ids") / 4).cast("long").alias("n_tokens"),
+        F.sha2("__made.token_ids", 256).alias("ids_sha256"),
+        F.sha2("__made.decoded", 256).alias("decoded_sha256"),
     )
 
 

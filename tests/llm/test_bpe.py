@@ -49,6 +49,15 @@ def test_words_where_a_lower_rank_comes_up_late():
         assert np.frombuffer(codec.replay([word.encode()])[0], dtype="<u4").tolist() == own.encode_ordinary(word)
 
 
+@pytest.mark.parametrize("many", [1, 2, 10**9])
+def test_steps_over_many_positions(library, monkeypatch, many):
+    monkeypatch.setattr(bpe, "MANY", many)
+    codec = bpe.codec(None)
+    words = ["banana", "aaaaaaa", "ababababab", "internationalisation", "mississippi", "x", "", "éééé", "ththththe", "  "] * 5
+    for word, ids in zip(words, codec.replay([w.encode() for w in words])):
+        assert np.frombuffer(ids, dtype="<u4").tolist() == library._encode_single_piece(word) if word else ids == b""
+
+
 def test_long_text_in_pieces(library, monkeypatch):
     monkeypatch.setattr(bpe, "CHUNK_WORDS", 7)
     text = "the quick  brown\n\nfox jumps " * 40
@@ -65,3 +74,7 @@ def test_query_on_odd_rows(spark, library):
         want = np.array(library.encode_ordinary(text), dtype="<u4").tobytes()
         assert (r.n_tokens, r.ids_sha256, r.decoded_sha256) == (len(want) // 4, hashlib.sha256(want).hexdigest(), hashlib.sha256(text.encode()).hexdigest())
     assert bpe.digests(docs.where("false")).collect() == []
+    plan = bpe.digests(docs)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("run(") <= 2  # one Python pass
+    both = bpe.decode(bpe.encode(docs)).collect()
+    assert all(bytes(r.decoded) == (r.text or "").encode() for r in both)
