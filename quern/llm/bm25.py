@@ -31,7 +31,7 @@ from pyspark.sql import DataFrame, SparkSession, Window as W, functions as F
 from quern.llm.shared import cut, shared_folder
 
 K1, B = 1.2, 0.75
-SHARD, WIDTH, DENSE = 8192, 64, 0.02
+SHARD, WIDTH, DENSE = 8192, 16, 0.2
 #: Queries and bytes of their texts in a block, about; documents in a task, about, and tasks at least.
 BLOCK_QUERIES, QUERY_BYTES, TASK_DOCS, TASKS = 8192, 48 << 20, 20_000, 6
 _TERM = re.compile(r"\w+")
