@@ -29,20 +29,28 @@ def gram_hashes(codes: np.ndarray, sizes: range, bits: int):
 
 
 class Rows:
-    """Sparse rows: row i has the columns ``cols[at[i]:at[i + 1]]`` with the values ``vals``."""
+    """Sparse rows: row i has the columns ``rows[i]``, with the values of ``vals[i]``, or ones without ``vals``; ``scale`` multiplies columns. Indices are kept in 32 bits."""
 
-    def __init__(self, rows: list[tuple[np.ndarray, np.ndarray]], width: int):
-        self.width = width
-        self.size = np.array([len(c) for c, _ in rows], dtype=np.int64)
-        self.cols = np.concatenate([c for c, _ in rows]) if rows else np.zeros(0, np.int64)
-        self.vals = np.concatenate([v for _, v in rows]) if rows else np.zeros(0)
-        self.row = np.repeat(np.arange(len(rows)), self.size)
+    def __init__(self, rows: list[np.ndarray], width: int, vals: list[np.ndarray] | None = None, scale: np.ndarray | None = None):
+        self.width, self.scale = width, scale
+        self.n = len(rows)
+        self.cols = np.concatenate(rows).astype(np.int32) if rows else np.zeros(0, np.int32)
+        self.vals = np.concatenate(vals) if vals else None
+        self.row = np.repeat(np.arange(self.n, dtype=np.int32), [len(c) for c in rows])
 
     def times(self, w: np.ndarray) -> np.ndarray:
-        return np.bincount(self.row, weights=w[self.cols] * self.vals, minlength=len(self.size))
+        w = w if self.scale is None else w * self.scale
+        found = w[self.cols]
+        if self.vals is not None:
+            found *= self.vals
+        return np.bincount(self.row, weights=found, minlength=self.n)
 
     def sum(self, g: np.ndarray) -> np.ndarray:
-        return np.bincount(self.cols, weights=g[self.row] * self.vals, minlength=self.width)
+        found = g[self.row]
+        if self.vals is not None:
+            found *= self.vals
+        out = np.bincount(self.cols, weights=found, minlength=self.width)
+        return out if self.scale is None else out * self.scale
 
 
 def sigmoid(z):

@@ -77,7 +77,7 @@ def metadata(text: str | None, keys: tuple) -> tuple[np.ndarray, np.ndarray]:
 
 def _platt(z: np.ndarray, y: np.ndarray) -> tuple[float, float]:
     """Slope and intercept that turn scores into log-odds."""
-    w, b = logistic(Rows([(np.zeros(1, np.int64), np.array([v])) for v in z], 1), y, l2=1e-3)
+    w, b = logistic(Rows([np.zeros(1, np.int32)] * len(z), 1, [np.array([v]) for v in z]), y, l2=1e-3)
     return float(w[0]), b
 
 
@@ -115,13 +115,17 @@ def fit(texts: list, keys: list[tuple], labels: np.ndarray, rounds: int = ROUNDS
     pool = np.flatnonzero(np.isnan(labels))
     given: list[dict[int, float]] = [{}, {}]
 
+    def sparse(view: int, rows: np.ndarray) -> Rows:
+        some = [found[view][i] for i in rows.tolist()]
+        return Rows([c for c, _ in some], widths[view], [v for _, v in some])
+
     def fitted(view: int):
         rows = np.concatenate([base, np.array(list(given[view]), dtype=np.int64)])
         y = np.concatenate([labels[base], np.array(list(given[view].values()))])
-        return logistic(Rows([found[view][i] for i in rows.tolist()], widths[view]), y, l2=0.05)
+        return logistic(sparse(view, rows), y, l2=0.05)
 
     def raw(view: int, model, rows: np.ndarray) -> np.ndarray:
-        return Rows([found[view][i] for i in rows.tolist()], widths[view]).times(model[0]) + model[1]
+        return sparse(view, rows).times(model[0]) + model[1]
 
     models = [fitted(0), fitted(1)]
     for _ in range(rounds if len(pool) else 0):
@@ -142,7 +146,7 @@ def fit(texts: list, keys: list[tuple], labels: np.ndarray, rounds: int = ROUNDS
         models = [fitted(0), fitted(1)]
     calibration = [_platt(raw(v, models[v], aside), labels[aside]) for v in (0, 1)]
     odds = np.stack([calibration[v][0] * raw(v, models[v], aside) + calibration[v][1] for v in (0, 1)], axis=1)
-    mix, intercept = logistic(Rows([(np.arange(2), r) for r in odds], 2), labels[aside], l2=0.05)
+    mix, intercept = logistic(Rows([np.arange(2)] * len(odds), 2, list(odds)), labels[aside], l2=0.05)
     return Model([(w.astype(np.float32), b) for w, b in models], calibration, tuple(mix.tolist()), intercept)
 
 

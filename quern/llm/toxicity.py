@@ -26,7 +26,7 @@ from quern.llm.linear import Rows, codes_of, gram_hashes, logistic, sigmoid
 
 BITS, SIZES = 20, range(3, 6)
 #: Labelled rows that a model is fitted on at most; weights that a model has at most; documents that a kept n-gram is in at least.
-SAMPLE, KEEP, LEAST = 6_000, 60_000, 3
+SAMPLE, KEEP, LEAST = 4_000, 60_000, 3
 SMOOTH, L2, THRESHOLD = 0.5, 0.05, 0.3
 
 
@@ -68,10 +68,16 @@ def fit(texts: list[str | None], labels: np.ndarray) -> Model:
         return Model(none, np.zeros(0), float(np.log(max(share, 1e-9) / max(1 - share, 1e-9))))
     grams = [features(t) for t in texts]
     width = 1 << BITS
-    flat = np.concatenate(grams)
-    weight = np.repeat(labels, [len(g) for g in grams])
-    toxic = np.bincount(flat, weights=weight, minlength=width)
-    every = np.bincount(flat, minlength=width)
+
+    def documents(chosen: np.ndarray) -> np.ndarray:
+        """In how many of the chosen documents each bucket is."""
+        out = np.zeros(width, dtype=np.int64)
+        for k in range(0, len(chosen), 500):
+            out += np.bincount(np.concatenate([grams[i] for i in chosen[k : k + 500].tolist()]), minlength=width)
+        return out
+
+    toxic = documents(np.flatnonzero(labels > 0))
+    every = toxic + documents(np.flatnonzero(labels == 0))
     # Counts of documents, relative to the number of documents of the class.
     p = (toxic + SMOOTH) / (labels.sum() + 2 * SMOOTH)
     q = (every - toxic + SMOOTH) / (len(labels) - labels.sum() + 2 * SMOOTH)
@@ -80,14 +86,12 @@ def fit(texts: list[str | None], labels: np.ndarray) -> Model:
     worth = np.where(every >= LEAST, np.abs(ratio) * np.sqrt(every), 0)
     kept = np.sort(np.argpartition(-worth, KEEP)[:KEEP])
     kept = kept[worth[kept] > 0]
-    place = np.full(width, -1, dtype=np.int64)
+    place = np.full(width, -1, dtype=np.int32)
     place[kept] = np.arange(len(kept))
-    rows = []
-    for g in grams:
+    for i, g in enumerate(grams):
         cols = place[g]
-        cols = cols[cols >= 0]
-        rows.append((cols, ratio[kept][cols]))
-    w, intercept = logistic(Rows(rows, len(kept)), labels, l2=L2 * len(labels) / 1000)
+        grams[i] = cols[cols >= 0]
+    w, intercept = logistic(Rows(grams, len(kept), scale=ratio[kept]), labels, l2=L2 * len(labels) / 1000)
     return Model(kept, w * ratio[kept], intercept)
 
 

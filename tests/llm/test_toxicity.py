@@ -37,7 +37,7 @@ def test_logistic_reaches_a_flat_gradient():
     rng = np.random.default_rng(0)
     x = rng.normal(size=(200, 4))
     y = (x @ [1, -2, 0.5, 0] + rng.normal(size=200) > 0).astype(float)
-    w, b = logistic(Rows([(np.arange(4), r) for r in x], 4), y, l2=0.5, steps=200)
+    w, b = logistic(Rows([np.arange(4)] * len(x), 4, list(x)), y, l2=0.5, steps=200)
     g = sigmoid(x @ w + b) - y
     assert np.abs(x.T @ g + 0.5 * w).max() < 0.05 and abs(g.sum()) < 0.05
 
