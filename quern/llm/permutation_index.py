@@ -1,7 +1,8 @@
 """Approximate nearest neighbours by inner product with a permutation index.
 
-Fitting: PIVOTS vectors (those with the smallest hash of the id) serve as pivots. A vector is represented by the order of
-its POSTED nearest pivots; it is posted, with the position, in the file of each of them. The posting files of a shard are
+Fitting: PIVOTS vectors serve as pivots: of the POOL distinct vectors with the smallest hash of the id, each the one whose
+direction is farthest from those taken before, so that neither copies nor near copies of one vector fill the places (pivots
+alike move as one block in every order and drown the rest). A vector is represented by the order of its POSTED nearest pivots; it is posted, with the position, in the file of each of them. The posting files of a shard are
 kept as one array of positions a pivot, where a vector that isn't posted has the mean of the positions left over.
 
 Search: a query orders all pivots; walking their files adds up the footrule distance |position in the query's order -
@@ -30,6 +31,7 @@ from quern.llm.shared import cut
 
 PIVOTS, POSTED, RERANK = 128, 64, 0.16
 SHARD, BLOCK, LEAST = 8192, 4096, 400
+POOL = 16 * PIVOTS
 
 
 def usable(vector: Column) -> Column:
@@ -47,6 +49,20 @@ def _matrix(column, dim: int) -> np.ndarray:
     return flat.flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(-1, dim)
 
 
+def far_apart(pool: np.ndarray, most: int) -> np.ndarray:
+    """Up to ``most`` rows in order of choice: the first, then always the one with the smallest largest cosine to those chosen."""
+    unit = pool / np.abs(pool).max(axis=1, keepdims=True)
+    unit /= np.linalg.norm(unit, axis=1, keepdims=True)
+    chosen, nearest_one = [0], unit @ unit[0]
+    nearest_one[0] = np.inf
+    while len(chosen) < min(most, len(pool)):
+        i = int(np.argmin(nearest_one))
+        chosen.append(i)
+        nearest_one = np.maximum(nearest_one, unit @ unit[i])
+        nearest_one[i] = np.inf
+    return pool[chosen]
+
+
 class PermutationIndex:
     """The posting files of one shard. ids ascend; vectors in rows."""
 
@@ -98,7 +114,8 @@ def nearest(vectors: DataFrame, queries: DataFrame, k: int = 20, id_col: str = "
     every = every.where(F.size("v") == dim)
     asked = slim(queries).where(F.size("v") == dim)
     asked = cut(asked.withColumn("mark", F.xxhash64("v")))
-    pivots = np.array([r["v"] for r in every.orderBy(F.xxhash64("id"), "id").limit(PIVOTS).collect()], dtype=np.float64)
+    distinct = every.groupBy("v").agg(F.min(F.struct(F.xxhash64("id").alias("hash"), "id")).alias("first"))
+    pivots = far_apart(_matrix(distinct.orderBy("first").limit(POOL).select("v").toArrow()["v"], dim), PIVOTS)
     top = max(shape["top"], float(np.einsum("ij,ij->i", pivots, pivots).max()))
     shards = -(-n // SHARD)
     blocks = max(1, -(-asked.count() // BLOCK))

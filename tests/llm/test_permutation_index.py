@@ -1,4 +1,5 @@
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from quern.llm import permutation_index as pi
@@ -68,3 +69,31 @@ def test_footrule_by_hand():
     pivots = np.eye(4)
     index = pi.PermutationIndex(pivots, 1.0, np.array([1, 2]), np.array([[0.9, 0.3, 0.2, 0.1], [0.1, 0.2, 0.3, 0.9]]), posted=2)
     assert index.files.T.tolist() == [[0, 1, 3, 3], [3, 3, 1, 0]]
+
+
+@pytest.mark.parametrize("noise", [0.0, 0.001, 0.02, 0.05])
+def test_recall_with_one_vector_or_near_copies_on_a_third_of_the_rows(spark, noise):
+    rng = np.random.default_rng(3)
+    n, k = 16_384, 20
+    x = rng.normal(size=(n, 64))
+    hot = rng.random(n) < 1 / 3
+    centre = rng.normal(size=64)
+    x[hot] = centre / np.linalg.norm(centre) + noise * rng.normal(size=(hot.sum(), 64))
+    x = (x / np.linalg.norm(x, axis=1, keepdims=True)).astype("f4")
+    rows = spark.createDataFrame(pa.table({"vec_id": np.arange(n), "embedding": pa.array(list(x), pa.list_(pa.float32()))}))
+    got = {}
+    for r in pi.nearest(rows, rows.where("vec_id % 128 = 0"), k).collect():
+        got.setdefault(r.query_id, []).append(r.score)
+    share = []
+    for q in range(0, n, 128):
+        scores = np.float64(x) @ np.float64(x[q])
+        scores[q] = -np.inf
+        least = np.sort(scores)[-k]
+        share.append(sum(s >= least - 1e-12 for s in got[q]) / k)
+    assert np.mean(share) >= 0.9
+
+
+def test_pivots_are_distinct_and_apart():
+    pool = np.array([[1.0, 0.0], [1.0, 1e-6], [2.0, 0.0], [0.0, 1.0], [-1.0, 0.1]])
+    assert pi.far_apart(pool, 3).tolist() == [[1.0, 0.0], [-1.0, 0.1], [0.0, 1.0]]
+    assert sorted(pi.far_apart(pool, 9).tolist()) == sorted(pool.tolist())
