@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, functions as F
 
@@ -156,19 +157,43 @@ def fnv1a(text: Column) -> Column:
 
     @F.pandas_udf("string")
     def run(batch: pd.Series) -> pd.Series:
-        def one(t):
-            if t is None:
-                return None
-            h, data = 0x811C9DC5, t.encode("utf-16-le", "surrogatepass")
-            for i in range(0, len(data), 2):
-                h = (h ^ (data[i] | data[i + 1] << 8)) * 0x01000193 & 0xFFFFFFFF
-            return f"{h:08x}"
-
-        return batch.map(one)
+        return pd.Series(fnv1a_hashes(batch.tolist()), index=batch.index, dtype=object)
 
     return run(text)
 
 
+def fnv1a_hashes(texts: list[str | None], most: int = 4_000_000) -> list[str | None]:
+    """FNV-1a of each text. Texts are hashed side by side, longest first: step i takes unit i of all that have one. A few long texts are hashed one by one, and some ``most`` units are held at once."""
+    out: list[str | None] = [None] * len(texts)
+    units = {i: np.frombuffer(t.encode("utf-16-le", "surrogatepass"), dtype="<u2") for i, t in enumerate(texts) if t is not None}
+    order = sorted(units, key=lambda i: -len(units[i]))
+    start = 0
+    while start < len(order):
+        longest = max(1, len(units[order[start]]))
+        part = order[start : start + max(1, most // longest)]
+        start += len(part)
+        lengths = np.array([len(units[i]) for i in part])
+        grid = np.zeros((longest, len(part)), dtype=np.uint32)
+        for column, i in enumerate(part):
+            grid[: lengths[column], column] = units[i]
+        hashes = np.full(len(part), 0x811C9DC5, dtype=np.uint32)
+        # Texts that have a unit at each step: a prefix, since lengths descend.
+        having = np.searchsorted(-lengths, -np.arange(longest), side="left")
+        step = 0
+        while step < longest and having[step] > 8:
+            n = having[step]
+            hashes[:n] = (hashes[:n] ^ grid[step, :n]) * np.uint32(0x01000193)
+            step += 1
+        for column in range(having[step] if step < longest else 0):
+            h = int(hashes[column])
+            for u in grid[step : lengths[column], column].tolist():
+                h = (h ^ u) * 0x01000193 & 0xFFFFFFFF
+            hashes[column] = h
+        for i, h in zip(part, hashes.tolist()):
+            out[i] = f"{h:08x}"
+    return out
+
+
 def canonical_json(text: Column) -> Column:
     """JSON with sorted keys and no spaces; null if it is none (Arrow batches)."""
 

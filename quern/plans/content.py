@@ -278,7 +278,7 @@ def edit_distances(spark, d):
 
 @query()
 def fingerprints_fnv(spark, d):
-    return read(spark, d, "documents").select("doc_id", T.fnv1a(F.substring("text", 1, 200)).alias("hash"))
+    return read(spark, d, "documents").select("doc_id", T.fnv1a(F.col("text")).alias("hash"))
 
 
 @query()

@@ -167,3 +167,20 @@ def test_csv_and_file_scans(spark, tmp_path):
     found = T.files(spark, str(tmp_path), "*.py")
     assert [r.path.rsplit("/", 1)[1] for r in found.collect()] == ["m.py"]
     assert [(r.line_no, r.line) for r in T.lines(found).orderBy("line_no").collect()] == [(1, "a"), (2, "b"), (3, "c")]
+
+
+def test_fingerprints_are_of_whole_texts(spark, tmp_path):
+    def plain(t):
+        h, data = 0x811C9DC5, t.encode("utf-16-le", "surrogatepass")
+        for i in range(0, len(data), 2):
+            h = (h ^ (data[i] | data[i + 1] << 8)) * 0x01000193 & 0xFFFFFFFF
+        return f"{h:08x}"
+
+    from quern.plans import registry
+
+    texts = ["", "a", "é中😀", "x" * 200 + "a", "x" * 200 + "b", "y" * 5000, None] + [f"{i} " * (i % 50) for i in range(300)]
+    for most in (1, 700, 4_000_000):
+        assert T.fnv1a_hashes(texts, most) == [None if t is None else plain(t) for t in texts]
+    spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    got = {r.doc_id: r.hash for r in registry.queries()["fingerprints_fnv"](spark, str(tmp_path)).collect()}
+    assert got == {i: None if t is None else plain(t) for i, t in enumerate(texts)}
