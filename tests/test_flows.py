@@ -184,3 +184,12 @@ def test_fingerprints_are_of_whole_texts(spark, tmp_path):
     spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
     got = {r.doc_id: r.hash for r in registry.queries()["fingerprints_fnv"](spark, str(tmp_path)).collect()}
     assert got == {i: None if t is None else plain(t) for i, t in enumerate(texts)}
+
+
+def test_line_diffs_take_every_document(spark, tmp_path):
+    from quern.plans import registry
+
+    texts = {1: "a. b\nc", 2: "same\nlines", 7: "x. x. x", 10: "p. q", 23: "one"}
+    spark.createDataFrame(list(texts.items()), "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    got = {r.doc_id: (r.added, r.deleted) for r in registry.queries()["line_diffs"](spark, str(tmp_path)).collect()}
+    assert got == {1: (2, 1), 2: (0, 0), 7: (3, 1), 10: (2, 1), 23: (0, 0)}
