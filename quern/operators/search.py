@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+import tempfile
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, functions as F
@@ -12,6 +13,7 @@ from quern.operators.merge import union_first
 MOST_TOKENS, SHORT = 8, 3
 STATUSES = ("active", "warm")
 K1, B = 1.2, 0.75
+COMMON = 4096
 
 
 def tokens_of(query: str) -> list[str]:
@@ -112,25 +114,71 @@ def render(rows: list, budget: int = 8000, most: int = 2000) -> str:
     return "".join(out)
 
 
-def near_duplicates(df: DataFrame, group: str, url: Column, title: str, order: str, share: float = 0.82) -> DataFrame:
-    """Rows that stay when, in order, a row goes whose normalised URL was seen or whose title's character pairs overlap those of a kept row by ``share`` (Jaccard). Greedy, so one group is worked through in order."""
-    import pandas as pd
-
-    def pairs(t) -> set[str]:
-        t = "".join((t or "").lower().split())
-        return {t[i : i + 2] for i in range(len(t) - 1)} or {t}
-
-    def run(frame: pd.DataFrame) -> pd.DataFrame:
-        frame, seen, kept, keep = frame.sort_values(order, kind="stable"), set(), [], []
-        for u, t in zip(frame["__url"], frame[title]):
-            p = pairs(t)
-            fine = u not in seen and not any(len(p & q) >= share * len(p | q) for q in kept)
-            seen.add(u)
-            if fine:
-                kept.append(p)
-            keep.append(fine)
-        return frame[keep].drop(columns="__url")
-
-    return df.withColumn("__url", url).groupBy(group).applyInPandas(run, df.schema)
-
-
+def _cut(df: DataFrame) -> DataFrame:
+    """``df`` written to the shared folder (spark.checkpoint.dir; a folder of our own only on a local master) and read back."""
+    sc = df.sparkSession.sparkContext
+    if sc.getCheckpointDir() is None:
+        folder = df.sparkSession.conf.get("spark.checkpoint.dir", None)
+        if not folder and (not sc.master.startswith("local") or sc.master.startswith("local-cluster")):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        sc.setCheckpointDir(folder or tempfile.mkdtemp(prefix="quern-checkpoints-"))
+    return df.checkpoint(eager=True)
+
+
+def title_pairs(title: Column) -> Column:
+    """The distinct character pairs of a title in lower case and without white space, sorted; a title of fewer than two characters has none."""
+    t = F.regexp_replace(F.lower(F.coalesce(title, F.lit(""))), r"(?U)\s+", "")
+    pairs = F.transform(F.sequence(F.lit(1), F.length(t) - 1), lambda i: F.substring(t, i, F.lit(2)))
+    return F.when(F.length(t) >= 2, F.sort_array(F.array_distinct(pairs))).otherwise(F.array().cast("array<string>"))
+
+
+def similar_sets(sets: DataFrame, share: float) -> DataFrame:
+    """(a, b), both ways, of the ``sets`` (g, s, pairs) of one g whose Jaccard overlap is ``share`` at least. Two such sets share one of the rarest few elements of each (prefix filter)."""
+    size = F.size("pairs")
+    each = sets.select("g", "s", F.explode("pairs").alias("x"))
+    # Any one order of all elements will do; the most common few thousand come last, by how common they are.
+    common = each.groupBy("x").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "x").limit(COMMON)
+    ordered = each.join(F.broadcast(common), "x", "left").groupBy("g", "s").agg(F.sort_array(F.collect_list(F.struct(F.coalesce("n", F.lit(0)).alias("n"), "x"))).alias("o"))
+    ordered = ordered.select("g", "s", F.col("o.x").alias("pairs"))
+    prefix = F.slice("pairs", F.lit(1), (size - F.ceil(size * share - 1e-9) + 1).cast("int"))
+    heads = _cut(ordered.select("g", "s", "pairs", size.alias("n"), F.posexplode(prefix).alias("at", "x")))
+    left, right = (heads.select("g", "x", *[F.col(c).alias(f"{c}{i}") for c in ("s", "pairs", "n", "at")]) for i in (1, 2))
+    least = (F.col("n1") + F.col("n2")) * (share / (1 + share)) - 1e-6
+    # What can still be shared from the first shared element on.
+    rest = F.least(F.col("n1") - F.col("at1"), F.col("n2") - F.col("at2"))
+    near = left.join(right, ["g", "x"]).where((F.col("s1") < F.col("s2")) & (rest >= least))
+    both = F.size(F.array_intersect("pairs1", "pairs2"))
+    found = near.where(both >= share * (F.col("n1") + F.col("n2") - both)).select(F.col("s1").alias("a"), F.col("s2").alias("b")).distinct()
+    return found.union(found.select("b", "a"))
+
+
+def near_duplicates(df: DataFrame, group: str | None, url: Column, title: str, order: str, share: float = 0.82) -> DataFrame:
+    """Rows that stay when, in order (a unique column), a row goes whose normalised URL is that of a kept row or whose title's character pairs overlap those of a kept row by ``share`` (Jaccard). Titles of fewer than two characters are like no other. Without ``group``, over all rows.
+
+    The result is that of the greedy scan, but worked out in rounds of joins: of the rows not yet decided, those first among
+    all that their URL and title are alike to are kept, and what is alike to them goes. Equal titles are one set of pairs, so
+    copies cost no pairs of rows; similar but unequal titles cost one row for each pair of sets.
+    """
+    g = F.col(group).cast("string") if group else F.lit("")
+    slim = df.select(F.col(order).alias("n"), F.coalesce(g, F.lit("")).alias("g"), url.alias("u"), title_pairs(F.col(title)).alias("pairs"))
+    name = F.sha2(F.to_json(F.struct("g", "pairs")), 256)
+    slim = _cut(slim.withColumn("u", F.sha2(F.to_json(F.struct("g", "u")), 256)).withColumn("s", F.when(F.size("pairs") > 0, name)))
+    sets = slim.where("s IS NOT NULL").groupBy("g", "s").agg(F.first("pairs").alias("pairs"))
+    alike = _cut(similar_sets(sets, share))
+    # Of equal URL and title only the first can be kept.
+    whole = slim.where("s IS NULL").select("n", "u", "s").union(slim.where("s IS NOT NULL").groupBy("u", "s").agg(F.min("n").alias("n")).select("n", "u", "s"))
+    left, kept = _cut(whole), None
+    while not left.isEmpty():
+        by_set = left.where("s IS NOT NULL").groupBy("s").agg(F.min("n").alias("first"))
+        near = alike.join(by_set.withColumnRenamed("s", "b"), "b").select(F.col("a").alias("s"), "first")
+        by_set = by_set.union(near).groupBy("s").agg(F.min("first").alias("of_set"))
+        by_url = left.groupBy("u").agg(F.min("n").alias("of_url"))
+        here = left.join(by_url, "u").join(by_set, "s", "left")
+        now = _cut(here.where((F.col("n") == F.col("of_url")) & (F.col("n") == F.coalesce("of_set", "n"))).select("n", "u", "s"))
+        kept = now if kept is None else kept.union(now)
+        own = now.where("s IS NOT NULL").select("s").distinct()
+        gone = own.union(alike.join(own.withColumnRenamed("s", "b"), "b").select(F.col("a").alias("s"))).distinct()
+        left = _cut(left.join(now.select("u").distinct(), "u", "left_anti").join(gone, "s", "left_anti").select("n", "u", "s"))
+    if kept is None:
+        return df
+    return df.join(kept.select(F.col("n").alias(order)), order, "left_semi").select(*df.columns)

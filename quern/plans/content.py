@@ -219,8 +219,8 @@ def normalized_urls(spark, d):
 
 @query()
 def near_duplicate_pages(spark, d):
-    pages = read(spark, d, "pages").select("page_id", "url", T.page_title(F.col("html")).alias("title"), F.try_parse_url("url", F.lit("HOST")).alias("host"))
-    return K.near_duplicates(pages, "host", S.normal_url(F.col("url")), "title", "page_id").select("page_id")
+    pages = read(spark, d, "pages").select("page_id", "url", T.page_title(F.col("html")).alias("title"))
+    return K.near_duplicates(pages, None, S.normal_url(F.col("url")), "title", "page_id").select("page_id")
 
 
 @query("SELECT doc_id, position, paragraph FROM (SELECT doc_id, position, trim(p) AS paragraph FROM (SELECT doc_id, unnest(generate_series(0, len(l) - 1)) AS position, unnest(l) AS p FROM (SELECT doc_id, string_split(replace(text, chr(10), chr(10) || chr(10)), chr(10) || chr(10)) AS l FROM documents))) WHERE length(paragraph) >= 20")

@@ -193,3 +193,31 @@ def test_line_diffs_take_every_document(spark, tmp_path):
     spark.createDataFrame(list(texts.items()), "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
     got = {r.doc_id: (r.added, r.deleted) for r in registry.queries()["line_diffs"](spark, str(tmp_path)).collect()}
     assert got == {1: (2, 1), 2: (0, 0), 7: (3, 1), 10: (2, 1), 23: (0, 0)}
+
+
+def test_near_duplicate_pages_meet_across_hosts(spark, tmp_path):
+    import random
+
+    from quern.plans import registry
+
+    def pairs(t):
+        t = "".join(t.lower().split())
+        return {t[i : i + 2] for i in range(len(t) - 1)}
+
+    rnd = random.Random(5)
+    words = ["".join(rnd.choice("abcdefgh") for _ in range(rnd.randint(2, 9))) for _ in range(60)]
+    titles = [" ".join(rnd.choice(words) for _ in range(rnd.randint(1, 7))) for _ in range(60)]
+    near = lambda t: t if rnd.random() < 0.3 else t + rnd.choice("xyz ") if rnd.random() < 0.5 else t[: rnd.randint(len(t) // 2, len(t))]
+    rows = [(0, "http://www.a.com/x", "first title of all"), (1, "http://A.com/x/", "quite something else"), (2, "http://b.org/y", "First title  of all"), (3, "http://c.org/", ""), (4, "http://d.org/", "")]
+    rows += [(i, f"http://{rnd.choice(['', 'www.'])}h{rnd.randint(1, 40)}.com/{rnd.randint(1, 6)}", near(rnd.choice(titles))) for i in range(5, 500)]
+    plain = lambda u: u.lower().removeprefix("http://").removeprefix("www.").rstrip("/")
+    kept, want = [], []
+    for i, u, t in rows:
+        p = pairs(t)
+        if all(plain(u) != v and not (p and q and len(p & q) >= 0.82 * len(p | q)) for v, q in kept):
+            kept.append((plain(u), p))
+            want.append(i)
+    assert want[:3] == [0, 3, 4]
+    html = [(i, u, f"<html><title>{t}</title></html>") for i, u, t in rows]
+    spark.createDataFrame(html, "page_id long, url string, html string").write.parquet(f"{tmp_path}/pages.parquet")
+    assert ids(registry.queries()["near_duplicate_pages"](spark, str(tmp_path)), "page_id") == want
