@@ -8,8 +8,9 @@
    down to a window of WINDOW times the largest size left, and bounded-knapsack dynamic programming over the sizes still
    available fits the window: it finds the reachable sum nearest to the budget.
 4. Selection: of the documents of one (source, size) the wanted number is taken in the order of a seeded hash of the id.
-   Groups are cut into ranges of that hash of some RANGE rows; whole ranges are taken by count, and only the range in
-   which the number runs out is ranked. So no task sees more of a group than a range.
+   Groups are cut into ranges of that hash of some RANGE rows; whole ranges are taken or left by count, and only the rows of
+   the range in which the number runs out are ranked. So no task sees more of a group than a range. Groups that hold more
+   than a HOT-th of all documents (fewer than HOT of them, so their facts can be broadcast) are never shuffled by their key.
 
 Defined results
 * size: runs of characters other than ASCII white space; null and empty texts have size 0 and are never taken.
@@ -31,11 +32,17 @@ WEIGHTS, CAP, SEED = (5, 2, 1), 3, 42
 #: The dynamic program covers budgets up to so many times the largest size that may still be taken.
 WINDOW = 4
 #: Rows of a (source, size) that are ranked together, about.
-RANGE = 20_000
+RANGE = 1_000
+#: A (source, size) with more than this part of all documents is hot.
+HOT = 1_000
+#: ASCII white space (fixed values).
+WHITE = " \t\n\x0b\f\r"
 
 
 def size_of(text: Column) -> Column:
-    return F.coalesce(F.regexp_count(text, F.lit(r"[^\x20\x09-\x0D]+")).cast("long"), F.lit(0).cast("long"))
+    """Words of a text: each is put down to one letter and white space is taken out, which needs no list of the words."""
+    marks = F.translate(F.regexp_replace(text, r"[^\x20\x09-\x0D]++", "x"), WHITE, "")
+    return F.coalesce(F.length(marks).cast("long"), F.lit(0).cast("long"))
 
 
 def share(sizes: np.ndarray, weights: np.ndarray, cap: float) -> np.ndarray:
@@ -75,7 +82,8 @@ def fit(sizes: np.ndarray, counts: np.ndarray, budget: int, window: int = WINDOW
         left[k] -= n
         rest -= n * size
     # Bounded knapsack: which sums up to the window can be reached, as bits; the first item that reaches each.
-    top = rest + int(sizes[left > 0].min(initial=0))
+    # A sum above the budget can only be the nearest if it is above by less than the smallest size left.
+    top = rest + (int(sizes[left > 0].min()) if (left > 0).any() else 0)
     reach, items, full = 1, [], (1 << (top + 1)) - 1
     new_bits: list[int] = []
     for k in order[::-1].tolist():
@@ -119,13 +127,13 @@ def targets(by_size: DataFrame, weights=WEIGHTS, cap: float = CAP) -> DataFrame:
     return per_source.groupBy(F.lit("all").alias("every")).applyInPandas(run, f"source {kind}, source_size long, target double")
 
 
-def plan(by_size: DataFrame, goals: DataFrame) -> DataFrame:
+def plan(by_size: DataFrame, goals: DataFrame, cap: float = CAP) -> DataFrame:
     """(source, size, n, passes, extra): every document of the size is taken ``passes`` times, ``extra`` of the n once more."""
 
     def run(frame: pd.DataFrame) -> pd.DataFrame:
         total, goal = int(frame["source_size"].iloc[0]), float(frame["target"].iloc[0])
         passes = int(goal // total) if total else 0
-        if total and passes < CAP and round(goal) - passes * total >= total:
+        if total and passes < cap and round(goal) - passes * total >= total:
             passes += 1
         sizes, counts = frame["size"].to_numpy(), frame["n"].to_numpy()
         extra = np.zeros(len(frame), dtype=np.int64)
@@ -145,26 +153,35 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
     slim = cut(docs.select(F.col(id_col).alias("id"), F.col(source_col).alias("source"), size_of(F.col(text_col)).alias("size")).withColumn("h", order))
     by_size = cut(slim.groupBy("source", "size").agg(F.count("*").alias("n")))
     goals = cut(targets(by_size, weights, cap))
-    wanted = cut(plan(by_size, goals))
-    facts = wanted.join(goals, wanted["source"].eqNullSafe(goals["source"])).drop(goals["source"])
+    wanted = plan(by_size, goals, cap)
+    facts = cut(wanted.join(goals, wanted["source"].eqNullSafe(goals["source"])).drop(goals["source"]))
+    hot = facts.where(F.col("n") * HOT > slim.count() + HOT).select(F.col("source").alias("s2"), F.col("size").alias("z2"))
+    same = F.col("source").eqNullSafe(F.col("s2")) & (F.col("size") == F.col("z2"))
+
+    def along(rows: DataFrame, table: DataFrame) -> DataFrame:
+        """``rows`` with the columns of ``table`` (one row a group): hot groups by broadcast, the others by a shuffle."""
+        few = F.broadcast(table.join(F.broadcast(hot), same, "left_semi").withColumnsRenamed({"source": "s2", "size": "z2"}))
+        rest = rows.join(F.broadcast(hot), same, "left_anti")
+        every = table.withColumnsRenamed({"source": "s2", "size": "z2"})
+        return rows.join(few, same).drop("s2", "z2").unionByName(rest.join(every, same).drop("s2", "z2"))
 
-    both = slim.alias("d").join(facts.alias("f"), F.col("d.source").eqNullSafe(F.col("f.source")) & (F.col("d.size") == F.col("f.size")))
-    known = both.select("d.id", "d.source", "d.size", "d.h", "f.source_size", "f.target", "f.n", "f.passes", "f.extra")
     # The top 31 bits of the hash deal a group's rows to ranges in the order of the hash.
     high = F.shiftright(F.col("h"), 33) + F.lit(1 << 30)
-    ranges = F.ceil(F.col("n") / F.lit(RANGE))
-    known = known.withColumn("part", F.floor(high * ranges / F.lit(float(1 << 31))).cast("long"))
-    settled = known.where((F.col("extra") == 0) | (F.col("extra") == F.col("n"))).withColumn("once_more", F.col("extra") > 0)
-    split = known.where((F.col("extra") > 0) & (F.col("extra") < F.col("n")))
-
-    key = W.partitionBy("source", "size")
-    counts = split.groupBy("source", "size", "part").agg(F.count("*").alias("in_part"))
-    before = counts.withColumn("before", F.sum("in_part").over(key.orderBy("part").rowsBetween(W.unboundedPreceding, -1)))
-    before = before.select(F.col("source").alias("s2"), F.col("size").alias("z2"), F.col("part").alias("p2"), F.coalesce("before", F.lit(0)).alias("before"))
-    placed = split.join(before, F.col("source").eqNullSafe(F.col("s2")) & (F.col("size") == F.col("z2")) & (F.col("part") == F.col("p2"))).drop("s2", "z2", "p2")
-    rank = F.row_number().over(W.partitionBy("source", "size", "part").orderBy("h", "id"))
-    placed = placed.withColumn("once_more", rank + F.col("before") <= F.col("extra")).drop("before")
-    every = settled.unionByName(placed)
+    part = F.floor(high * F.ceil(F.col("n") / F.lit(RANGE)) / F.lit(float(1 << 31))).cast("long")
+    known = cut(along(slim, facts).withColumn("part", part))
+    some = (F.col("extra") > 0) & (F.col("extra") < F.col("n"))
+    # The range of each group in which the number runs out, and how many of it are taken.
+    counts = known.where(some).groupBy("source", "size", "part", "extra").agg(F.count("*").alias("in_part"))
+    before = F.coalesce(F.sum("in_part").over(W.partitionBy("source", "size").orderBy("part").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
+    edge = counts.withColumn("before", before).where((F.col("before") < F.col("extra")) & (F.col("before") + F.col("in_part") >= F.col("extra")))
+    edge = cut(edge.select("source", "size", F.col("part").alias("edge"), (F.col("extra") - F.col("before")).alias("rest")))
+
+    settled = known.where(~some).withColumn("once_more", F.col("extra") > 0)
+    split = along(known.where(some), edge)
+    whole = split.where(F.col("part") != F.col("edge")).withColumn("once_more", F.col("part") < F.col("edge"))
+    rank = F.row_number().over(W.partitionBy("source", "size").orderBy("h", "id"))
+    ranked = split.where(F.col("part") == F.col("edge")).withColumn("once_more", rank <= F.col("rest"))
+    every = settled.unionByName(whole.drop("edge", "rest")).unionByName(ranked.drop("edge", "rest"))
     times = F.col("passes") + F.col("once_more").cast("long")
     return every.select(F.col("id").alias(id_col), "size", "source_size", "target", F.when(F.col("size") > 0, F.col("size") * times).otherwise(0).alias("taken"))
 

@@ -2,22 +2,27 @@
 
 Fitting: PIVOTS vectors serve as pivots: of the POOL distinct vectors with the smallest hash of the id, each the one whose
 direction is farthest from those taken before, so that neither copies nor near copies of one vector fill the places (pivots
-alike move as one block in every order and drown the rest). A vector is represented by the order of its POSTED nearest pivots; it is posted, with the position, in the file of each of them. The posting files of a shard are
-kept as one array of positions a pivot, where a vector that isn't posted has the mean of the positions left over.
-
-Search: a query orders all pivots; walking their files adds up the footrule distance |position in the query's order -
-position in the vector's order| of every vector of the shard. The RERANK share with the smallest distance (ties to the
-smaller id) is scored exactly, and the best k of all shards are merged. So that nearness follows the inner product for
-vectors of any length, orders are taken after each vector is lifted to the largest norm by one more component.
-
-Scale: index rows are dealt to shards of some SHARD rows by a hash of the id, queries to blocks of BLOCK; a task holds one
-shard and one block. Of equal vectors the k + 1 with the smallest ids are indexed, as no other can be among a query's k
-nearest; this limit is applied before the shuffle, so a very common vector fills no task.
+alike move as one block in every order and drown the rest). A vector is represented by the order of its POSTED nearest
+pivots and posted, with the pivot's place in that order, in the inverted file of each of them.
+
+Search: a query orders the pivots and walks the files of its WALKED nearest ones only. Every posting met lowers the footrule
+distance (the sum of |place in the query's order - place in the vector's order|; a pivot that a vector isn't posted under
+counts with the mean of the places left over), so vectors are ranked by what the walk finds. The RERANK share of the shard
+with the smallest distance, DEPTH for each neighbour wanted at least (ties to the smaller id), is scored exactly, and the
+best k of all shards are merged. So that nearness follows the inner product for vectors of any length, orders are taken after
+each vector is lifted to the largest norm by one more component.
+
+Scale: vectors are dealt to shards of some SHARD rows by a hash, once; a shard's inverted files are written to the shared
+folder as one row. Queries go to the tasks in broadcast blocks of some BLOCK rows, and a block is one pass over the files; a
+task keeps the best k of each query over all its shards. So neither the vectors nor the queries are multiplied in a shuffle.
+Of equal vectors the k + 1 with the smallest ids are indexed, as no other can be among a query's k nearest; this limit is
+applied before the shuffle, so a very common vector fills no task.
 
 Defined results
-* vectors that are null, empty or zero, hold null or non-finite components, or differ from the most common dimension take
-  no part, neither as queries nor as candidates; rows without an id take no part.
-* rows alike in id and vector count once; rows with the query's id are its own and no candidates.
+* vectors that are null, empty or zero, hold null or non-finite components, or differ from the most common dimension (no
+  inner product with most others) take no part, neither as queries nor as candidates; rows without an id take no part.
+* rows alike in id and vector count once; rows with the query's id are its own and no candidates. Of different vectors under
+  one id the nearest counts as the candidate, and each as a query of its own.
 * ties in the score go to the smaller id; fewer candidates than k: all of them. Other columns are not read.
 """
 
@@ -29,8 +34,10 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window as W, functions
 
 from quern.llm.shared import cut
 
-PIVOTS, POSTED, RERANK = 128, 64, 0.16
-SHARD, BLOCK, LEAST = 8192, 4096, 400
+PIVOTS, POSTED, WALKED, RERANK, DEPTH = 256, 64, 32, 0.16, 20
+SHARD, BLOCK = 8192, 16_384
+#: Shards that a task works on in turn, about, and tasks at least.
+PER_TASK, TASKS = 8, 32
 POOL = 16 * PIVOTS
 
 
@@ -63,89 +70,124 @@ def far_apart(pool: np.ndarray, most: int) -> np.ndarray:
     return pool[chosen]
 
 
-class PermutationIndex:
-    """The posting files of one shard. ids ascend; vectors in rows."""
-
-    def __init__(self, pivots: np.ndarray, top: float, ids: np.ndarray, vectors: np.ndarray, posted: int = POSTED):
-        self.pivots, self.top, self.ids, self.vectors = pivots, top, ids, vectors
-        n = len(pivots)
-        self.posted = min(posted, n)
-        order = np.argsort(-self._near(vectors), axis=1, kind="stable")[:, : self.posted]
-        files = np.full((len(ids), n), (self.posted + n) // 2, dtype=np.uint8)
-        np.put_along_axis(files, order, np.arange(self.posted, dtype=np.uint8)[None, :], axis=1)
-        self.files = np.ascontiguousarray(files.T)
-
-    def _near(self, vectors: np.ndarray) -> np.ndarray:
-        """Inner products with the pivots, both lifted to the largest norm."""
-        lift = lambda v: np.sqrt(np.maximum(self.top - np.einsum("ij,ij->i", v, v), 0.0))
-        return vectors @ self.pivots.T + np.outer(lift(vectors), lift(self.pivots))
-
-    def search(self, queries: np.ndarray, own: np.ndarray, k: int, rerank: float = RERANK):
-        """For each query (rows, and the ids that are their own): positions and scores of its k nearest found."""
-        n = len(self.ids)
-        wanted = min(n, max(LEAST, k + 1, int(np.ceil(rerank * n))))
-        orders = np.argsort(-(queries @ self.pivots.T), axis=1, kind="stable")
-        place = np.empty_like(orders)
-        np.put_along_axis(place, orders, np.arange(len(self.pivots))[None, :], axis=1)
-        place = place.astype(np.uint8)
-        row = np.arange(n)
-        for q, at, mine in zip(queries, place, own):
-            if wanted < n:
-                at = at[:, None]
-                footrule = (np.maximum(self.files, at) - np.minimum(self.files, at)).sum(axis=0, dtype=np.uint32)
-                near = np.argpartition(footrule.astype(np.int64) * n + row, wanted - 1)[:wanted]
-            else:
-                near = row
+def pivot_orders(vectors: np.ndarray, pivots: np.ndarray, top: float, most: int) -> np.ndarray:
+    """The ``most`` nearest pivots of each vector in order, vectors and pivots lifted to the squared norm ``top``."""
+    lift = lambda v: np.sqrt(np.maximum(top - np.einsum("ij,ij->i", v, v), 0.0))
+    return np.argsort(-(vectors @ pivots.T + np.outer(lift(vectors), lift(pivots))), axis=1, kind="stable")[:, :most]
+
+
+class InvertedFiles:
+    """The inverted files of one shard. ids ascend, vectors in rows; the file of pivot p is rows[starts[p] : starts[p + 1]], with their places."""
+
+    def __init__(self, ids, vectors, starts, rows, places):
+        self.ids, self.vectors, self.starts, self.rows, self.places = ids, vectors, starts, rows, places
+
+    @classmethod
+    def build(cls, ids: np.ndarray, vectors: np.ndarray, pivots: np.ndarray, top: float, posted: int = POSTED) -> "InvertedFiles":
+        orders = pivot_orders(vectors.astype(np.float64), pivots, top, posted)
+        n, posted = orders.shape
+        by_pivot = np.argsort(orders.ravel(), kind="stable")
+        starts = np.searchsorted(orders.ravel()[by_pivot], np.arange(len(pivots) + 1))
+        return cls(ids, vectors, starts, (by_pivot // posted).astype(np.int32), (by_pivot % posted).astype(np.uint8))
+
+    def search(self, queries: np.ndarray, orders: np.ndarray, own: np.ndarray, k: int, posted: int = POSTED, rerank: float = RERANK, depth: int = DEPTH):
+        """For each query (rows, with its pivots in order and the id that is its own): ids and scores of its k nearest found."""
+        n, missing = len(self.ids), (posted + len(self.starts) - 1) // 2
+        wanted = min(n, max(depth * k, k + 1, int(np.ceil(rerank * n))))
+        once = len(np.unique(self.ids)) == n
+        for q, order, mine in zip(queries, orders, own.tolist()):
+            # The postings of the walked files, one file after the other.
+            sizes = self.starts[order + 1] - self.starts[order]
+            take = np.repeat(self.starts[order] - np.cumsum(sizes) + sizes, sizes) + np.arange(sizes.sum())
+            at = np.repeat(np.arange(len(order)), sizes)
+            nearer = np.bincount(self.rows[take], weights=missing - at - np.abs(at - self.places[take]), minlength=n)
+            near = np.argpartition(np.arange(n) - nearer.astype(np.int64) * n, wanted - 1)[:wanted]
             near = near[self.ids[near] != mine]
-            scores = self.vectors[near] @ q
-            best = np.lexsort((self.ids[near], -scores))[:k]
-            yield near[best], scores[best]
+            scores = self.vectors[near].astype(np.float64) @ q
+            ids = self.ids[near]
+            best = np.lexsort((ids, -scores))
+            if not once:  # of an id its best
+                best = best[np.sort(np.unique(ids[best], return_index=True)[1])]
+            best = best[:k]
+            yield ids[best], scores[best]
+
+
+def _merged(a: tuple[np.ndarray, np.ndarray], b: tuple[np.ndarray, np.ndarray], k: int) -> tuple[np.ndarray, np.ndarray]:
+    """The best k of two lists (ids, scores), an id once."""
+    ids, scores = np.concatenate([a[0], b[0]]), np.concatenate([a[1], b[1]])
+    order = np.lexsort((ids, -scores))
+    order = order[np.sort(np.unique(ids[order], return_index=True)[1])][:k]
+    return ids[order], scores[order]
+
+
+def index(vectors: DataFrame, pivots: np.ndarray, top: float, dim: int, shards: int, posted: int = POSTED) -> DataFrame:
+    """The inverted files of all shards, a row each; ``vectors``: (id, v). Each shard is one task."""
+    kind = "<f4" if vectors.schema["v"].dataType.simpleString() == "array<float>" else "<f8"
+
+    def run(batches):
+        held = [(b.column(0).to_numpy(), _matrix(b.column(1), dim)) for b in batches if b.num_rows]
+        if held:
+            ids, rows = (np.concatenate(x) for x in zip(*held))
+            order = np.argsort(ids, kind="stable")
+            made = InvertedFiles.build(ids[order], rows[order], pivots, top, posted)
+            parts = (made.ids.astype("<i8"), made.vectors.astype(kind), made.starts.astype("<i8"), made.rows.astype("<i4"), made.places)
+            yield pa.RecordBatch.from_arrays([pa.array([p.tobytes()], pa.binary()) for p in parts], names=["ids", "vectors", "starts", "files", "places"])
+
+    shard = F.pmod(F.xxhash64("id", "v"), F.lit(shards)).cast("int")
+    return vectors.repartitionById(shards, shard).sortWithinPartitions("id", "v").mapInArrow(run, "ids binary, vectors binary, starts binary, files binary, places binary")
 
 
-def nearest(vectors: DataFrame, queries: DataFrame, k: int = 20, id_col: str = "vec_id", vector_col: str = "embedding", rerank: float = RERANK) -> DataFrame:
+def nearest(vectors: DataFrame, queries: DataFrame, k: int = 20, id_col: str = "vec_id", vector_col: str = "embedding", rerank: float = RERANK, walked: int = WALKED) -> DataFrame:
     """(query_id, rank, vec_id, score): the k nearest found among ``vectors`` for each row of ``queries``."""
+    spark = vectors.sparkSession
     slim = lambda df: df.select(F.col(id_col).cast("long").alias("id"), F.col(vector_col).alias("v")).where(F.col("id").isNotNull() & usable(F.col("v"))).distinct()
     every = cut(slim(vectors))
     shape = every.groupBy(F.size("v").alias("dim")).agg(F.count("*").alias("n"), F.max(_square(F.col("v"))).alias("top")).orderBy(F.desc("n"), "dim").first()
-    out = "query_id long, mark long, vec_id long, score double"
-    if shape is None:
-        return vectors.sparkSession.createDataFrame([], "query_id long, rank int, vec_id long, score double")
+    asked = cut(slim(queries).where(F.size("v") == (shape["dim"] if shape else 0)))
+    count = asked.count()
+    if shape is None or not count:
+        return spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")
     dim, n = shape["dim"], shape["n"]
+    kind = "<f4" if every.schema["v"].dataType.simpleString() == "array<float>" else "<f8"
     every = every.where(F.size("v") == dim)
-    asked = slim(queries).where(F.size("v") == dim)
-    asked = cut(asked.withColumn("mark", F.xxhash64("v")))
     distinct = every.groupBy("v").agg(F.min(F.struct(F.xxhash64("id").alias("hash"), "id")).alias("first"))
     pivots = far_apart(_matrix(distinct.orderBy("first").limit(POOL).select("v").toArrow()["v"], dim), PIVOTS)
     top = max(shape["top"], float(np.einsum("ij,ij->i", pivots, pivots).max()))
     shards = -(-n // SHARD)
-    blocks = max(1, -(-asked.count() // BLOCK))
 
     first = F.row_number().over(W.partitionBy("v").orderBy("id"))
-    index = every.withColumn("nth", first).where(F.col("nth") <= k + 1).drop("nth")
-    index = index.withColumn("shard", F.pmod(F.xxhash64("id", F.lit(1)), F.lit(shards))).withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
-    spread = asked.withColumn("block", F.pmod(F.xxhash64("id", F.lit(2)), F.lit(blocks)).cast("int")).withColumn("shard", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(shards - 1).cast("long"))))
-
-    def run(left: pa.Table, right: pa.Table) -> pa.Table:
-        empty = {"query_id": pa.array([], pa.int64()), "mark": pa.array([], pa.int64()), "vec_id": pa.array([], pa.int64()), "score": pa.array([], pa.float64())}
-        if not left.num_rows or not right.num_rows:
-            return pa.table(empty)
-        ids = left["id"].to_numpy()
-        order = np.argsort(ids, kind="stable")
-        made = PermutationIndex(pivots, top, ids[order], _matrix(left["v"], dim)[order])
-        own, mark, asks = right["id"].to_numpy(), right["mark"].to_numpy(), _matrix(right["v"], dim)
-        found = list(made.search(asks, own, k, rerank))
-        sizes = [len(a) for a, _ in found]
-        return pa.table({
-            "query_id": np.repeat(own, sizes),
-            "mark": np.repeat(mark, sizes),
-            "vec_id": made.ids[np.concatenate([a for a, _ in found])],
-            "score": np.concatenate([s for _, s in found]),
-        })
-
-    hits = index.groupBy("shard", "block").cogroup(spread.groupBy("shard", "block")).applyInArrow(run, out)
-    rank = F.row_number().over(W.partitionBy("query_id", "mark").orderBy(F.desc("score"), "vec_id"))
-    # Different vectors under one id give different scores for a candidate id; its best counts.
-    best = hits.groupBy("query_id", "mark", "vec_id").agg(F.max("score").alias("score"))
+    few = every.withColumn("nth", first).where(F.col("nth") <= k + 1).drop("nth")
+    files = cut(index(few, pivots, top, dim, shards))
+    if shards > TASKS:
+        files = files.coalesce(max(TASKS, -(-shards // PER_TASK)))
+    blocks = -(-count // BLOCK)
+    out = None
+    for number in range(blocks):
+        mine = asked.where(F.pmod(F.xxhash64("id", "v", F.lit(2)), F.lit(blocks)) == number).orderBy("id", "v").toArrow()
+        shared = spark.sparkContext.broadcast((mine["id"].to_numpy(), _matrix(mine["v"], dim) if mine.num_rows else np.zeros((0, dim)), pivots))
+
+        def run(batches, shared=shared):
+            own, asks, pivots = shared.value
+            posted = min(POSTED, len(pivots))
+            # The lift of a query is the same for all pivots' products but its own length: it doesn't change its order.
+            orders = np.argsort(-(asks @ pivots.T), axis=1, kind="stable")[:, :walked]
+            best = [(np.zeros(0, np.int64), np.zeros(0))] * len(own)
+            for batch in batches:
+                for i in range(batch.num_rows):
+                    ids, rows, starts, files, places = (batch.column(c)[i].as_py() for c in range(5))
+                    shard = InvertedFiles(np.frombuffer(ids, "<i8"), np.frombuffer(rows, kind).reshape(-1, dim), np.frombuffer(starts, "<i8"), np.frombuffer(files, "<i4"), np.frombuffer(places, np.uint8))
+                    for q, found in enumerate(shard.search(asks, orders, own, k, posted, rerank)):
+                        best[q] = _merged(best[q], found, k)
+            for start in range(0, len(best), 1000):
+                some = best[start : start + 1000]
+                at = np.repeat(np.arange(start, start + len(some)), [len(a) for a, _ in some])
+                yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(own[at]), pa.array(np.concatenate([a for a, _ in some])), pa.array(np.concatenate([s for _, s in some]))], names=["query", "query_id", "vec_id", "score"])
+
+        hits = files.mapInArrow(run, "query long, query_id long, vec_id long, score double").withColumn("block", F.lit(number))
+        out = hits if out is None else out.unionByName(hits)
+    key = ["block", "query", "query_id"]
+    best = out.groupBy(*key, "vec_id").agg(F.max("score").alias("score"))
+    rank = F.row_number().over(W.partitionBy(*key).orderBy(F.desc("score"), "vec_id"))
     return best.withColumn("rank", rank).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
 
 

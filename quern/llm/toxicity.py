@@ -1,17 +1,19 @@
 """Toxicity: a linear classifier on character n-grams scaled by naive Bayes log-count ratios.
 
 A text's features are the distinct n-grams (3 to 5 characters, lower-cased, white space as one space) it holds, hashed to
-2**BITS buckets. With p and q the smoothed document counts of a bucket among toxic and other labelled texts, the bucket's
-value is its log ratio r = log(p/|p|) - log(q/|q|); a logistic regression is fitted on the scaled features, and the two
-factors are multiplied into one weight a bucket. Presence, not frequency, counts, so a few toxic words weigh the same in
-a long text as in a short one. Scoring is a map over rows: whole texts, no shuffle.
+2**BITS buckets. With p and q the smoothed numbers of toxic and other labelled texts that hold a bucket, and P and Q the
+smoothed numbers of such texts, the bucket's value is its log ratio r = log(p/P) - log(q/Q); a logistic regression is fitted
+on the scaled features, and the two factors are multiplied into one weight a bucket. Presence, not frequency, counts, so a
+few toxic words weigh the same in a long text as in a short one. Scoring is a map over rows: whole texts, no shuffle.
 
-Fitting takes at most ``sample`` labelled rows (those with the smallest hash of the id), in one task whose size that
-bound fixes; the model is at most KEEP weights.
+Fitting takes at most ``sample`` labelled rows (those with the smallest hash of the id): all tasks join their rows with that
+bounded list, and only the rows found are moved to the one task that fits. ``keep`` bounds the model's weights, ``least``
+leaves out n-grams of fewer labelled texts; both are parameters of ``train``, and scoring knows no bound at all.
 
 Defined results
 * null and empty texts have no features and get the score of the intercept; other columns never enter a score.
 * an id with several labels counts as toxic if one of them is; labels without a document or a value count for nothing.
+  Of several texts under one labelled id the one with the smallest hash is learned from.
 * without labels of both classes there is nothing to learn: every score is the share of toxic labels (0 without any).
 * repeated rows are scored alike; empty tables give empty results; columns named like results are replaced.
 """
@@ -60,7 +62,7 @@ class Model:
         return sigmoid(out)
 
 
-def fit(texts: list[str | None], labels: np.ndarray) -> Model:
+def fit(texts: list[str | None], labels: np.ndarray, keep: int = KEEP, least: int = LEAST) -> Model:
     labels = np.asarray(labels, dtype=float)
     none = np.zeros(0, np.int64)
     if not len(labels) or labels.min() == labels.max():
@@ -83,8 +85,8 @@ def fit(texts: list[str | None], labels: np.ndarray) -> Model:
     q = (every - toxic + SMOOTH) / (len(labels) - labels.sum() + 2 * SMOOTH)
     ratio = np.log(p / q)
     # The buckets that tell the classes apart most: log ratio times the root of the documents behind it.
-    worth = np.where(every >= LEAST, np.abs(ratio) * np.sqrt(every), 0)
-    kept = np.sort(np.argpartition(-worth, KEEP)[:KEEP])
+    worth = np.where(every >= least, np.abs(ratio) * np.sqrt(every), 0)
+    kept = np.sort(np.argpartition(-worth, min(keep, width - 1))[:keep])
     kept = kept[worth[kept] > 0]
     place = np.full(width, -1, dtype=np.int32)
     place[kept] = np.arange(len(kept))
@@ -95,22 +97,22 @@ def fit(texts: list[str | None], labels: np.ndarray) -> Model:
     return Model(kept, w * ratio[kept], intercept)
 
 
-def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", sample: int = SAMPLE) -> Model:
+def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", sample: int = SAMPLE, keep: int = KEEP, least: int = LEAST) -> Model:
     """Fit on at most ``sample`` rows of ``labels`` (id_col, label_col) that have a document."""
     marks = labels.where(F.col(id_col).isNotNull() & F.col(label_col).isNotNull()).groupBy(F.col(id_col).alias("__id")).agg(F.max(label_col).cast("double").alias("__label"))
     texts = docs.select(F.col(id_col).alias("__id"), F.col(text_col).alias("__text"))
-    chosen = marks.join(texts.select("__id"), "__id", "left_semi").orderBy(F.xxhash64("__id"), "__id").limit(sample)
-    # The sample's bound makes both the broadcast and the one fitting task small.
-    pairs = texts.join(F.broadcast(chosen), "__id").select("__id", "__text", "__label")
+    chosen = marks.join(texts.select("__id").distinct(), "__id", "left_semi").orderBy(F.xxhash64("__id"), "__id").limit(sample)
+    # The sample's bound makes the broadcast small; one text an id is kept before anything moves to the fitting task.
+    found = texts.join(F.broadcast(chosen), "__id").groupBy("__id").agg(F.min_by("__text", F.xxhash64("__text")).alias("__text"), F.first("__label").alias("__label"))
 
     def run(frames):
         rows = pd.concat([pd.DataFrame({"__id": [], "__text": [], "__label": []}), *frames]).sort_values("__id", kind="stable")
-        model = fit(rows["__text"].tolist(), rows["__label"].to_numpy(dtype=float))
+        model = fit(rows["__text"].tolist(), rows["__label"].to_numpy(dtype=float), keep, least)
         yield pd.DataFrame({"bucket": [-1, *model.buckets.tolist()], "weight": [model.intercept, *model.weights.tolist()]})
 
-    found = pairs.coalesce(1).mapInPandas(run, "bucket int, weight double").toPandas()
-    inner = found[found["bucket"] >= 0]
-    return Model(inner["bucket"].to_numpy(np.int64), inner["weight"].to_numpy(float), float(found.loc[found["bucket"] < 0, "weight"].iloc[0]) if len(found) else -20.7)
+    made = found.repartition(1).mapInPandas(run, "bucket int, weight double").toPandas()
+    inner = made[made["bucket"] >= 0]
+    return Model(inner["bucket"].to_numpy(np.int64), inner["weight"].to_numpy(float), float(made.loc[made["bucket"] < 0, "weight"].iloc[0]) if len(made) else -20.7)
 
 
 def score_column(model: Model, text: Column) -> Column:

@@ -1,9 +1,9 @@
 """URL filters by hashed expressions, DataFrame functions only.
 
 A rule is (action, host, path). It fits a URL whose host is the rule's host or a subdomain of it and whose path starts
-with the rule's path. Each distinct (host, path) is expanded into host-suffix x path-prefix expressions; an expression
-meets the rules by a 32-bit prefix of its SHA-256 (an equi-join), a hit counts only if the full digests agree, and the
-longest rule wins.
+with the rule's path. Each distinct (host, path) is expanded into host-suffix x path-prefix expressions (suffixes of as many
+labels and prefixes of as many characters as rules have, so a host of any length gives a few); an expression meets the rules
+by a 32-bit prefix of its SHA-256 (an equi-join), a hit counts only if the full digests agree, and the longest rule wins.
 
 Defined results
 * url null or without "://": host and path are empty; the empty expression fits only a rule with empty host and path.
@@ -16,8 +16,6 @@ Defined results
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
@@ -30,8 +28,8 @@ RULES = [
     ("block", "org", "/es/"),
 ]
 PREFIX_BITS = 32
-#: A rule set up to this many rows is sent to every executor; a larger one is joined by a shuffle.
-BROADCAST_RULES = 200_000
+#: A rule set up to this many bytes is sent to every executor; a larger one is joined by a shuffle, with the same result.
+BROADCAST_BYTES = 32 << 20
 
 
 def host_of(url: Column) -> Column:
@@ -66,21 +64,22 @@ def judge(pages: DataFrame, rules: DataFrame, url_col: str = "url", default: str
         # Host and path are kept apart in the hashed text, so "a.b" + "/c" and "a.b/c" + "" stay two expressions.
         .withColumn("rule_digest", _digest(F.concat_ws("\u0000", "rule_host", "rule_path")))
         .withColumn("rule_short", _short(F.col("rule_digest")))
-        .drop("rule_host")
     )
-    # One row: the lengths of path that rules have, at most the length of the longest rule.
-    shape = listed.agg(F.collect_set(F.length("rule_path")).alias("lengths"), F.count("*").alias("n")).first()
-    lengths, count = sorted(shape["lengths"]), shape["n"]
+    # One row: the lengths of path and the numbers of host labels that rules have, at most those of the longest rule.
+    dots = F.length("rule_host") - F.length(F.replace("rule_host", F.lit(".")))
+    size = F.sum(F.octet_length("rule_text") + F.lit(200))
+    shape = listed.agg(F.collect_set(F.length("rule_path")).alias("lengths"), F.collect_set(dots + 1).alias("labels"), F.count("*").alias("n"), size.alias("bytes")).first()
+    lengths, labels, count = sorted(shape["lengths"]), sorted(shape["labels"]), shape["n"]
     out = pages.withColumns({"host": host_of(F.col(url_col)), "path": path_of(F.col(url_col))})
     if not count:
         return out.withColumns({"rule": F.lit(None).cast("string"), "verdict": F.lit(default)})
-    if count <= BROADCAST_RULES:
+    listed = listed.drop("rule_host")
+    if shape["bytes"] <= BROADCAST_BYTES:
         listed = F.broadcast(listed)
 
     # Work on distinct (host, path): a URL that fills a third of the table is expanded once.
     sites = pages.select(host_of(F.col(url_col)).alias("h"), path_of(F.col(url_col)).alias("p")).distinct()
-    labels = F.split("h", r"\.")
-    suffixes = F.transform(F.sequence(F.lit(1), F.size(labels)), lambda i: F.array_join(F.slice(labels, i, F.size(labels)), "."))
+    suffixes = F.array_distinct(F.array(*[F.substring_index("h", ".", -n) for n in labels]))
     prefixes = F.filter(F.array(*[F.when(F.length("p") >= n, F.substring("p", 1, n)) for n in lengths]), lambda x: x.isNotNull())
     wide = (
         sites.withColumn("suffix", F.explode(suffixes))
@@ -99,9 +98,10 @@ def judge(pages: DataFrame, rules: DataFrame, url_col: str = "url", default: str
         .agg(F.max(order).alias("best"))
         .select("h", "p", F.col("best.t").alias("rule"), F.col("best.a").alias("found"))
     )
-    same = reduce(lambda a, b: a & b, [F.col("host") == F.col("h"), F.col("path") == F.col("p")])
     base = out.drop("rule", "verdict").alias("pages")
-    kept = [F.col(f"pages.`{c}`") for c in base.columns]
+    names = [c.replace("`", "``") for c in base.columns]
+    same = (F.col("pages.host") == F.col("best.h")) & (F.col("pages.path") == F.col("best.p"))
+    kept = [F.col(f"pages.`{c}`") for c in names]
     return base.join(best.alias("best"), same, "left").select(*kept, F.col("best.rule").alias("rule"), F.coalesce(F.col("best.found"), F.lit(default)).alias("verdict"))
 
 
