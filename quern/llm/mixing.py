@@ -6,7 +6,9 @@
 3. Budget of a source: as many full passes over all its documents as fit, then a remaining budget below one pass. Of each
    size the proportional share is taken (rounded down), the rest of the budget is filled greedily from the largest size
    down to a window of WINDOW times the largest size left, and bounded-knapsack dynamic programming over the sizes still
-   available fits the window: it finds the reachable sum nearest to the budget.
+   available fits the window: it finds the reachable sum nearest to the budget, be it below or above. A budget that the
+   window holds from the start is fitted by the program alone. Where single documents can't come near a budget (a source of
+   one large and few small ones), documents are repeated up to the cap, if that comes nearer.
 4. Selection: of the documents of one (source, size) the wanted number is taken in the order of a seeded hash of the id.
    Groups are cut into ranges of that hash of some RANGE rows; whole ranges are taken or left by count, and only the rows of
    the range in which the number runs out are ranked. So no task sees more of a group than a range. Groups that hold more
@@ -31,6 +33,8 @@ from quern.llm.shared import cut
 WEIGHTS, CAP, SEED = (5, 2, 1), 3, 42
 #: The dynamic program covers budgets up to so many times the largest size that may still be taken.
 WINDOW = 4
+#: Documents are repeated before all are taken only where a budget would else be missed by more than this part of the target.
+REPEAT = 1_000
 #: Rows of a (source, size) that are ranked together, about.
 RANGE = 1_000
 #: A (source, size) with more than this part of all documents is hot.
@@ -61,15 +65,17 @@ def share(sizes: np.ndarray, weights: np.ndarray, cap: float) -> np.ndarray:
 
 
 def fit(sizes: np.ndarray, counts: np.ndarray, budget: int, window: int = WINDOW) -> np.ndarray:
-    """How many of each size (positive, distinct) to take, at most ``counts``, so that they sum to nearly ``budget``."""
+    """How many of each size (positive, distinct) to take, at most ``counts``, so that they sum to nearly ``budget``; a budget within the window gets the nearest of all sums."""
     taken = np.zeros(len(sizes), dtype=np.int64)
     whole = int((sizes * counts).sum())
     if budget <= 0 or not whole:
         return taken
     if budget >= whole:
         return counts.copy()
-    # The proportional share keeps each source's mix of sizes. (Integers of any length: counts times budget may be large.)
-    taken = np.array([int(c) * budget // whole for c in counts.tolist()], dtype=np.int64)
+    # The proportional share keeps each source's mix of sizes; the program alone settles a budget that it can hold as a whole.
+    # (Integers of any length: counts times budget may be large.)
+    if budget > window * int(sizes.max()):
+        taken = np.array([int(c) * budget // whole for c in counts.tolist()], dtype=np.int64)
     left = counts - taken
     rest = budget - int((sizes * taken).sum())
     order = np.argsort(-sizes, kind="stable")
@@ -82,8 +88,8 @@ def fit(sizes: np.ndarray, counts: np.ndarray, budget: int, window: int = WINDOW
         left[k] -= n
         rest -= n * size
     # Bounded knapsack: which sums up to the window can be reached, as bits; the first item that reaches each.
-    # A sum above the budget can only be the nearest if it is above by less than the smallest size left.
-    top = rest + (int(sizes[left > 0].min()) if (left > 0).any() else 0)
+    # The least sum above the budget exceeds it by less than some size left; the empty sum is nearer than one beyond twice.
+    top = rest + min(rest, int(sizes[left > 0].max(initial=0)))
     reach, items, full = 1, [], (1 << (top + 1)) - 1
     new_bits: list[int] = []
     for k in order[::-1].tolist():
@@ -128,7 +134,7 @@ def targets(by_size: DataFrame, weights=WEIGHTS, cap: float = CAP) -> DataFrame:
 
 
 def plan(by_size: DataFrame, goals: DataFrame, cap: float = CAP) -> DataFrame:
-    """(source, size, n, passes, extra): every document of the size is taken ``passes`` times, ``extra`` of the n once more."""
+    """(source, size, n, source_size, target, passes, extra): all n documents of the size are taken ``passes`` times, ``extra`` of the n once more."""
 
     def run(frame: pd.DataFrame) -> pd.DataFrame:
         total, goal = int(frame["source_size"].iloc[0]), float(frame["target"].iloc[0])
@@ -136,15 +142,20 @@ def plan(by_size: DataFrame, goals: DataFrame, cap: float = CAP) -> DataFrame:
         if total and passes < cap and round(goal) - passes * total >= total:
             passes += 1
         sizes, counts = frame["size"].to_numpy(), frame["n"].to_numpy()
+        some, rest = sizes > 0, round(goal) - passes * total
         extra = np.zeros(len(frame), dtype=np.int64)
-        some = sizes > 0
-        extra[some] = fit(sizes[some], counts[some], round(goal) - passes * total)
-        return frame[["source", "size", "n"]].assign(passes=passes, extra=extra)
+        extra[some] = fit(sizes[some], counts[some], rest)
+        off = abs(rest - int((sizes * extra).sum()))
+        if off * REPEAT > goal and passes + 1 < cap:
+            again = fit(sizes[some], counts[some] * int(cap - passes), rest)
+            if abs(rest - int((sizes[some] * again).sum())) < off:
+                extra[some] = again
+        return frame[["source", "size", "n", "source_size", "target"]].assign(passes=passes + extra // counts, extra=extra % counts)
 
     kind = by_size.schema["source"].dataType.simpleString()
     joined = by_size.join(goals, by_size["source"].eqNullSafe(goals["source"])).drop(goals["source"])
     # A group is one source's distinct sizes, never its documents.
-    return joined.groupBy("source").applyInPandas(run, f"source {kind}, size long, n long, passes long, extra long")
+    return joined.groupBy("source").applyInPandas(run, f"source {kind}, size long, n long, source_size long, target double, passes long, extra long")
 
 
 def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", weights=WEIGHTS, cap: int = CAP, seed: int = SEED) -> DataFrame:
@@ -153,8 +164,7 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
     slim = cut(docs.select(F.col(id_col).alias("id"), F.col(source_col).alias("source"), size_of(F.col(text_col)).alias("size")).withColumn("h", order))
     by_size = cut(slim.groupBy("source", "size").agg(F.count("*").alias("n")))
     goals = cut(targets(by_size, weights, cap))
-    wanted = plan(by_size, goals, cap)
-    facts = cut(wanted.join(goals, wanted["source"].eqNullSafe(goals["source"])).drop(goals["source"]))
+    facts = cut(plan(by_size, goals, cap))
     hot = facts.where(F.col("n") * HOT > slim.count() + HOT).select(F.col("source").alias("s2"), F.col("size").alias("z2"))
     same = F.col("source").eqNullSafe(F.col("s2")) & (F.col("size") == F.col("z2"))
 
