@@ -35,3 +35,13 @@ def test_against_every_rule(spark):
         table = spark.createDataFrame(list(chosen), "action string, host string, path string")
         assert rows_of(uf.judge(frame, table)) == sorted(((i, *plain(u, chosen)) for i, u, *_ in pages), key=str)
     assert rows_of(uf.judge(frame.where("false"), uf.rule_table(spark))) == []
+
+
+def test_long_hosts_and_clashing_columns(spark):
+    urls = ["http://" + "a." * 50_000 + "com/en/1", "http://" + "x" * 100_000 + ".net/de/1", "http://" + "." * 2_000 + "org/es/", "http://a.b.com./en/", "http://b.org"]
+    names = ["page_id", "url", "h", "p", "best", "suffix", "n", "rule_path", "odd`name", "host"]
+    frame = spark.createDataFrame([(i, u, *["x"] * 8) for i, u in enumerate(urls)], "page_id long, url string, h string, p string, best string, suffix string, n string, rule_path string, `odd``name` string, host string")
+    got = uf.judge(frame, uf.rule_table(spark))
+    assert got.columns == [*names[:-1], "host", "path", "rule", "verdict"]
+    assert rows_of(got) == sorted(((i, *plain(u, uf.RULES)) for i, u in enumerate(urls)), key=str)
+    assert all(r.h == "x" and r.p == "x" for r in got.collect())
