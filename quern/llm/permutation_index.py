@@ -169,7 +169,7 @@ def nearest(vectors: DataFrame, queries: DataFrame, k: int = 20, id_col: str = "
         def run(batches, shared=shared):
             own, asks, pivots = shared.value
             posted = min(POSTED, len(pivots))
-            # The lift of a query is the same for all pivots' products but its own length: it doesn't change its order.
+            # A query has nothing in the added component, so its products with lifted vectors are those with the vectors.
             orders = np.argsort(-(asks @ pivots.T), axis=1, kind="stable")[:, :walked]
             best = [(np.zeros(0, np.int64), np.zeros(0))] * len(own)
             for batch in batches:

@@ -65,10 +65,45 @@ def test_recall(spark, monkeypatch, lengths):
     assert share >= 0.93
 
 
-def test_footrule_by_hand():
+def test_inverted_files_by_hand():
     pivots = np.eye(4)
-    index = pi.PermutationIndex(pivots, 1.0, np.array([1, 2]), np.array([[0.9, 0.3, 0.2, 0.1], [0.1, 0.2, 0.3, 0.9]]), posted=2)
-    assert index.files.T.tolist() == [[0, 1, 3, 3], [3, 3, 1, 0]]
+    files = pi.InvertedFiles.build(np.array([1, 2]), np.array([[0.9, 0.3, 0.2, 0.1], [0.1, 0.2, 0.3, 0.9]]), pivots, 1.0, posted=2)
+    posted = [[(int(r), int(p)) for r, p in zip(files.rows[a:b], files.places[a:b])] for a, b in zip(files.starts, files.starts[1:])]
+    assert posted == [[(0, 0)], [(0, 1)], [(1, 1)], [(1, 0)]]
+
+
+def test_the_walk_ranks_by_footrule():
+    """Only the files of the walked pivots count, and the distance is that of whole loops."""
+    rng = np.random.default_rng(5)
+    pivots, vectors = rng.normal(size=(12, 6)), rng.normal(size=(300, 6))
+    top = max((pivots**2).sum(1).max(), (vectors**2).sum(1).max())
+    files = pi.InvertedFiles.build(np.arange(300), vectors, pivots, top, posted=5)
+    orders = pi.pivot_orders(vectors, pivots, top, 5)
+    q = rng.normal(size=6)
+    walked = np.argsort(-(pivots @ q), kind="stable")[:3]
+    far = []
+    for i in range(300):
+        place = {int(p): k for k, p in enumerate(orders[i])}
+        far.append((sum(abs(at - place[int(p)]) if int(p) in place else (5 + 12) // 2 - at + at * 0 for at, p in enumerate(walked)), i))
+    near = sorted(far)[:40]
+    want = sorted((-float(vectors[i] @ q), i) for _, i in near)[:7]
+    ids, scores = next(files.search(q[None], walked[None], np.array([-1]), 7, 5, rerank=40 / 300, depth=1))
+    assert ids.tolist() == [i for _, i in want] and np.allclose(scores, [-s for s, _ in want])
+
+
+def test_recall_on_the_registered_table(spark):
+    import os
+
+    folder = "/root/testdata/sf0.1"
+    if not os.path.exists(f"{folder}/embeddings.parquet"):
+        pytest.skip("no tables")
+    rows = [(r.vec_id, r.embedding) for r in spark.read.parquet(f"{folder}/embeddings.parquet").collect()]
+    want = brute(rows, 20)
+    got = {}
+    for r in pi.op2_permutation_index(spark, folder).collect():
+        got.setdefault(r.query_id, set()).add(r.vec_id)
+    assert got.keys() == want.keys()
+    assert np.mean([len(got[q] & {i for _, i in want[q]}) / 20 for q in want]) >= 0.9
 
 
 @pytest.mark.parametrize("noise", [0.0, 0.001, 0.02, 0.05])
