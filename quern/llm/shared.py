@@ -32,6 +32,12 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def drop_folder(spark: SparkSession, folder: str) -> None:
+    """Delete a folder of intermediate results, whatever file system it is on."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def mix64(x: np.ndarray) -> np.ndarray:
     """The finaliser of splitmix64 on unsigned 64-bit integers (wraps around)."""
     x = x.astype(np.uint64, copy=True)

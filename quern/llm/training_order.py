@@ -1,19 +1,23 @@
 """Token ids in training order: a keyed Feistel permutation gives every sequence a global slot, shards hold fixed strides.
 
-1. Texts are encoded and cut into sequences of LENGTH ids; an end id closes each text and fills up its last sequence.
-   The ids of each text are written once to the shared folder, with the number of sequences before it in its file.
-2. Sequences are numbered 0 to n - 1 by file and row of that table (one row a file is summed on the way).
+1. Texts are encoded, an end id closes each, and the ids of all texts follow one another as one stream in the order of the
+   rows; the stream is cut into sequences of LENGTH ids, and end ids fill up the last one. The ids of each text are written
+   once to the shared folder, with the number of ids before it in its segment (a run of neighbouring rows of one file).
+   One row a segment is summed on the driver: a few dozen bytes for each split of the input.
+2. The order of rows is that of files and rows within them (see ``read_ordered``), or by id and text where the table has no
+   files. Neither depends on splits or tasks, so the same table and key give the same shards on any cluster.
 3. The slot of a sequence is a balanced Feistel network of ROUNDS keyed rounds over the smallest even number of bits that
    holds n, walked along its cycle until it falls below n: a permutation of the slots without any shuffle or sort of keys.
-4. Rows are dealt by shard (slots // shard size, so each task gets whole slot ranges) and sorted by slot within. A shard is one
-   binary of its sequences one after the other: sequence i of the shard stands at byte i * stride, so a reader resumes at
-   any slot by arithmetic alone.
+4. Sequences are dealt to tasks by ranges of slots, sorted by slot and written as raw files, PER_SHARD sequences each, one
+   folder a shard. Each sequence is followed by one id's width of line ends (the text sink's record mark, as it is the sink
+   of Spark that writes bytes as they are). So sequence i of a shard stands at byte i * stride(): a reader resumes at any
+   slot by arithmetic alone and reads on sequentially.
 
 Defined results
-* null and empty texts are one sequence that holds only end ids; repeated rows are sequences of their own.
+* null and empty texts give their end id only; repeated rows are texts of their own. Very long texts give many sequences.
 * ids below 65536 take two bytes each, little-endian; a vocabulary beyond that takes four.
-* the same table files, key and length give the same order; another key gives another. Empty tables give no sequence.
-* other columns are not read. Very long texts give many sequences, each a row.
+* another key gives another order. Empty tables give no shard. Rows without an id are like others; ids may repeat.
+* other columns are not read, whatever their names.
 """
 
 from __future__ import annotations
@@ -26,12 +30,15 @@ import numpy as np
 import public_tokenizers
 import pyarrow as pa
 import tiktoken
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from quern.llm.bpe import default_ranks_path
-from quern.llm.shared import mix64, shared_folder
+from quern.llm.shared import drop_folder, mix64, shared_folder
 
-LENGTH, PER_SHARD, ROUNDS, KEY = 512, 4096, 6, 20_240_229
+LENGTH, PER_SHARD, ROUNDS, KEY, END = 512, 4096, 6, 20_240_229, 50256
+#: Shards that a task writes, about, and tasks at most.
+SHARDS_PER_TASK, MOST_TASKS = 4, 20_000
 
 
 def round_keys(key: int, rounds: int = ROUNDS) -> np.ndarray:
@@ -57,16 +64,21 @@ def slots(index: np.ndarray, n: int, key: int = KEY, rounds: int = ROUNDS) -> np
     return out.astype(np.int64)
 
 
+def stride(length: int = LENGTH, width: int = 2) -> int:
+    """Bytes from one sequence of a shard to the next."""
+    return (length + 1) * width
+
+
 def place(slot: int, length: int = LENGTH, per_shard: int = PER_SHARD, width: int = 2) -> tuple[int, int]:
     """(shard, byte offset) of a slot."""
-    return slot // per_shard, slot % per_shard * length * width
+    return slot // per_shard, slot % per_shard * stride(length, width)
 
 
 def read(data: bytes, first: int = 0, length: int = LENGTH, width: int = 2):
-    """The sequences of a shard from the ``first`` on, without a look at those before."""
-    kind = "<u2" if width == 2 else "<u4"
-    for at in range(first * length * width, len(data), length * width):
-        yield np.frombuffer(data[at : at + length * width], dtype=kind)
+    """The sequences of a shard file from the ``first`` on, without a look at those before."""
+    step = stride(length, width)
+    for at in range(first * step, len(data), step):
+        yield np.frombuffer(data, dtype="<u2" if width == 2 else "<u4", count=length, offset=at)
 
 
 @lru_cache(2)
@@ -77,102 +89,139 @@ def encoder(ranks_path: str | None = None) -> tiktoken.Encoding:
     return tiktoken.Encoding("ranks", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
 
 
-def tokens(docs: DataFrame, folder: str, id_col: str, text_col: str, length: int, width: int, end: int, ranks_path: str | None) -> DataFrame:
-    """The ids of each text, written to ``folder``: (id, before, parts, ids); before: the sequences of the rows above in the same task."""
+def tokens(docs: DataFrame, folder: str, text_col: str, order: tuple[str, str] | None, id_col: str, width: int, end: int, ranks_path: str | None) -> DataFrame:
+    """The ids of each text, written to ``folder``: (file, segment, before, n, ids); before: the ids of the rows above in the segment."""
     kind = "<u2" if width == 2 else "<u4"
+    if order:
+        rows = docs.select(F.col(order[0]).cast("string").alias("file"), F.col(order[1]).cast("long").alias("row"), F.col(text_col).alias("text"))
+    else:
+        # Without files, ranges of ids take their place: a file is a task's range, its name the number of the task.
+        keyed = docs.select(F.col(id_col).alias("id"), F.xxhash64(text_col).alias("mark"), F.col(text_col).alias("text"))
+        rows = keyed.repartitionByRange("id", "mark").sortWithinPartitions("id", "mark").select(F.lit("").alias("file"), F.lit(None).cast("long").alias("row"), "text")
 
     def run(batches):
-        encode, before = encoder(ranks_path).encode_to_numpy, 0
+        encode, last, seen = encoder(ranks_path).encode_to_numpy, None, 0
         for batch in batches:
             for at in range(0, batch.num_rows, 1000):  # few texts at a time
                 part = batch.slice(at, 1000)
-                packed, parts, starts = [], [], []
-                for text in part.column(1).to_pylist():
+                files, segments, befores, sizes, packed = [], [], [], [], []
+                for file, row, text in zip(*(part.column(c).to_pylist() for c in range(3))):
+                    if row is None:
+                        file, row = f"{TaskContext.get().partitionId():010d}", last[1] + 1 if last else 0
+                    if last != (file, row - 1):
+                        segment, seen = row, 0
+                    last = (file, row)
                     ids = np.append(encode(text or "", disallowed_special=()), end)
-                    starts.append(before)
-                    parts.append(-(-len(ids) // length))
-                    before += parts[-1]
+                    files.append(file)
+                    segments.append(segment)
+                    befores.append(seen)
+                    sizes.append(len(ids))
+                    seen += len(ids)
                     packed.append(ids.astype(kind).tobytes())
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(starts, pa.int64()), pa.array(parts, pa.int64()), pa.array(packed, pa.binary())], names=["id", "before", "parts", "ids"])
+                yield pa.RecordBatch.from_arrays([pa.array(files, pa.string()), *(pa.array(x, pa.int64()) for x in (segments, befores, sizes)), pa.array(packed, pa.binary())], names=["file", "segment", "before", "n", "ids"])
 
-    id_kind = docs.schema[id_col].dataType.simpleString()
-    made = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).mapInArrow(run, f"id {id_kind}, before long, parts long, ids binary")
+    made = rows.mapInArrow(run, "file string, segment long, before long, n long, ids binary")
     made.write.mode("overwrite").option("compression", "zstd").option("maxRecordsPerFile", 0).parquet(folder)
     return docs.sparkSession.read.schema(made.schema).parquet(folder)
 
 
-def in_order(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = LENGTH, per_shard: int = PER_SHARD, key: int = KEY, end: int = 50256, width: int = 2, ranks_path: str | None = None) -> DataFrame:
-    """(slot, shard, position, id, part, n_tokens, ids): one row a sequence, each shard in one task in the order of slots. n_tokens: ids without the filling; position: the byte at which it stands in its shard."""
-    spark = docs.sparkSession
-    written = tokens(docs, f"{shared_folder(spark)}/training-order-{uuid.uuid4().hex}", id_col, text_col, length, width, end, ranks_path)
-    named = written.withColumn("file", F.element_at(F.split(F.col("_metadata.file_path"), "/"), -1))
-    # One row a file; a file's number of sequences is where its last row ends.
-    files = sorted((r["file"], r["n"]) for r in named.groupBy("file").agg(F.max(F.col("before") + F.col("parts")).alias("n")).collect())
-    n = sum(c for _, c in files)
-    offsets, at = {}, 0
-    for name, c in files:
-        offsets[name], at = at, at + c
-    shared = spark.sparkContext.broadcast(offsets)
+def in_order(written: DataFrame, length: int = LENGTH, per_shard: int = PER_SHARD, key: int = KEY, end: int = END, width: int = 2) -> DataFrame:
+    """(shard, slot, ids) of a ``tokens`` table: one row a sequence, whole shards in a task, in the order of slots."""
+    # One row a segment; the order of files and of segments within them is that of the stream.
+    ends = written.groupBy("file", "segment").agg(F.max(F.col("before") + F.col("n")).alias("n")).collect()
+    offsets, total = {}, 0
+    for file, segment, size in sorted(tuple(r) for r in ends):
+        offsets[file, segment], total = total, total + size
+    n = -(-total // length)
+    shared = written.sparkSession.sparkContext.broadcast(offsets)
 
-    def run(batches):
-        stride = length * width
-        fill = np.full(length, end, dtype="<u2" if width == 2 else "<u4").tobytes()
+    def pieces(batches):
         for batch in batches:
             for at in range(0, batch.num_rows, 500):
-                cut = batch.slice(at, 500)
-                parts = cut.column(3).to_numpy(zero_copy_only=False)
-                base = np.array([shared.value[f] for f in cut.column(0).to_pylist()], dtype=np.int64) + cut.column(2).to_numpy()
-                part = np.concatenate([np.arange(p) for p in parts]) if len(parts) else np.zeros(0, np.int64)
-                rows = np.repeat(np.arange(len(parts)), parts)
-                where = slots(base[rows] + part, n, key)
-                data, sizes = [], []
-                for ids, p in zip(cut.column(4), parts):
-                    ids = ids.as_py()
-                    for k in range(p):
-                        piece = ids[k * stride : (k + 1) * stride]
-                        sizes.append(len(piece) // width)
-                        data.append(piece if len(piece) == stride else piece + fill[len(piece) :])
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(where), pa.array(where // per_shard), pa.array(where % per_shard * stride), cut.column(1).take(pa.array(rows)), pa.array(part), pa.array(np.array(sizes, dtype=np.int32)), pa.array(data, pa.binary())],
-                    names=["slot", "shard", "position", "id", "part", "n_tokens", "ids"],
-                )
-
-    id_kind = docs.schema[id_col].dataType.simpleString()
-    laid = named.select("file", "id", "before", "parts", "ids").mapInArrow(run, f"slot long, shard long, position long, id {id_kind}, part long, n_tokens int, ids binary")
-    return laid.repartition("shard").sortWithinPartitions("slot")
-
-
-def shards(ordered: DataFrame) -> DataFrame:
-    """(shard, first_slot, sequences, data): one row a shard of an ``in_order`` table; data is what a shard's file holds."""
+                part = batch.slice(at, 500)
+                if not part.num_rows:
+                    continue
+                files, segments = part.column(0).to_pylist(), part.column(1).to_pylist()
+                sizes = part.column(3).to_numpy()
+                start = np.array([shared.value[f, s] for f, s in zip(files, segments)], dtype=np.int64) + part.column(2).to_numpy()
+                # Rows whose ids follow one another in the stream are cut together.
+                edges = [0, *(np.flatnonzero(start[1:] != start[:-1] + sizes[:-1]) + 1).tolist(), len(start)]
+                for a, b in zip(edges, edges[1:]):
+                    data = b"".join(part.column(4).slice(a, b - a).to_pylist())
+                    low, high = int(start[a]), int(start[b - 1] + sizes[b - 1])
+                    number = np.arange(low // length, -(-high // length))
+                    cuts = np.clip(np.append(number, number[-1] + 1) * length, low, high) - low
+                    binary = pa.Array.from_buffers(pa.binary(), len(number), [None, pa.py_buffer((cuts * width).astype(np.int32)), pa.py_buffer(data)])
+                    within = np.maximum(low - number * length, 0).astype(np.int32)
+                    yield pa.RecordBatch.from_arrays([pa.array(slots(number, n, key)), pa.array(within), binary], names=["slot", "within", "ids"])
+
+    def whole(batches):
+        """Pieces of one sequence, neighbours now, are put together; end ids fill up the last sequence of the stream."""
+        size, fill = length * width, np.full(length, end, dtype="<u2" if width == 2 else "<u4").tobytes()
+        held, parts = None, []
+        made: list[tuple[int, bytes]] = []
+
+        def flush():
+            rows = [(s, x if len(x) == size else x + fill[len(x) :]) for s, x in made]
+            made.clear()
+            at = np.array([s for s, _ in rows], dtype=np.int64)
+            return pa.RecordBatch.from_arrays([pa.array(at // per_shard), pa.array(at), pa.array([x for _, x in rows], pa.binary())], names=["shard", "slot", "ids"])
+
+        for batch in batches:
+            for slot, piece in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                if slot == held:
+                    parts.append(piece)
+                    continue
+                if held is not None:
+                    made.append((held, b"".join(parts)))
+                held, parts = slot, [piece]
+                if len(made) >= 2000:
+                    yield flush()
+        if held is not None:
+            made.append((held, b"".join(parts)))
+        if made:
+            yield flush()
+
+    shards = max(1, -(-n // per_shard))
+    each = max(SHARDS_PER_TASK, -(-shards // MOST_TASKS))
+    laid = written.mapInArrow(pieces, "slot long, within int, ids binary")
+    task = F.floor(F.col("slot") / F.lit(per_shard * each)).cast("int")
+    dealt = laid.repartitionById(-(-shards // each), task).sortWithinPartitions("slot", "within")
+    return dealt.select("slot", "ids").mapInArrow(whole, "shard long, slot long, ids binary").sortWithinPartitions("shard", "slot")
+
+
+def write(docs: DataFrame, folder: str, id_col: str = "doc_id", text_col: str = "text", order: tuple[str, str] | None = None, length: int = LENGTH, per_shard: int = PER_SHARD, key: int = KEY, end: int = END, width: int = 2, ranks_path: str | None = None) -> None:
+    """Write the shards of ``docs`` to ``folder``; a rerun writes the same bytes. order: the columns that hold a row's file and its number there."""
+    spark = docs.sparkSession
+    kept = f"{shared_folder(spark)}/training-order-{uuid.uuid4().hex}"
+    try:
+        ordered = in_order(tokens(docs, kept, text_col, order, id_col, width, end, ranks_path), length, per_shard, key, end, width)
+        # A binary column cast to string keeps its bytes, and the text sink writes them unchanged.
+        ordered.select("shard", F.col("ids").cast("string").alias("value")).write.mode("overwrite").partitionBy("shard").option("lineSep", "\n" * width).text(folder)
+    finally:
+        drop_folder(spark, kept)
 
-    def run(batches):
-        shard, first, count, data = None, 0, 0, []
 
-        def done():
-            return pa.RecordBatch.from_arrays([pa.array([shard], pa.int64()), pa.array([first], pa.int64()), pa.array([count], pa.int64()), pa.array([b"".join(data)], pa.binary())], names=["shard", "first_slot", "sequences", "data"])
 
-        for batch in batches:
-            for s, slot, ids in zip(*(batch.column(k).to_pylist() for k in range(3))):
-                if s != shard:
-                    if shard is not None:
-                        yield done()
-                    shard, first, count, data = s, slot, 0, []
-                count += 1
-                data.append(ids)
-        if shard is not None:
-            yield done()
 
-    return ordered.select("shard", "slot", "ids").mapInArrow(run, "shard long, first_slot long, sequences long, data binary")
+def read_ordered(spark: SparkSession, path: str, *columns: str) -> DataFrame:
+    """A Parquet table with the columns ``file`` and ``row`` that ``write`` takes as order."""
+    return spark.read.parquet(path).select(*columns, F.col("_metadata.file_name").alias("file"), F.col("_metadata.row_index").alias("row"))
 
 
-def write(docs: DataFrame, folder: str, **options) -> None:
-    """Write the shards of ``docs`` to ``folder`` as Parquet, a row each; a rerun writes the same bytes."""
-    shards(in_order(docs, **options)).write.mode("overwrite").option("compression", "zstd").parquet(folder)
+def digests(spark: SparkSession, folder: str, length: int = LENGTH, per_shard: int = PER_SHARD, width: int = 2) -> DataFrame:
+    """(slot, shard, position, ids_sha256) of the shard files in ``folder``: position is the byte at which a sequence stands."""
+    step = stride(length, width)
+    files = spark.read.format("binaryFile").load(folder).select(F.col("shard").cast("long").alias("shard"), "content", F.floor(F.col("length") / step).cast("int").alias("n"))
+    sums = F.transform(F.sequence(F.lit(0), F.col("n") - 1), lambda k: F.sha2(F.substring("content", k * step + 1, F.lit(length * width)), 256))
+    rows = files.select("shard", F.posexplode(sums).alias("at", "ids_sha256"))
+    return rows.select((F.col("shard") * per_shard + F.col("at")).alias("slot"), "shard", (F.col("at") * step).cast("long").alias("position"), "ids_sha256")
 
 
 def op1_training_order(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
-    return in_order(docs).select("slot", "shard", "position", F.col("id").alias("doc_id"), "part", "n_tokens", F.sha2("ids", 256).alias("ids_sha256"))
+    folder = f"{shared_folder(spark)}/training-shards-{uuid.uuid4().hex}"
+    write(read_ordered(spark, f"{sf_dir}/documents.parquet", "doc_id", "text"), folder, order=("file", "row"))
+    return digests(spark, folder)
 
 
 QUERIES = {"op1_training_order": op1_training_order}

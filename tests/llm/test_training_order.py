@@ -1,4 +1,4 @@
-from collections import defaultdict
+import hashlib
 
 import numpy as np
 import pytest
@@ -16,39 +16,87 @@ def test_slots_are_a_permutation(n):
         assert abs(np.corrcoef(np.arange(n), got)[0, 1]) < 0.1
 
 
-def plain(text, length):
-    ids = np.frombuffer(bpe.codec(None).encode([text])[0], dtype="<u4").tolist() + [50256]
+def stream(texts, length):
+    """The sequences of all texts, one after the other."""
+    ids = [i for t in texts for i in [*np.frombuffer(bpe.codec(None).encode([t])[0], dtype="<u4").tolist(), 50256]]
     ids += [50256] * (-len(ids) % length)
     return [ids[k : k + length] for k in range(0, len(ids), length)]
 
 
+def shard_files(folder):
+    return {int(p.parent.name.split("=")[1]): p.read_bytes() for p in folder.glob("shard=*/*.txt")}
+
+
+ROWS = [(i, f"text number {i} " * (i % 9 + 1), "x") for i in range(150)] + [(7, "again", "x"), (7, "again", "x"), (None, "no id", "x"), (900, None, "x"), (901, "", "x"), (902, "long text " * 3000, "x"), (903, "x" * 200_000, "x")]
+SCHEMA = "doc_id long, text string, slot string"
+
+
+def sequences(files, length, per):
+    """All sequences by slot."""
+    out = {}
+    for shard, data in files.items():
+        assert len(data) % to.stride(length) == 0 and len(data) // to.stride(length) <= per
+        for k, ids in enumerate(to.read(data, 0, length)):
+            slot = shard * per + k
+            assert to.place(slot, length, per) == (shard, k * to.stride(length))
+            out[slot] = ids.tolist()
+    return out
+
+
 def test_every_sequence_has_its_place(spark, tmp_path):
-    rows = [(i, f"text number {i} " * (i % 9 + 1), "x") for i in range(150)] + [(7, "again", "x"), (7, "again", "x"), (None, "no id", "x"), (900, None, "x"), (901, "", "x"), (902, "long text " * 3000, "x")]
-    docs = spark.createDataFrame(rows, "doc_id long, text string, slot string").repartition(5)
-    docs.write.parquet(f"{tmp_path}/docs")
-    docs = spark.read.parquet(f"{tmp_path}/docs")
+    spark.createDataFrame(ROWS, SCHEMA).repartition(5).write.option("parquet.block.size", 2000).parquet(f"{tmp_path}/docs")
     length, per = 16, 32
-    table = to.in_order(docs, length=length, per_shard=per)
-    got = table.collect()
-    want = defaultdict(int)
-    for d, t, _ in rows:
-        for k, ids in enumerate(plain(t, length)):
-            want[d, k, tuple(ids)] += 1
-    found = defaultdict(int)
-    for r in got:
-        found[r.id, r.part, tuple(np.frombuffer(bytes(r.ids), dtype="<u2").tolist())] += 1
-        assert (r.shard, r.position) == to.place(r.slot, length, per)
-    assert found == want
-    assert sorted(r.slot for r in got) == list(range(len(got)))
-    by_slot = {r.slot: bytes(r.ids) for r in got}
-    for s in to.shards(table).collect():
-        n = min(per, len(got) - s.shard * per)
-        assert (s.first_slot, s.sequences, len(s.data)) == (s.shard * per, n, n * length * 2)
-        assert [x.tobytes() for x in to.read(bytes(s.data), 3, length)] == [by_slot[s.shard * per + k] for k in range(3, n)]
-    again = {r.slot: bytes(r.ids) for r in to.in_order(docs, length=length, per_shard=per).collect()}
-    assert again == by_slot
-
-
-def test_empty(spark):
-    docs = spark.createDataFrame([], "doc_id long, text string")
-    assert to.in_order(docs).collect() == [] and to.shards(to.in_order(docs)).collect() == []
+    ordered = to.read_ordered(spark, f"{tmp_path}/docs", "doc_id", "text")
+    texts = [r.text for r in sorted(ordered.collect(), key=lambda r: (r.file, r.row))]
+    want = stream(texts, length)
+    made = []
+    for size in ("4k", "128m"):  # another cut of the same files into tasks
+        spark.conf.set("spark.sql.files.maxPartitionBytes", size)
+        spark.conf.set("spark.sql.files.openCostInBytes", "1")
+        folder = tmp_path / f"shards-{size}"
+        to.write(to.read_ordered(spark, f"{tmp_path}/docs", "doc_id", "text"), f"file://{folder}", order=("file", "row"), length=length, per_shard=per)
+        made.append(shard_files(folder))
+    spark.conf.unset("spark.sql.files.maxPartitionBytes")
+    spark.conf.unset("spark.sql.files.openCostInBytes")
+    assert made[0] == made[1]
+    got = sequences(made[0], length, per)
+    assert sorted(got) == list(range(len(want)))
+    slots = to.slots(np.arange(len(want)), len(want))
+    assert all(got[int(s)] == ids for s, ids in zip(slots, want))
+    # A reader that resumes at slot 3 of a shard sees what follows.
+    assert [x.tolist() for x in to.read(made[0][1], 3, length)] == [got[per + k] for k in range(3, min(per, len(want) - per))]
+    table = {r.slot: r for r in to.digests(spark, f"file://{tmp_path}/shards-4k", length, per).collect()}
+    assert sorted(table) == sorted(got)
+    for slot, ids in got.items():
+        r = table[slot]
+        assert (r.shard, r.position) == to.place(slot, length, per)
+        assert r.ids_sha256 == hashlib.sha256(np.array(ids, dtype="<u2").tobytes()).hexdigest()
+
+
+def test_without_files_the_order_is_that_of_ids(spark, tmp_path):
+    made = []
+    for n in (1, 7):
+        to.write(spark.createDataFrame(ROWS, SCHEMA).repartition(n), f"file://{tmp_path}/s{n}", length=16, per_shard=32, width=4, key=9)
+        made.append(shard_files(tmp_path / f"s{n}"))
+    assert made[0] == made[1]
+    count = sum(len(d) for d in made[0].values()) // to.stride(16, 4)
+    got = {}
+    for shard, data in made[0].items():
+        for k, ids in enumerate(to.read(data, 0, 16, 4)):
+            got[shard * 32 + k] = ids.tolist()
+    ids = [i for s in to.slots(np.arange(count), count, key=9) for i in got[int(s)]]
+    texts, held = [], []
+    for i in ids:
+        if i == 50256:
+            texts.append(bpe.codec(None).decode(np.array(held, dtype="<u4").tobytes()).decode())
+            held = []
+        else:
+            held.append(i)
+    by_id = sorted({r[0] for r in ROWS if r[0] is not None})
+    assert texts[0] == "no id" and texts[1] == "text number 0 " and len([t for t in texts if t]) == sum(bool(r[1]) for r in ROWS)
+    assert sorted(t for t in texts if t) == sorted(r[1] for r in ROWS if r[1]) and by_id[0] == 0
+
+
+def test_empty(spark, tmp_path):
+    to.write(spark.createDataFrame([], SCHEMA), f"file://{tmp_path}/none")
+    assert shard_files(tmp_path / "none") == {}
