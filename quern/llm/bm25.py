@@ -1,16 +1,20 @@
-"""Exact BM25 top-k search with block-max WAND, shard by shard, merged under global statistics.
+"""Exact BM25 top-k search over an inverted index with block-max WAND, shard by shard, merged under global statistics.
 
-Terms are runs of letters, digits and underscores of the lower-cased text; a query is the set of its terms. Queries are
-taken in blocks of bounded size, each sent to every executor. For a block:
+Terms are runs of letters, digits and underscores of the lower-cased text; a query is the set of its terms.
 
-1. every document is reduced to its length and its counts of the block's terms (written once to the shared folder), and
-   document frequencies, their number and the mean length are summed over all of them;
-2. each task turns its documents into inverted shards of SHARD documents. A term in more than DENSE of all documents gets
-   a dense list with the maximum of every block of WIDTH documents, a rarer one a posting list;
-3. per query the posting lists are added up; a document is a candidate only if that sum and its block's maxima of the
-   dense lists reach the query's threshold, the k-th best score seen so far by the task (WAND's pivot test with block
-   maxima, made for all documents of a shard at once). Only candidates are scored in full;
-4. the tasks' best k of each query are merged. As all weights come from global statistics, the merge is exact.
+Index, built once and written to the shared folder: each task turns its documents into parts of SHARD documents at most, a row
+each: ids, lengths, the sorted terms with the number of their postings, and the postings (document of the part, count). No
+document is read again, however many queries follow.
+
+Search: queries go to the tasks in broadcast blocks of bounded size, and a block is one pass over the index (its terms'
+document frequencies are summed over the parts first, from the columns of terms alone). A task puts parts together to shards
+of SHARD documents. Every list has a maximum, and a long one a maximum for each block of WIDTH documents. For a query, the
+long lists are ordered, and WAND's pivot is the list at which the maxima together reach the threshold, the k-th best score the
+task has seen: no document can be a result by the lists before the pivot alone, so only the cursors of the others walk. A
+document found by them is looked up in the resting lists only if its score so far and the maxima of its block in those lists
+reach the threshold; all its other postings there are skipped. Each shard starts with the threshold that the task's earlier
+shards have raised, and the first one takes its own from the documents with the highest bounds.
+The tasks' best k of each query are merged. All weights come from global statistics, so the merge is exact.
 
 Defined results
 * documents without a term of the query are no results; empty, null and term-less queries have none.
@@ -31,17 +35,23 @@ from pyspark.sql import DataFrame, SparkSession, Window as W, functions as F
 from quern.llm.shared import cut, shared_folder
 
 K1, B = 1.2, 0.75
-SHARD, WIDTH, DENSE = 8192, 16, 0.2
+SHARD, WIDTH = 8192, 8
 #: Queries and bytes of their texts in a block, about; documents in a task, about, and tasks at least.
 BLOCK_QUERIES, QUERY_BYTES, TASK_DOCS, TASKS = 8192, 48 << 20, 20_000, 6
 _TERM = re.compile(r"\w+")
 _SEP = "\u0000"
+PART = "n long, tokens long, ids binary, lengths binary, words string, sizes binary, docs binary, counts binary"
 
 
 def terms(text: str | None) -> list[str]:
     return _TERM.findall((text or "").lower())
 
 
+def _taken(start: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """The positions of all elements of the slices start[i] : start[i] + size[i], one slice after the other."""
+    return np.repeat(start - np.cumsum(size) + size, size) + np.arange(int(size.sum()))
+
+
 class Block:
     """A block of queries: their ids, the vocabulary of their terms, and query i's terms as ``cols[at[i]:at[i + 1]]``."""
 
@@ -53,8 +63,7 @@ class Block:
         lists = [np.sort(np.fromiter((number[w] for w in f), dtype=np.int32, count=len(f))) for f in found]
         self.at = np.concatenate([[0], np.cumsum([len(x) for x in lists])]).astype(np.int64)
         self.cols = np.concatenate(lists) if lists else np.zeros(0, np.int32)
-        self.idf = self.dense = None
-        self.mean, self.shard, self.width = 1.0, SHARD, WIDTH
+        self.idf, self.mean, self.shard, self.width = None, 1.0, SHARD, WIDTH
 
     def __getstate__(self):
         return {**self.__dict__, "words": _SEP.join(self.words)}
@@ -65,62 +74,115 @@ class Block:
 
     def weigh(self, df: np.ndarray, n: int, length: int) -> None:
         self.idf = np.log1p((n - df + 0.5) / (df + 0.5))
-        self.dense = df > DENSE * n
         self.mean = length / n if n and length else 1.0
 
 
+def index(docs: DataFrame, folder: str) -> DataFrame:
+    """The inverted index of ``docs`` (id, text): a row for each part of a task's documents, written to ``folder``."""
+    most = SHARD
+
+    def part(rows: list[tuple[int, list[str]]]):
+        found: dict[str, list[int]] = {}
+        for i, (_, words) in enumerate(rows):
+            for w in words:
+                found.setdefault(w, []).append(i)
+        words = sorted(found)
+        docs, counts, sizes = [], [], []
+        for w in words:
+            at, n = np.unique(np.array(found[w], dtype=np.int32), return_counts=True)
+            docs.append(at)
+            counts.append(n)
+            sizes.append(len(at))
+        packed = lambda xs, kind: (np.concatenate(xs) if len(xs) else np.zeros(0)).astype(kind).tobytes()
+        lengths = np.array([len(w) for _, w in rows], dtype=np.int64)
+        values = [len(rows), int(lengths.sum()), np.array([i for i, _ in rows], dtype=np.int64).tobytes(), lengths.tobytes(), _SEP.join(words), np.array(sizes, dtype=np.int32).tobytes(), packed(docs, np.int32), packed(counts, np.int32)]
+        kinds = [pa.int64(), pa.int64(), pa.binary(), pa.binary(), pa.string(), pa.binary(), pa.binary(), pa.binary()]
+        return pa.RecordBatch.from_arrays([pa.array([v], k) for v, k in zip(values, kinds)], names=[c.split()[0] for c in PART.split(", ")])
+
+    def run(batches):
+        held, size = [], 0
+        for batch in batches:
+            for i, text in zip(batch.column(0).to_pylist(), batch.column(1)):
+                words = terms(text.as_py())
+                held.append((i, words))
+                size += len(words)
+                # A part ends at ``most`` documents, or earlier at so many terms that its lists stay small.
+                if len(held) >= most or size >= 4_000_000:
+                    yield part(held)
+                    held, size = [], 0
+        if held:
+            yield part(held)
+
+    docs.mapInArrow(run, PART).write.mode("overwrite").option("compression", "zstd").parquet(folder)
+    return docs.sparkSession.read.schema(PART).parquet(folder)
+
+
 class Shard:
-    """Inverted lists of up to SHARD documents. ids ascend within equal scores by sorting here; rows: (document, term) pairs with counts."""
+    """The lists of one shard for a block's terms. ids, lengths: of its documents; terms, docs, counts: its postings, with the documents of each term ascending."""
 
-    def __init__(self, block: Block, ids: np.ndarray, lengths: np.ndarray, sizes: np.ndarray, cols: np.ndarray, counts: np.ndarray):
+    def __init__(self, block: Block, ids: np.ndarray, lengths: np.ndarray, terms: np.ndarray, docs: np.ndarray, counts: np.ndarray):
         self.block, self.ids, n = block, ids, len(ids)
-        doc = np.repeat(np.arange(n, dtype=np.int32), sizes)
+        order = np.argsort(terms, kind="stable")
+        terms, self.docs, counts = terms[order], docs[order], counts[order]
         norm = K1 * (1 - B + B * lengths / block.mean)
-        weight = block.idf[cols] * counts * (K1 + 1) / (counts + norm[doc])
-        order = np.argsort(cols, kind="stable")
-        cols, doc, weight = cols[order], doc[order], weight[order]
-        heavy = block.dense[cols]
-        self.row = np.cumsum(block.dense) - 1  # of a dense term
-        dense, width = int(block.dense.sum()), block.width
-        self.lists = np.zeros((dense, -(-n // width) * width))
-        self.lists[self.row[cols[heavy]], doc[heavy]] = weight[heavy]
-        self.tops = self.lists.reshape(dense, -(-n // width), width).max(axis=2)
-        self.doc, self.weight = doc[~heavy], weight[~heavy]
-        self.start = np.searchsorted(cols[~heavy], np.arange(len(block.idf) + 1))
+        self.weight = block.idf[terms] * counts * (K1 + 1) / (counts + norm[self.docs])
+        self.start = np.searchsorted(terms, np.arange(len(block.idf) + 1))
+        size = np.diff(self.start)
+        # The greatest weight of every list, and of every block of the long ones: those with a posting in each block, on average.
+        # (In shorter lists most blocks hold one posting at most, which is its own maximum.) Long lists have a cell a document.
+        self.top = np.zeros(len(size))
+        self.top[size > 0] = np.maximum.reduceat(self.weight, self.start[:-1][size > 0]) if len(terms) else 0.0
+        self.long = size * block.width > n
+        self.row = np.cumsum(self.long) - 1
+        width = block.width
+        self.cells = np.zeros((int(self.long.sum()), -(-n // width) * width))
+        inside = self.long[terms]
+        self.cells[self.row[terms[inside]], self.docs[inside]] = self.weight[inside]
+        self.tops = self.cells.reshape(len(self.cells), -(-n // width), width).max(axis=2, initial=0.0)
+        #: Postings of the lists of all queries, and how many of them were read.
+        self.posted = self.walked = 0
 
     def search(self, query: int, k: int, scores: np.ndarray, docs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """The best k of ``scores`` and ``docs`` (the best so far) and of this shard."""
         block, n = self.block, len(self.ids)
         cols = block.cols[block.at[query] : block.at[query + 1]]
-        heavy = block.dense[cols]
-        rows, light = self.row[cols[heavy]], cols[~heavy]
-        start, size = self.start[light], self.start[light + 1] - self.start[light]
-        total = int(size.sum())
-        if total:
-            take = np.repeat(start - np.cumsum(size) + size, size) + np.arange(total)
-            sure = np.bincount(self.doc[take], weights=self.weight[take], minlength=n)
-        else:
-            sure = np.zeros(n)
-        bound = sure + np.repeat(self.tops[rows].sum(axis=0), block.width)[:n] if len(rows) else sure
+        size = self.start[cols + 1] - self.start[cols]
+        self.posted += int(size.sum())
         least = scores[k - 1] if len(scores) >= k else -np.inf
+        # The pivot: long lists are put first, those with the most postings for their maximum at the front; up to the pivot
+        # all maxima together stay below the threshold, so no document can be a result by these lists alone.
+        long = self.long[cols]
+        first = cols[long]
+        first = first[np.argsort(self.top[first] / np.maximum(size[long], 1), kind="stable")]
+        before = np.cumsum(self.top[first]) < (least if least > -np.inf else np.inf)
+        resting = self.row[first[before]]
+        # Cursors of the pivot's list and those behind it walk: short lists posting by posting, long ones as rows of cells.
+        short = cols[~long]
+        sizes = size[~long]
+        take = _taken(self.start[short], sizes)
+        sure = np.bincount(self.docs[take], weights=self.weight[take], minlength=n) if len(take) else np.zeros(n)
+        for r in self.row[first[~before]].tolist():
+            sure += self.cells[r, :n]
+        self.walked += len(take) + int(size[long].sum() - (self.start[first[before] + 1] - self.start[first[before]]).sum())
+        # Block maxima of the resting lists: a document is looked up in them only if with these it reaches the threshold.
+        bound = sure + np.repeat(self.tops[resting].sum(axis=0), block.width)[:n] if len(resting) else sure
         if least == -np.inf and n > 4 * k:
             # A first threshold: the k-th exact score of the documents with the highest bounds, if their ids differ.
-            first = np.argpartition(-bound, 2 * k)[: 2 * k]
-            exact = sure[first] + self.lists[np.ix_(rows, first)].sum(axis=0)
-            best = {}
-            for i, s in zip(self.ids[first].tolist(), exact.tolist()):
+            some = np.argpartition(-bound, 2 * k)[: 2 * k]
+            best: dict[int, float] = {}
+            for i, s in zip(self.ids[some].tolist(), (sure[some] + self.cells[np.ix_(resting, some)].sum(axis=0)).tolist()):
                 best[i] = max(s, best.get(i, 0.0))
             if len(best) >= k:
                 least = np.round(sorted(best.values())[-k], 9)
         found = np.flatnonzero((bound >= least - 1e-8) & (bound > 0))
+        self.walked += len(found) * len(resting)
         if not len(found):
             return scores, docs
-        exact = np.round(sure[found] + (self.lists[np.ix_(rows, found)].sum(axis=0) if len(rows) else 0.0), 9)
+        exact = np.round(sure[found] + (self.cells[np.ix_(resting, found)].sum(axis=0) if len(resting) else 0.0), 9)
         keep = (exact > 0) & (exact >= least)
-        scores = np.concatenate([scores, exact[keep]])
-        docs = np.concatenate([docs, self.ids[found[keep]]])
-        order = np.lexsort((docs, -scores))
-        scores, docs = scores[order], docs[order]
+        scores, docs = np.concatenate([scores, exact[keep]]), np.concatenate([docs, self.ids[found[keep]]])
+        best = np.lexsort((docs, -scores))
+        scores, docs = scores[best], docs[best]
         if len(docs) > 1:
             _, once = np.unique(docs, return_index=True)  # the first of an id is its best
             once.sort()
@@ -139,107 +201,91 @@ def _block_of(queries: DataFrame, blocks: int, number: int) -> Block:
     return Block(np.array([r["id"] for r in rows], dtype=np.int64), [r["terms"] for r in rows])
 
 
-def _counted(docs: DataFrame, shared, folder: str) -> DataFrame:
-    """(id, length, cols, counts) of all documents: their counts of the block's terms."""
+def _numbers(words: str, get) -> np.ndarray:
+    """The numbers of a part's terms in a block's vocabulary; -1 for terms that no query has."""
+    return np.fromiter((get(w, -1) for w in words.split(_SEP)), dtype=np.int32) if words else np.zeros(0, np.int32)
 
-    def run(batches):
-        get = {w: i for i, w in enumerate(shared.value.words)}.get
-        for batch in batches:
-            for at in range(0, batch.num_rows, 1000):
-                part = batch.slice(at, 1000)
-                lengths, cols, counts = [], [], []
-                for text in part.column(1).to_pylist():
-                    words = terms(text)
-                    lengths.append(len(words))
-                    ids = np.array([i for i in map(get, words) if i is not None], dtype=np.int32)
-                    ids, n = np.unique(ids, return_counts=True)
-                    cols.append(ids.tobytes())
-                    counts.append(n.astype(np.int32).tobytes())
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(lengths, pa.int64()), pa.array(cols, pa.binary()), pa.array(counts, pa.binary())], names=["id", "length", "cols", "counts"])
-
-    made = docs.mapInArrow(run, "id long, length long, cols binary, counts binary")
-    made.write.mode("overwrite").option("compression", "zstd").parquet(folder)
-    return docs.sparkSession.read.schema(made.schema).parquet(folder)
-
-
-def _frequencies(counted: DataFrame, words: int) -> tuple[np.ndarray, int, int]:
-    """(document frequency of each term, documents, terms in all documents). Each task sends one sum a slice of the vocabulary."""
+
+def _frequencies(made: DataFrame, shared, words: int) -> np.ndarray:
+    """The document frequency of each of a block's terms. Each task sends one sum a slice of the vocabulary."""
     slices = 16
     width = -(-max(1, words) // slices)
 
     def partial(batches):
-        df, n, length = np.zeros(width * slices, dtype=np.int64), 0, 0
+        get = {w: i for i, w in enumerate(shared.value.words)}.get
+        df = np.zeros(width * slices, dtype=np.int64)
         for batch in batches:
-            n += batch.num_rows
-            length += int(np.sum(batch.column(1).to_numpy(zero_copy_only=False)))
-            for at in range(0, batch.num_rows, 1000):
-                ids = np.frombuffer(b"".join(batch.column(0).slice(at, 1000).to_pylist()), dtype=np.int32)
-                df += np.bincount(ids, minlength=len(df))
-        for k in range(slices):
-            yield pa.RecordBatch.from_arrays([pa.array([k]), pa.array([n if not k else 0]), pa.array([length if not k else 0]), pa.array([df[k * width : (k + 1) * width].tobytes()], pa.binary())], names=["slice", "n", "length", "df"])
+            for found, sizes in zip(batch.column(0), batch.column(1)):
+                at = _numbers(found.as_py(), get)
+                df[at[at >= 0]] += np.frombuffer(sizes.as_py(), dtype=np.int32)[at >= 0]
+        yield pa.RecordBatch.from_arrays([pa.array(range(slices), pa.int64()), pa.array([df[k * width : (k + 1) * width].tobytes() for k in range(slices)], pa.binary())], names=["slice", "df"])
 
     def total(group: pa.Table) -> pa.Table:
         df = sum(np.frombuffer(x.as_py(), dtype=np.int64) for x in group["df"])
-        return pa.table({"slice": [group["slice"][0].as_py()], "n": [int(group["n"].to_numpy().sum())], "length": [int(group["length"].to_numpy().sum())], "df": pa.array([df.tobytes()], pa.binary())})
+        return pa.table({"slice": [group["slice"][0].as_py()], "df": pa.array([df.tobytes()], pa.binary())})
 
-    schema = "slice long, n long, length long, df binary"
-    rows = counted.select("cols", "length").mapInArrow(partial, schema).groupBy("slice").applyInArrow(total, schema).collect()
+    rows = made.select("words", "sizes").mapInArrow(partial, "slice long, df binary").groupBy("slice").applyInArrow(total, "slice long, df binary").collect()
     df = np.zeros(width * slices, dtype=np.int64)
     for r in rows:
         df[r["slice"] * width : (r["slice"] + 1) * width] = np.frombuffer(bytes(r["df"]), dtype=np.int64)
-    return df[:words], sum(r["n"] for r in rows), sum(r["length"] for r in rows)
-
-
-def _searched(counted: DataFrame, shared, k: int) -> DataFrame:
+    return df[:words]
+
+
+def shards_of(batches, block: Block):
+    """The shards of a task: its parts, put together until they hold SHARD documents."""
+    get = {w: i for i, w in enumerate(block.words)}.get
+    held, n = [], 0
+
+    def joined():
+        return Shard(block, *(np.concatenate(x) for x in zip(*held)))
+
+    for batch in batches:
+        for row in range(batch.num_rows):
+            ids, lengths, words, sizes, docs, counts = (batch.column(c)[row].as_py() for c in range(2, 8))
+            number = _numbers(words, get)
+            numbers = np.repeat(number, np.frombuffer(sizes, np.int32))
+            mine = numbers >= 0
+            ids = np.frombuffer(ids, np.int64)
+            held.append((ids, np.frombuffer(lengths, np.int64), numbers[mine], np.frombuffer(docs, np.int32)[mine] + n, np.frombuffer(counts, np.int32)[mine]))
+            n += len(ids)
+            if n >= block.shard:
+                yield joined()
+                held, n = [], 0
+    if held:
+        yield joined()
+
+
+def _searched(made: DataFrame, shared, k: int) -> DataFrame:
     """(query, query_id, doc_id, score): each task's best k of each query."""
 
     def run(batches):
         block: Block = shared.value
-        none = (np.zeros(0), np.zeros(0, np.int64))
-        best = [none] * len(block.ids)
-        held, rows = [], 0
-
-        def work(parts):
-            joined = [np.concatenate(x) for x in zip(*parts)]
-            shard = Shard(block, *joined)
+        best = [(np.zeros(0), np.zeros(0, np.int64))] * len(block.ids)
+        for shard in shards_of(batches, block):
             for q in range(len(best)):
                 best[q] = shard.search(q, k, *best[q])
-
-        for batch in batches:
-            for at in range(0, batch.num_rows, block.shard):
-                part = batch.slice(at, block.shard)
-                cols, counts = part.column(2).to_pylist(), part.column(3).to_pylist()
-                held.append((part.column(0).to_numpy(), part.column(1).to_numpy(), np.array([len(c) // 4 for c in cols], dtype=np.int64), np.frombuffer(b"".join(cols), dtype=np.int32), np.frombuffer(b"".join(counts), dtype=np.int32)))
-                rows += part.num_rows
-                if rows >= block.shard:
-                    work(held)
-                    held, rows = [], 0
-        if held:
-            work(held)
         for first in range(0, len(best), 1000):
             some = best[first : first + 1000]
-            sizes = [len(s) for s, _ in some]
-            at = np.repeat(np.arange(first, first + len(some)), sizes)
+            at = np.repeat(np.arange(first, first + len(some)), [len(s) for s, _ in some])
             yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(block.ids[at]), pa.array(np.concatenate([d for _, d in some])), pa.array(np.concatenate([s for s, _ in some]))], names=["query", "query_id", "doc_id", "score"])
 
-    return counted.mapInArrow(run, "query long, query_id long, doc_id long, score double")
+    return made.mapInArrow(run, "query long, query_id long, doc_id long, score double")
 
 
 def search(docs: DataFrame, queries: DataFrame, k: int = 10, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(query_id, rank, doc_id, score): the k best documents for the text of each row of ``queries``."""
     spark = docs.sparkSession
     slim = lambda df: df.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")).where("id IS NOT NULL")
-    every, asked = slim(docs), cut(slim(queries).where("text IS NOT NULL").distinct())
+    asked = cut(slim(queries).where("text IS NOT NULL").distinct())
+    made = index(slim(docs), f"{shared_folder(spark)}/bm25-{uuid.uuid4().hex}")
+    total = made.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n"), F.coalesce(F.sum("tokens"), F.lit(0)).alias("tokens")).first()
+    few = made.coalesce(max(TASKS, -(-total["n"] // TASK_DOCS)))  # whole tasks share a threshold
     shape = asked.agg(F.count("*").alias("n"), F.coalesce(F.sum(F.octet_length("text")), F.lit(0)).alias("b")).first()
     blocks = max(1, -(-shape["n"] // BLOCK_QUERIES), -(-shape["b"] // QUERY_BYTES))
     out = None
-    for number in range(blocks):  # a pass over all documents for each bounded block of queries
+    for number in range(blocks):
         block = _block_of(asked, blocks, number)
-        folder = f"{shared_folder(spark)}/bm25-{uuid.uuid4().hex}"
-        counted = _counted(every, spark.sparkContext.broadcast(block), folder)
-        df, n, length = _frequencies(counted, len(block.words))
-        block.weigh(df, n, length)
-        few = counted.coalesce(max(TASKS, -(-n // TASK_DOCS)))  # whole tasks share a threshold
+        block.weigh(_frequencies(made, spark.sparkContext.broadcast(block), len(block.words)), total["n"], total["tokens"])
         hits = _searched(few, spark.sparkContext.broadcast(block), k).withColumn("block", F.lit(number))
         out = hits if out is None else out.unionByName(hits)
     key = ["block", "query", "query_id"]

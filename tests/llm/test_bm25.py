@@ -35,9 +35,9 @@ def found(spark, rows, asked, **kw):
     return {q: sorted(v) for q, v in out.items()}
 
 
-@pytest.mark.parametrize("shard,queries,dense", [(8192, 8192, 0.02), (40, 7, 0.2), (16, 8192, 0.0), (64, 8192, 2.0)])
-def test_against_all_documents(spark, monkeypatch, shard, queries, dense):
-    for name, value in (("SHARD", shard), ("BLOCK_QUERIES", queries), ("DENSE", dense), ("TASK_DOCS", 60), ("WIDTH", 8)):
+@pytest.mark.parametrize("shard,queries,width", [(8192, 8192, 8), (40, 7, 8), (16, 8192, 1), (64, 8192, 100), (300, 20, 3)])
+def test_against_all_documents(spark, monkeypatch, shard, queries, width):
+    for name, value in (("SHARD", shard), ("BLOCK_QUERIES", queries), ("TASK_DOCS", 60), ("WIDTH", width)):
         monkeypatch.setattr(bm25, name, value)
     rng = np.random.default_rng(3)
     words = [f"w{i}" for i in range(400)]
@@ -56,3 +56,24 @@ def test_empty(spark):
     assert found(spark, [], [(1, "a")]) == {}
     assert found(spark, [(1, "a")], []) == {}
     assert found(spark, [(1, "a")], [(1, "a")], k=3).keys() == {1}
+
+
+def test_postings_of_resting_lists_are_skipped():
+    """Frequent words rest once the threshold is above what they can add up to."""
+    rng = np.random.default_rng(1)
+    texts = [" ".join(f"{'ab'[i // 500]}{w}" for w in rng.integers(0, 300, 40)) + " the of and to in" * int(rng.integers(1, 4)) for i in range(1000)]
+    block = bm25.Block(np.arange(20), ["\0".join(sorted(set(bm25.terms(t)))) for t in texts[:20]])
+    number = {w: i for i, w in enumerate(block.words)}
+    counted = [Counter(w for w in bm25.terms(t) if w in number) for t in texts]
+    df = np.zeros(len(block.words), dtype=np.int64)
+    for c in counted:
+        df[[number[w] for w in c]] += 1
+    lengths = np.array([len(bm25.terms(t)) for t in texts])
+    block.weigh(df, 1000, int(lengths.sum()))
+    rows = [(number[w], i, n) for i, c in enumerate(counted) for w, n in c.items()]
+    shard = bm25.Shard(block, np.arange(1000), lengths, *(np.array(x) for x in zip(*rows)))
+    for q in range(20):
+        scores, docs = shard.search(q, 10, np.zeros(0), np.zeros(0, np.int64))
+        assert docs[0] == q and len(docs) == 10
+        shard.search(q, 10, scores, docs)
+    assert shard.walked < 0.6 * shard.posted
