@@ -10,14 +10,16 @@ where NC are the characters outside links and a prime means at least one. Format
 markup of the text around them, neither tags nor nodes of their own; links count as tags. A node's density sum adds up its
 children's densities. The subtree with the largest density sum is the core; the smallest density on the path from it to
 body is the threshold, and the blocks kept are those in the highest node on that path up to which all neighbours of the
-path but headings reach the threshold (in an article element around the core, all of that article). Boilerplate elements (nav, footer, aside, forms and so on, a header outside an
-article, and elements whose class, id or role says so) count no characters and are never part of the result.
+path but headings reach the threshold. Boilerplate elements (nav, footer, aside, forms and so on, a header outside an article,
+and elements whose class, id or role says so) count no characters and are never part of the result: a comment or a sidebar
+can be as dense as the article. Where a page names nothing, densities alone decide.
 
 Defined results
 * null, empty or tag-only pages: an empty text. A page without a body element: its root stands for the body.
 * ties in the density sum: the outermost, then the first node in page order.
 * repeated rows and extra columns are kept; a column named like the result is replaced; empty tables stay empty.
-* very long pages are parsed in one pass with an explicit stack, whatever their depth.
+* very long pages are parsed in one pass with an explicit stack, whatever their depth, in time in proportion to their length:
+  open elements are counted by name, so an end tag that fits none costs no walk.
 """
 
 from __future__ import annotations
@@ -55,17 +57,28 @@ MARKS = frozenset(
 )
 
 
+#: The names that take part in each of these rules, and the rules (by their first name) that a name takes part in.
+RULE = {"li": "li", "dt": "dt", "dd": "dt", "option": "option", "tr": "tr", "td": "td", "th": "td"}
+MEMBER: dict[str, list[str]] = {}
+for _rule in sorted(set(RULE.values())):
+    for _name in sorted(SAME[_rule][0] | SAME[_rule][1]):
+        MEMBER.setdefault(_name, []).append(_rule)
+
+
 class Node:
-    __slots__ = ("tag", "up", "kids", "skip", "link", "chars", "tags", "lchars", "ltags", "density", "total")
+    __slots__ = ("tag", "up", "kids", "skip", "link", "block", "inline", "chars", "tags", "lchars", "ltags", "density", "total")
 
     def __init__(self, tag: str, up: "Node | None", skip: bool, link: bool):
         self.tag, self.up, self.kids, self.skip, self.link = tag, up, [], skip, link
+        #: The nearest element around that isn't inline, itself included; how many inline elements of a name are open in it.
+        self.block = up.block if up is not None and tag in INLINE else self
+        self.inline: dict[str, int] | None = None
         self.chars = self.tags = self.lchars = self.ltags = 0
         self.density = self.total = 0.0
 
 
-def _marked(tag: str, attrs: str, up: Node) -> bool:
-    """Whether an element below ``up`` is boilerplate by its name or attributes."""
+def _marked(tag: str, attrs: str, in_article: bool) -> bool:
+    """Whether an element is boilerplate by its name or attributes; a page's header is, but not an article's."""
     if tag in SKIP:
         return True
     heads = tag == "header"
@@ -74,11 +87,7 @@ def _marked(tag: str, attrs: str, up: Node) -> bool:
         if found is True:
             return True
         heads |= found is None
-    if heads:  # a page's header, but not an article's
-        while up is not None and up.tag not in ("article", "main"):
-            up = up.up
-        return up is None
-    return False
+    return heads and not in_article
 
 
 def _named(attrs: str) -> bool | None:
@@ -100,9 +109,23 @@ def _named(attrs: str) -> bool | None:
 
 def parse(page: str) -> Node:
     """The tree: kids are nodes and, for runs of text, strings (references not yet decoded)."""
-    root = Node("#root", None, False, False)
-    at, pos, end = root, 0, len(page)
+    root = at = Node("#root", None, False, False)
+    pos, end = 0, len(page)
     match = _TOKEN.search
+    open_: dict[str, int] = {}  # open elements of each name
+    piles: dict[str, list[Node]] = {rule: [] for rule in SAME}  # open elements that take part in a rule
+
+    def leave(node: Node) -> None:
+        """Close ``node`` and all that is open in it."""
+        nonlocal at
+        while at is not node.up:
+            open_[at.tag] -= 1
+            if at.block is not at:
+                at.block.inline[at.tag] -= 1
+            for rule in MEMBER.get(at.tag, ()):
+                piles[rule].pop()
+            at = at.up
+
     while pos < end:
         m = match(page, pos)
         if m is None:
@@ -118,32 +141,25 @@ def parse(page: str) -> Node:
             continue
         tag = name.lower()
         if m[1]:
-            node = at
-            while node.up is not None and node.tag != tag:
-                # An inline end tag doesn't reach beyond the block it stands in.
-                if tag in INLINE and node.tag not in INLINE:
-                    node = root
-                    break
-                node = node.up
-            if node.up is not None:
-                at = node.up
+            # An inline end tag doesn't reach beyond the block it stands in.
+            fits = (at.block.inline or {}).get(tag) if tag in INLINE else open_.get(tag)
+            if fits:
+                node = at
+                while node.tag != tag:
+                    node = node.up
+                leave(node)
             continue
-        if tag in CLOSES_P:
-            node = at
-            while node.up is not None and node.tag in INLINE:
-                node = node.up
-            if node.tag == "p":
-                at = node.up
+        if tag in CLOSES_P and at.block.tag == "p":
+            leave(at.block)
         if tag in SAME:
-            ends, stops = SAME[tag]
-            node, last = at, None
-            while node.up is not None and node.tag not in stops:
-                if node.tag in ends:
-                    last = node
-                node = node.up
+            ends, last = SAME[tag][0], None
+            for node in reversed(piles[RULE[tag]]):
+                if node.tag not in ends:
+                    break
+                last = node
             if last is not None:
-                at = last.up
-        node = Node(tag, at, at.skip or _marked(tag, m[3], at), at.link or tag == "a")
+                leave(last)
+        node = Node(tag, at, at.skip or _marked(tag, m[3], bool(open_.get("article") or open_.get("main"))), at.link or tag == "a")
         at.kids.append(node)
         if tag in VOID or m[4] and tag not in RAW:
             continue
@@ -152,6 +168,13 @@ def parse(page: str) -> Node:
             node.skip = True
             pos = close.end() if close else end
             continue
+        open_[tag] = open_.get(tag, 0) + 1
+        if node.block is not node:
+            if node.block.inline is None:
+                node.block.inline = {}
+            node.block.inline[tag] = node.block.inline.get(tag, 0) + 1
+        for rule in MEMBER.get(tag, ()):
+            piles[rule].append(node)
         at = node
     return root
 
@@ -233,10 +256,9 @@ def main_node(page: str) -> Node:
     while path[-1] is not body:
         path.append(path[-1].up)
     threshold = min(n.density for n in path if n.chars)
-    # Within an article element all that is not boilerplate belongs to it.
-    best = next((n for n in path if n.tag == "article"), core)
+    best = core
     # Up the path as long as every neighbour with text is dense enough to belong to it.
-    for node in path[path.index(best) + 1 :]:
+    for node in path[1:]:
         others = [k for k in node.kids if isinstance(k, Node) and k is not best and not k.skip and k.chars and k.tag not in HEADINGS]
         if not all(k.density >= threshold or k.tag in INLINE for k in others):
             break

@@ -77,3 +77,49 @@ def test_table(spark):
     assert got.columns == ["page_id", "url", "html", "text"]
     assert sorted(((r.page_id, r.text) for r in got.collect()), key=str) == sorted([(1, "x"), (1, "x"), (2, ""), (None, " ".join(["word word word"] * 20000))], key=str)
     assert html_text.extract_text(pages.where("false")).collect() == []
+
+
+def bare(text):
+    """A page without names: only divs and paragraphs, no class, id or role."""
+    import re
+
+    text = re.sub(r"<(/?)(?:article|main|section|nav|header|footer|aside)\b[^>]*>", r"<\1div>", text)
+    return re.sub(r"<(div|ul|li|p)\s[^>]*>", r"<\1>", text)
+
+
+def test_densities_decide(monkeypatch):
+    rng = random.Random(3)
+    menu = "".join(f"<li><a href='/{k}'>word {k} and more</a>" for k in range(30))
+    pages = []
+    for _ in range(40):
+        paras = [" ".join("".join(rng.choice("abcdefgh") for _ in range(6)) for _ in range(rng.randint(40, 90))) for _ in range(5)]
+        pages.append((f"<html><body><div><ul>{menu}</ul></div><div>{''.join(f'<p>{p}</p>' for p in paras)}</div><div><a href='/x'>next page</a> <a href='/y'>last page</a></div></body></html>", " ".join(paras)))
+    assert all(html_text.extract(text) == want for text, want in pages)
+    real = html_text.measure
+
+    def constant(nodes, body):
+        real(nodes, body)
+        for node in nodes:
+            node.density = node.total = 1.0
+
+    monkeypatch.setattr(html_text, "measure", constant)
+    assert all(html_text.extract(text) != want for text, want in pages)
+
+
+def test_names_add_little_where_densities_can_decide():
+    rng = random.Random(8)
+    near = 0
+    for _ in range(60):
+        text, want = page(rng, "divs")
+        got, words = html_text.extract(bare(text)).split(), want.split()
+        near += set(words) <= set(got)
+    assert near >= 54
+
+
+@pytest.mark.parametrize("text", ["<div>" * 100_000 + "</p>" * 100_000, "<b>" * 50_000 + "<div></div>" * 50_000, "<div>" * 50_000 + "<li></li>" * 50_000, "<b><div>" + "<i>" * 50_000 + "</b>" * 50_000, "<ul><li><ul>" + "<div>" * 50_000 + "<li>x</li>" * 50_000, "<div>" * 50_000 + "<header>h</header>" * 50_000])
+def test_time_grows_with_the_length_only(text):
+    import time
+
+    start = time.perf_counter()
+    html_text.extract(text + "end of page")
+    assert time.perf_counter() - start < 12  # hours, were it the square
