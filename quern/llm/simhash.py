@@ -4,10 +4,12 @@ A 64-bit fingerprint is mapped to the bit counts of its 32 two-bit segments, a p
 bit moves the point by one step along one axis, so the Manhattan distance of two points never exceeds the Hamming
 distance of their fingerprints: points more than ``radius`` apart need no look at the bits.
 
-Range join on the grid: the axes are dealt to ``radius + 3`` groups. Points within Manhattan distance ``radius`` differ in
-at most ``radius`` groups, so they agree in at least three; every point is posted in the cell (its coordinates) of each
-choice of three groups, and a pair within the radius meets in some cell. Inside a cell the Manhattan bound is tested
-first, then the exact Hamming distance. A cell yields a spanning forest of its links, never all its pairs.
+Range join on the grid: the axes are dealt to groups. Points within Manhattan distance ``radius`` differ in at most ``radius``
+groups, so they agree in all others; every point is posted in the cell (its coordinates) of each choice of that many groups,
+and a pair within the radius meets in some cell. More groups give finer cells and more of them to a point: their number is
+the one that costs least for the number of distinct fingerprints (``groups_for``: ``radius`` + 3 up to some millions), so
+that cells of unlike fingerprints stay small in tables of any size. Inside a cell the Manhattan bound is tested first, then
+the exact Hamming distance. A cell yields a spanning forest of its links, never all its pairs.
 
 Hot cells: a cell is worked through in blocks of BLOCK points. Blocks of one cell are dealt to different tasks as pairs of
 blocks, so no task holds more than two blocks of a cell.
@@ -23,6 +25,7 @@ Defined results
 from __future__ import annotations
 
 from itertools import combinations
+from math import comb
 
 import numpy as np
 import pyarrow as pa
@@ -96,6 +99,17 @@ def _axes(groups: int) -> list[int]:
     return masks
 
 
+def groups_for(n: int, radius: int = 4) -> int:
+    """The number of axis groups that costs least for n distinct fingerprints: cells of a point, times 1 and a quarter of the points that a cell of random fingerprints holds beside it (to compare two points costs some quarter of posting one)."""
+
+    def cost(groups: int) -> float:
+        agree = groups - radius
+        # A two-bit segment's bit count has 1.5 bits of entropy; that a pair agrees by chance in one has odds of 3 in 8.
+        return comb(groups, agree) * (1 + n / 4 * (3 / 8) ** (32 * agree / groups))
+
+    return min(range(radius + 3, min(33, radius + 13)), key=cost)
+
+
 def _signed(x: int) -> int:
     return x - (1 << 64) if x >> 63 else x
 
@@ -235,7 +249,8 @@ def links(points: DataFrame, radius: int = 4, groups: int | None = None, most: i
 def _joined(prints: DataFrame, radius: int) -> tuple[DataFrame, DataFrame]:
     """Distinct fingerprints (fp, least id, n rows) and, for those with links, (fp, component)."""
     distinct = cut(prints.groupBy("fp").agg(F.min("id").alias("least"), F.count("*").alias("n")))
-    return distinct, components(links(distinct.select("fp"), radius)).withColumnRenamed("node", "fp")
+    groups = groups_for(distinct.count(), radius)
+    return distinct, components(links(distinct.select("fp"), radius, groups)).withColumnRenamed("node", "fp")
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 4, radius: int = 4) -> DataFrame:
@@ -254,7 +269,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
 
 def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 4, radius: int = 4) -> DataFrame:
-    """The rows of ``docs`` that stay: of each component the row with the smallest id (null ids last, then by the text's hash). Of rows alike in id and text one stays."""
+    """The rows of ``docs`` that stay: of each component the row with the smallest id (null ids last, then by the text's hash). Of rows alike in id and text the one whose other columns have the smallest hash stays."""
     prints = cut(fingerprints(docs, id_col, text_col, width))
     _, joined = _joined(prints, radius)
     first = F.min(F.struct(F.col("id").isNull().alias("none"), "id", "mark")).alias("first")
@@ -262,7 +277,9 @@ def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     stay = groups.select(F.col("first.id").alias("__id"), F.col("first.mark").alias("__mark"))
     marked = docs.withColumn("__text_mark", F.xxhash64(text_col))
     kept = marked.join(stay, marked[id_col].eqNullSafe(stay["__id"]) & (marked["__text_mark"] == stay["__mark"]), "left_semi")
-    return kept.dropDuplicates([id_col, "__text_mark"]).drop("__text_mark")
+    # Copies of a row are put together before the shuffle, so many of them are no load.
+    row = F.struct(*[docs[c] for c in docs.columns])
+    return kept.groupBy(marked[id_col].alias("__key"), "__text_mark").agg(F.min_by(row, F.xxhash64(*[docs[c] for c in docs.columns])).alias("__row")).select("__row.*")
 
 
 def op7_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -5,8 +5,12 @@ import pyarrow as pa
 import pyarrow.parquet as pq
 import pytest
 
+from pyspark.sql import Row
+
 import corpus_pipeline
-from quern.llm import bpe, mixing, quality, simhash, toxicity
+from quern.llm import quality, simhash, toxicity
+from quern.llm.training_order import encoder
+from test_mixing import budgets as check_budgets
 from test_simhash import brute as components
 
 
@@ -59,13 +63,15 @@ def test_stages_against_brute_force(spark, tables):
 
     mixed = corpus_pipeline.mix_sources(spark, single, folder)
     assert mixed.columns == names
-    times = {r.doc_id: r.taken // r.size for r in mixing.mix(single).collect() if r.size}
     found = {r.doc_id: r["count"] for r in mixed.groupBy("doc_id").count().collect()}
-    assert found == {d: t for d, t in times.items() if t}
+    words = {d: len((texts[d][1] or "").split()) for d in want}
+    table = [Row(doc_id=d, size=words[d], taken=found.get(d, 0) * words[d]) for d in want]
+    check_budgets([(d, texts[d][1], texts[d][3]) for d in want], table)
 
+    tokenizer = encoder()
     ids = {r.doc_id: r for r in corpus_pipeline.encode(spark, mixed, folder).collect()}
     for d, r in ids.items():
-        packed = bpe.codec(None).encode([texts[d][1]])[0]
+        packed = np.array(tokenizer.encode(texts[d][1], disallowed_special=()), dtype="<u4").tobytes()
         assert (r.n_tokens, r.ids_sha256, r.decoded_sha256) == (len(packed) // 4, hashlib.sha256(packed).hexdigest(), hashlib.sha256(texts[d][1].encode()).hexdigest())
 
 

@@ -102,3 +102,14 @@ def test_one_of_each(spark):
     rows = [(4, "a b c d e f"), (2, "a b c d e f"), (2, "a b c d e f"), (9, "something else entirely is here now")]
     docs = spark.createDataFrame([(d, t, "s") for d, t in rows], "doc_id long, text string, _kept string")
     assert sorted(r.doc_id for r in simhash.one_of_each(docs).collect()) == [2, 9]
+
+
+def test_more_fingerprints_want_more_groups():
+    chosen = [simhash.groups_for(n) for n in (10, 10**6, 10**8, 10**10, 10**12)]
+    assert chosen[:2] == [7, 7] and chosen == sorted(chosen) and chosen[-1] > 8
+
+
+def test_the_row_that_stays_does_not_depend_on_order(spark):
+    rows = [(1, "a b c d e", s) for s in ("x", "y", None)] * 3 + [(2, "a b c d e", "z"), (3, "other words here they are", "w"), (None, "a b c d e", "n")]
+    made = [sorted(map(tuple, simhash.one_of_each(spark.createDataFrame(rows[::step], "doc_id long, text string, source string").repartition(n)).collect())) for step, n in ((1, 1), (-1, 3))]
+    assert made[0] == made[1] and [r[0] for r in made[0]] == [1, 3]
