@@ -2,7 +2,12 @@
 
 Each stage takes (spark, docs, sf_dir), works on all rows its predecessor kept and returns rows with the columns of
 documents; the last returns the digest of the encoded documents. Every stage's result is written as Parquet and read again
-as the next one's input, so a lost executor repeats one stage's tasks at most.
+as the next one's input, so a lost executor repeats one stage's tasks at most. A stage's result goes once the next is written.
+
+Defined results, of every stage but the last: an empty table stays empty; columns beside those of documents are kept, whatever
+their names; rows without an id are judged like others. Null and empty texts are scored by the intercepts, are near-duplicates
+of each other, and are never mixed in, as they hold no word. Repeated rows are judged alike, one of them is left by the
+near-duplicate stage, and ties there and in mixing go by the smaller id or hash, so a rerun keeps the same rows.
 """
 
 from __future__ import annotations
@@ -12,7 +17,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from quern.llm import bpe, mixing, quality, simhash, toxicity
-from quern.llm.shared import shared_folder
+from quern.llm.shared import drop_folder, shared_folder
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -61,4 +66,6 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
         made = stage(spark, docs, sf_dir)
         made.write.mode("overwrite").parquet(f"{folder}/{number}")
         docs = spark.read.schema(made.schema).parquet(f"{folder}/{number}")
+        if number:
+            drop_folder(spark, f"{folder}/{number - 1}")
     return docs
