@@ -27,6 +27,7 @@ from __future__ import annotations
 
 import re
 import uuid
+from collections import defaultdict
 
 import numpy as np
 import pyarrow as pa
@@ -81,37 +82,36 @@ def index(docs: DataFrame, folder: str) -> DataFrame:
     """The inverted index of ``docs`` (id, text): a row for each part of a task's documents, written to ``folder``."""
     most = SHARD
 
-    def part(rows: list[tuple[int, list[str]]]):
-        found: dict[str, list[int]] = {}
-        for i, (_, words) in enumerate(rows):
-            for w in words:
-                found.setdefault(w, []).append(i)
-        words = sorted(found)
-        docs, counts, sizes = [], [], []
-        for w in words:
-            at, n = np.unique(np.array(found[w], dtype=np.int32), return_counts=True)
-            docs.append(at)
-            counts.append(n)
-            sizes.append(len(at))
-        packed = lambda xs, kind: (np.concatenate(xs) if len(xs) else np.zeros(0)).astype(kind).tobytes()
-        lengths = np.array([len(w) for _, w in rows], dtype=np.int64)
-        values = [len(rows), int(lengths.sum()), np.array([i for i, _ in rows], dtype=np.int64).tobytes(), lengths.tobytes(), _SEP.join(words), np.array(sizes, dtype=np.int32).tobytes(), packed(docs, np.int32), packed(counts, np.int32)]
+    def part(ids: list[int], tokens: list[np.ndarray], vocabulary: dict[str, int]):
+        words = sorted(vocabulary)
+        rank = np.empty(len(words), dtype=np.int64)
+        rank[[vocabulary[w] for w in words]] = np.arange(len(words))
+        lengths = np.array([len(t) for t in tokens], dtype=np.int64)
+        # (term, document) as one number: sorted, equal neighbours are a posting's count.
+        keys, counts = np.unique(rank[np.concatenate(tokens)] * most + np.repeat(np.arange(len(ids)), lengths), return_counts=True)
+        sizes = np.bincount(keys // most, minlength=len(words))
+        arrays = [np.array(ids, dtype=np.int64), lengths, sizes.astype(np.int32), (keys % most).astype(np.int32), counts.astype(np.int32)]
+        packed = [a.tobytes() for a in arrays]
+        values = [len(ids), int(lengths.sum()), packed[0], packed[1], _SEP.join(words), *packed[2:]]
         kinds = [pa.int64(), pa.int64(), pa.binary(), pa.binary(), pa.string(), pa.binary(), pa.binary(), pa.binary()]
         return pa.RecordBatch.from_arrays([pa.array([v], k) for v, k in zip(values, kinds)], names=[c.split()[0] for c in PART.split(", ")])
 
     def run(batches):
-        held, size = [], 0
+        ids, tokens, vocabulary, size = [], [], defaultdict(), 0
+        vocabulary.default_factory = vocabulary.__len__  # a new term gets the next number
         for batch in batches:
             for i, text in zip(batch.column(0).to_pylist(), batch.column(1)):
                 words = terms(text.as_py())
-                held.append((i, words))
+                ids.append(i)
+                tokens.append(np.fromiter(map(vocabulary.__getitem__, words), dtype=np.int32, count=len(words)))
                 size += len(words)
                 # A part ends at ``most`` documents, or earlier at so many terms that its lists stay small.
-                if len(held) >= most or size >= 4_000_000:
-                    yield part(held)
-                    held, size = [], 0
-        if held:
-            yield part(held)
+                if len(ids) >= most or size >= 4_000_000:
+                    yield part(ids, tokens, vocabulary)
+                    ids, tokens, size = [], [], 0
+                    vocabulary.clear()
+        if ids:
+            yield part(ids, tokens, vocabulary)
 
     docs.mapInArrow(run, PART).write.mode("overwrite").option("compression", "zstd").parquet(folder)
     return docs.sparkSession.read.schema(PART).parquet(folder)
