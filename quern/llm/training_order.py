@@ -1,11 +1,12 @@
 """Token ids in training order: a keyed Feistel permutation gives every sequence a global slot, shards hold fixed strides.
 
 1. Texts are encoded, an end id closes each, and the ids of all texts follow one another as one stream in the order of the
-   rows; the stream is cut into sequences of LENGTH ids, and end ids fill up the last one. The ids of each text are written
-   once to the shared folder, with the number of ids before it in its segment (a run of neighbouring rows of one file).
-   One row a segment is summed on the driver: a few dozen bytes for each split of the input.
-2. The order of rows is that of files and rows within them (see ``read_ordered``), or by id and text where the table has no
-   files. Neither depends on splits or tasks, so the same table and key give the same shards on any cluster.
+   rows; the stream is cut into sequences of LENGTH ids, and end ids fill up the last one.
+2. The order of rows is that of files and rows within them (see ``read_ordered``); a table without files is first written to
+   the shared folder, sorted by id and text. Neither depends on splits or tasks, so the same table and key give the same
+   shards on any cluster. A first pass counts the ids of each segment (a run of neighbouring rows of a file in one task: a
+   few dozen bytes for each split of the input are summed on the driver), a second one encodes again and knows where in the
+   stream it stands. To encode twice takes less than to keep all ids in between, which would cost 0.8 times the input on disk.
 3. The slot of a sequence is a balanced Feistel network of ROUNDS keyed rounds over the smallest even number of bits that
    holds n, walked along its cycle until it falls below n: a permutation of the slots without any shuffle or sort of keys.
 4. Sequences are dealt to tasks by ranges of slots, sorted by slot and written as raw files, PER_SHARD sequences each, one
@@ -24,13 +25,14 @@ from __future__ import annotations
 
 import base64
 import uuid
+from contextlib import contextmanager
 from functools import lru_cache
+from itertools import chain
 
 import numpy as np
 import public_tokenizers
 import pyarrow as pa
 import tiktoken
-from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from quern.llm.bpe import default_ranks_path
@@ -89,71 +91,67 @@ def encoder(ranks_path: str | None = None) -> tiktoken.Encoding:
     return tiktoken.Encoding("ranks", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
 
 
-def tokens(docs: DataFrame, folder: str, text_col: str, order: tuple[str, str] | None, id_col: str, width: int, end: int, ranks_path: str | None) -> DataFrame:
-    """The ids of each text, written to ``folder``: (file, segment, before, n, ids); before: the ids of the rows above in the segment."""
-    kind = "<u2" if width == 2 else "<u4"
-    if order:
-        rows = docs.select(F.col(order[0]).cast("string").alias("file"), F.col(order[1]).cast("long").alias("row"), F.col(text_col).alias("text"))
-    else:
-        # Without files, ranges of ids take their place: a file is a task's range, its name the number of the task.
-        keyed = docs.select(F.col(id_col).alias("id"), F.xxhash64(text_col).alias("mark"), F.col(text_col).alias("text"))
-        rows = keyed.repartitionByRange("id", "mark").sortWithinPartitions("id", "mark").select(F.lit("").alias("file"), F.lit(None).cast("long").alias("row"), "text")
+@contextmanager
+def _same_splits(spark: SparkSession):
+    """Both passes cut the files alike, even if executors come or go in between."""
+    name = "spark.sql.files.minPartitionNum"
+    if spark.conf.get(name, None) is not None:
+        yield
+        return
+    spark.conf.set(name, str(spark.sparkContext.defaultParallelism))
+    try:
+        yield
+    finally:
+        spark.conf.unset(name)
+
+
+def _segments(batches, encode, end: int):
+    """(file, first row, ids before in the segment, lists of ids) of a few neighbouring texts at a time."""
+    last, first, seen = None, 0, 0
+    for batch in batches:
+        for at in range(0, batch.num_rows, 500):
+            part = batch.slice(at, 500)
+            held = []
+            for file, row, text in zip(*(part.column(c).to_pylist() for c in range(3))):
+                if last != (file, row - 1):
+                    if held:
+                        yield last[0], first, seen, held
+                    first, seen, held = row, 0, []
+                last = (file, row)
+                held.append(encode(text or ""))
+                held[-1].append(end)
+            if held:
+                yield last[0], first, seen, held
+                seen += sum(map(len, held))
+
+
+def in_order(rows: DataFrame, length: int = LENGTH, per_shard: int = PER_SHARD, key: int = KEY, end: int = END, width: int = 2, ranks_path: str | None = None) -> DataFrame:
+    """(shard, slot, ids) of ``rows`` (file, row, text): one row a sequence, whole shards in a task, in the order of slots."""
+
+    def count(batches):
+        found: dict[tuple, int] = {}
+        for file, first, seen, held in _segments(batches, encoder(ranks_path).encode_ordinary, end):
+            found[file, first] = seen + sum(map(len, held))
+        yield pa.RecordBatch.from_arrays([pa.array([f for f, _ in found], pa.string()), pa.array([s for _, s in found], pa.int64()), pa.array(list(found.values()), pa.int64())], names=["file", "segment", "n"])
 
-    def run(batches):
-        encode, last, seen = encoder(ranks_path).encode_to_numpy, None, 0
-        for batch in batches:
-            for at in range(0, batch.num_rows, 1000):  # few texts at a time
-                part = batch.slice(at, 1000)
-                files, segments, befores, sizes, packed = [], [], [], [], []
-                for file, row, text in zip(*(part.column(c).to_pylist() for c in range(3))):
-                    if row is None:
-                        file, row = f"{TaskContext.get().partitionId():010d}", last[1] + 1 if last else 0
-                    if last != (file, row - 1):
-                        segment, seen = row, 0
-                    last = (file, row)
-                    ids = np.append(encode(text or "", disallowed_special=()), end)
-                    files.append(file)
-                    segments.append(segment)
-                    befores.append(seen)
-                    sizes.append(len(ids))
-                    seen += len(ids)
-                    packed.append(ids.astype(kind).tobytes())
-                yield pa.RecordBatch.from_arrays([pa.array(files, pa.string()), *(pa.array(x, pa.int64()) for x in (segments, befores, sizes)), pa.array(packed, pa.binary())], names=["file", "segment", "before", "n", "ids"])
-
-    made = rows.mapInArrow(run, "file string, segment long, before long, n long, ids binary")
-    made.write.mode("overwrite").option("compression", "zstd").option("maxRecordsPerFile", 0).parquet(folder)
-    return docs.sparkSession.read.schema(made.schema).parquet(folder)
-
-
-def in_order(written: DataFrame, length: int = LENGTH, per_shard: int = PER_SHARD, key: int = KEY, end: int = END, width: int = 2) -> DataFrame:
-    """(shard, slot, ids) of a ``tokens`` table: one row a sequence, whole shards in a task, in the order of slots."""
     # One row a segment; the order of files and of segments within them is that of the stream.
-    ends = written.groupBy("file", "segment").agg(F.max(F.col("before") + F.col("n")).alias("n")).collect()
     offsets, total = {}, 0
-    for file, segment, size in sorted(tuple(r) for r in ends):
+    for file, segment, size in sorted(tuple(r) for r in rows.mapInArrow(count, "file string, segment long, n long").collect()):
         offsets[file, segment], total = total, total + size
     n = -(-total // length)
-    shared = written.sparkSession.sparkContext.broadcast(offsets)
+    shared = rows.sparkSession.sparkContext.broadcast(offsets)
 
     def pieces(batches):
-        for batch in batches:
-            for at in range(0, batch.num_rows, 500):
-                part = batch.slice(at, 500)
-                if not part.num_rows:
-                    continue
-                files, segments = part.column(0).to_pylist(), part.column(1).to_pylist()
-                sizes = part.column(3).to_numpy()
-                start = np.array([shared.value[f, s] for f, s in zip(files, segments)], dtype=np.int64) + part.column(2).to_numpy()
-                # Rows whose ids follow one another in the stream are cut together.
-                edges = [0, *(np.flatnonzero(start[1:] != start[:-1] + sizes[:-1]) + 1).tolist(), len(start)]
-                for a, b in zip(edges, edges[1:]):
-                    data = b"".join(part.column(4).slice(a, b - a).to_pylist())
-                    low, high = int(start[a]), int(start[b - 1] + sizes[b - 1])
-                    number = np.arange(low // length, -(-high // length))
-                    cuts = np.clip(np.append(number, number[-1] + 1) * length, low, high) - low
-                    binary = pa.Array.from_buffers(pa.binary(), len(number), [None, pa.py_buffer((cuts * width).astype(np.int32)), pa.py_buffer(data)])
-                    within = np.maximum(low - number * length, 0).astype(np.int32)
-                    yield pa.RecordBatch.from_arrays([pa.array(slots(number, n, key)), pa.array(within), binary], names=["slot", "within", "ids"])
+        kind = "<u2" if width == 2 else "<u4"
+        for file, first, seen, held in _segments(batches, encoder(ranks_path).encode_ordinary, end):
+            data = np.fromiter(chain.from_iterable(held), dtype=kind, count=sum(map(len, held)))
+            low = shared.value[file, first] + seen
+            high = low + len(data)
+            number = np.arange(low // length, -(-high // length))
+            cuts = np.clip(np.append(number, number[-1] + 1) * length, low, high) - low
+            binary = pa.Array.from_buffers(pa.binary(), len(number), [None, pa.py_buffer((cuts * width).astype(np.int32)), pa.py_buffer(data.tobytes())])
+            within = np.maximum(low - number * length, 0).astype(np.int32)
+            yield pa.RecordBatch.from_arrays([pa.array(slots(number, n, key)), pa.array(within), binary], names=["slot", "within", "ids"])
 
     def whole(batches):
         """Pieces of one sequence, neighbours now, are put together; end ids fill up the last sequence of the stream."""
@@ -184,24 +182,30 @@ def in_order(written: DataFrame, length: int = LENGTH, per_shard: int = PER_SHAR
 
     shards = max(1, -(-n // per_shard))
     each = max(SHARDS_PER_TASK, -(-shards // MOST_TASKS))
-    laid = written.mapInArrow(pieces, "slot long, within int, ids binary")
+    laid = rows.mapInArrow(pieces, "slot long, within int, ids binary")
     task = F.floor(F.col("slot") / F.lit(per_shard * each)).cast("int")
     dealt = laid.repartitionById(-(-shards // each), task).sortWithinPartitions("slot", "within")
     return dealt.select("slot", "ids").mapInArrow(whole, "shard long, slot long, ids binary").sortWithinPartitions("shard", "slot")
 
 
 def write(docs: DataFrame, folder: str, id_col: str = "doc_id", text_col: str = "text", order: tuple[str, str] | None = None, length: int = LENGTH, per_shard: int = PER_SHARD, key: int = KEY, end: int = END, width: int = 2, ranks_path: str | None = None) -> None:
-    """Write the shards of ``docs`` to ``folder``; a rerun writes the same bytes. order: the columns that hold a row's file and its number there."""
-    spark = docs.sparkSession
-    kept = f"{shared_folder(spark)}/training-order-{uuid.uuid4().hex}"
+    """Write the shards of ``docs`` to ``folder``; a rerun writes the same bytes. order: the columns that hold a row's file and its number there; its files must be read whole."""
+    spark, kept = docs.sparkSession, None
+    if order:
+        rows = docs.select(F.col(order[0]).cast("string").alias("file"), F.col(order[1]).cast("long").alias("row"), F.col(text_col).alias("text"))
+    else:
+        kept = f"{shared_folder(spark)}/training-order-{uuid.uuid4().hex}"
+        keyed = docs.select(F.col(id_col).alias("id"), F.xxhash64(text_col).alias("mark"), F.col(text_col).alias("text"))
+        keyed.repartitionByRange("id", "mark").sortWithinPartitions("id", "mark").select("text").write.option("maxRecordsPerFile", 0).parquet(kept)
+        rows = read_ordered(spark, kept, "text").select("file", "row", "text")
     try:
-        ordered = in_order(tokens(docs, kept, text_col, order, id_col, width, end, ranks_path), length, per_shard, key, end, width)
-        # A binary column cast to string keeps its bytes, and the text sink writes them unchanged.
-        ordered.select("shard", F.col("ids").cast("string").alias("value")).write.mode("overwrite").partitionBy("shard").option("lineSep", "\n" * width).text(folder)
+        with _same_splits(spark):
+            ordered = in_order(rows, length, per_shard, key, end, width, ranks_path)
+            # A binary column cast to string keeps its bytes, and the text sink writes them unchanged.
+            ordered.select("shard", F.col("ids").cast("string").alias("value")).write.mode("overwrite").partitionBy("shard").option("lineSep", "\n" * width).text(folder)
     finally:
-        drop_folder(spark, kept)
-
-
+        if kept:
+            drop_folder(spark, kept)
 
 
 def read_ordered(spark: SparkSession, path: str, *columns: str) -> DataFrame:
@@ -211,11 +215,14 @@ def read_ordered(spark: SparkSession, path: str, *columns: str) -> DataFrame:
 
 def digests(spark: SparkSession, folder: str, length: int = LENGTH, per_shard: int = PER_SHARD, width: int = 2) -> DataFrame:
     """(slot, shard, position, ids_sha256) of the shard files in ``folder``: position is the byte at which a sequence stands."""
-    step = stride(length, width)
+    step, some = stride(length, width), 64
     files = spark.read.format("binaryFile").load(folder).select(F.col("shard").cast("long").alias("shard"), "content", F.floor(F.col("length") / step).cast("int").alias("n"))
-    sums = F.transform(F.sequence(F.lit(0), F.col("n") - 1), lambda k: F.sha2(F.substring("content", k * step + 1, F.lit(length * width)), 256))
-    rows = files.select("shard", F.posexplode(sums).alias("at", "ids_sha256"))
-    return rows.select((F.col("shard") * per_shard + F.col("at")).alias("slot"), "shard", (F.col("at") * step).cast("long").alias("position"), "ids_sha256")
+    # In two steps, as every look at a binary column copies it: first into runs of some sequences, then each.
+    runs = F.transform(F.sequence(F.lit(0), F.floor((F.col("n") - 1) / some).cast("int")), lambda k: F.substring("content", k * (some * step) + 1, F.lit(some * step)))
+    cut = files.select("shard", F.posexplode(runs).alias("run", "data"))
+    sums = F.transform(F.sequence(F.lit(0), F.floor(F.length("data") / step).cast("int") - 1), lambda k: F.sha2(F.substring("data", k * step + 1, F.lit(length * width)), 256))
+    rows = cut.select("shard", "run", F.posexplode(sums).alias("at", "ids_sha256")).withColumn("at", F.col("run").cast("long") * some + F.col("at"))
+    return rows.select((F.col("shard") * per_shard + F.col("at")).alias("slot"), "shard", (F.col("at") * step).alias("position"), "ids_sha256")
 
 
 def op1_training_order(spark: SparkSession, sf_dir: str) -> DataFrame:
