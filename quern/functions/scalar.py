@@ -68,6 +68,16 @@ def tokens_per_second(tokens: Column, millis: Column) -> Column:
     return _ratio(tokens * 1000.0, millis)
 
 
+def to_fixed(x: Column, decimals: int) -> Column:
+    """A number rounded to so many decimals by its exact binary value, ties up: 1.005 (just below) gives 1.0, 1.125 gives 1.13."""
+    scale = float(10**decimals)
+    whole = F.floor(x * scale).cast("double")
+    # Halves of the mantissa times the scale are exact, so the sign of the distance to the tie is.
+    high = x.cast("float").cast("double")
+    above = (high * scale - (whole + 0.5)) + (x - high) * scale
+    return (whole + F.when(above >= 0, 1.0).otherwise(0.0)) / scale
+
+
 def short_number(n: Column) -> Column:
     """Three digits with k, M, B or T; 999.6 carries to 1.00k; zero, negative and NaN give 0."""
     out = F.lit(None).cast("string")
@@ -76,8 +86,8 @@ def short_number(n: Column) -> Column:
 
     def digits(x: Column, unit: str, carry: Column) -> Column:
         # As many decimals as make three digits, after rounding.
-        two, one = F.round(x, 2), F.round(x, 1)
-        text = F.when(two < 10, F.format_string("%.2f", two)).when(one < 100, F.format_string("%.1f", one)).otherwise(F.format_string("%.0f", F.round(x)))
+        two, one = to_fixed(x, 2), to_fixed(x, 1)
+        text = F.when(two < 10, F.format_string("%.2f", two)).when(one < 100, F.format_string("%.1f", one)).otherwise(F.format_string("%.0f", to_fixed(x, 0)))
         return F.when(carry, F.lit(None).cast("string")).otherwise(F.concat(text, F.lit(unit)))
 
     for scale, unit, last in ((1e12, "T", True), (1e9, "B", False), (1e6, "M", False), (1e3, "k", False)):
@@ -89,7 +99,7 @@ def short_number(n: Column) -> Column:
 
 def status_class(code: Column) -> Column:
     """The error class of an HTTP status; null without one."""
-    return F.when(code.isNull(), F.lit(None).cast("string")).when(code >= 500, F.lit("http_5xx")).when(code >= 400, F.concat(F.lit("http_"), code.cast("string"))).otherwise(F.lit("http_other"))
+    return F.when(code >= 500, F.lit("http_5xx")).when(code.isNotNull(), F.concat(F.lit("http_"), code.cast("string")))
 
 
 def snippet(text: Column, word: str, before: int = 20, after: int = 30) -> Column:
@@ -182,16 +192,56 @@ def backoff_seconds(failures: Column) -> Column:
     return F.when(failures < 1, 0).when(failures <= 4, F.pow(F.lit(2.0), failures).cast("int")).when(failures <= 40, 600)
 
 
-#: Patterns of text that looks secret (fixed values of this library).
-SECRETS = (r"(?i)\b(api[_-]?key|token|secret|password)\s*[:=]\s*\S+", r"\bsk-[A-Za-z0-9_-]{16,}", r"(?i)\bbearer\s+[A-Za-z0-9._-]{12,}")
+def retry_delay(attempt: Column, hint: Column) -> Column:
+    """Struct of seconds and phase of a retry (attempts from 0): a positive whole number as hint goes first, else 2, 4, 8, 16, ten minutes 36 times, and no more."""
+    asked = F.when(F.trim(hint).rlike(r"^\+?\d{1,10}$"), F.trim(hint).try_cast("int"))
+    seconds = F.when(asked > 0, asked).when(attempt < 4, F.pow(F.lit(2.0), attempt + 1).cast("int")).when(attempt < 40, 600).otherwise(0)
+    phase = F.when(asked > 0, "retry-after").when(attempt < 4, "fast").when(attempt < 40, "minute").otherwise("timeout")
+    return F.struct(seconds.alias("seconds"), phase.alias("phase"))
+
+
+#: Patterns of text that looks secret and what stands in its place (fixed values).
+SECRETS = (
+    (r"(?i)-----BEGIN (?:RSA |OPENSSH |EC |DSA )?PRIVATE KEY-----[\s\S]*?-----END (?:RSA |OPENSSH |EC |DSA )?PRIVATE KEY-----", "[REDACTED_PRIVATE_KEY]"),
+    (r"\bsk-[A-Za-z0-9_-]{20,}\b", "[REDACTED_OPENAI_KEY]"),
+    (r"\b(?:gh[pousr]_|github_pat_)[A-Za-z0-9_]{20,}\b", "[REDACTED_GITHUB_TOKEN]"),
+    (r"\bAKIA[0-9A-Z]{16}\b", "[REDACTED_AWS_KEY]"),
+    (r"\bAIza[0-9A-Za-z_-]{20,}\b", "[REDACTED_GOOGLE_KEY]"),
+    (r"\bxox[baprs]-[A-Za-z0-9-]{20,}\b", "[REDACTED_SLACK_TOKEN]"),
+    (r"(?i)\b(api[_-]?key|access[_-]?token|auth[_-]?token|bearer|password|passwd|secret)\b\s*[:=]\s*\S+", "$1=[REDACTED]"),
+)
 
 
 def redact(text: Column) -> Column:
-    for pattern in SECRETS:
-        text = F.regexp_replace(text, pattern, "[redacted]")
+    for pattern, mark in SECRETS:
+        text = F.regexp_replace(text, pattern, mark)
     return text
 
 
+def memory_text(text: Column) -> Column:
+    """A note's text for comparison: no date bullets, no markup, single spaces, lower case."""
+    plain = F.regexp_replace(F.regexp_replace(text, r"(?m)^- \[\d{4}-\d{2}-\d{2}\]\s*", ""), r"[`*_~#\[\]()>-]", " ")
+    return F.lower(F.trim(F.regexp_replace(plain, r"\s+", " ")))
+
+
+def json_bool(text: Column, path: str, fallback: bool) -> Column:
+    """A boolean, or a string that says so; ``fallback`` for anything else."""
+    value = F.lower(F.trim(F.get_json_object(text, path)))
+    return F.when(value == "true", True).when(value == "false", False).otherwise(F.lit(fallback))
+
+
+def json_whole(text: Column, path: str, kind: str = "long") -> Column:
+    """A whole number, or a string that holds one; null for anything else, beyond the range of ``kind`` too."""
+    value = F.trim(F.get_json_object(text, path))
+    return F.when(value.rlike(r"^[+-]?\d+$"), value.try_cast(kind))
+
+
+def json_double(text: Column, path: str) -> Column:
+    """A number, or a string that holds one; null for anything else."""
+    value = F.trim(F.get_json_object(text, path))
+    return F.when(value.rlike(r"^[+-]?(\d+\.?\d*|\.\d+)([eE][+-]?\d+)?$"), value.try_cast("double"))
+
+
 def first_intent(text: Column, rules: list[tuple[str, tuple[str, ...]]], default: str) -> Column:
     """The first rule one of whose words the text holds."""
     out = F.lit(default)

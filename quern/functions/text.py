@@ -252,16 +252,27 @@ def diff_lines(a: list[str], b: list[str], exact: int) -> list[dict]:
     return out
 
 
-#: What separates words of a query, words without a meaning of their own (fixed values of this library).
-DELIMITERS = r"[\s,.;:!?/\\|()\[\]{}<>\"'`~，。；：！？、（）【】《》“”‘’…]+"
-STOPWORDS = ("the", "a", "an", "of", "to", "and", "or", "is", "are", "in", "on", "for", "please", "的", "了", "吗", "请", "和", "是")
-_EDGE = "的了吗呢吧啊请把在是和"
+#: What separates words of a query, and words without a meaning of their own (fixed values).
+DELIMITERS = r"[ \t\r\n,.!?;:()\[\]{}\"'/\\|，。！？、；：（）《》【】“”‘’…—]+"
+STOPWORDS = (
+    "帮我 帮忙 请你 麻烦 谢谢 感谢 顺便 一下 我们 你们 他们 她们 自己 大家 这个 那个 这样 那样 这些 那些 "
+    "怎么 怎样 如何 为什么 多少 什么时候 可以 能不能 能否 是否 需要 想要 希望 给我 试试 看看 继续 开始 现在 刚才 "
+    "还有 然后 但是 如果 因为 所以 以及 或者 而且 "
+    "please help thanks thank hey hi hello me you he she it we they this that there here "
+    "the a an to of and or for with in on at by how what why when where which who "
+    "can could would should will is are was were do does did need want like also now just"
+).split()
 
 
 def query_variants(query: Column, most: int = 4) -> Column:
-    """The words of a query worth searching for: no stopwords, particles cut from the ends of CJK words, two characters at least."""
-    words = F.transform(F.split(F.lower(query), DELIMITERS), lambda w: F.regexp_replace(w, f"^[{_EDGE}]+|[{_EDGE}]+$", ""))
-    return F.slice(F.array_distinct(F.filter(words, lambda w: (F.length(w) >= 2) & ~w.isin(*STOPWORDS))), 1, most)
+    """The words of a query worth searching for, as written, each once: no stopwords, two characters at least, not the query as a whole. Words with CJK characters lose stopwords at either end as long as two characters are left."""
+    edges = "|".join(w for w in STOPWORDS if len(w) > 1)
+    cut = lambda w: F.regexp_replace(F.regexp_replace(w, f"(?i)^(?:(?:{edges})(?=..))+", ""), f"(?i)(?<=..)(?:{edges})+$", "")
+    words = F.transform(F.split(F.trim(query), DELIMITERS), lambda w: F.when(w.rlike("[\u4e00-\u9fff\u3400-\u4dbf]"), cut(w)).otherwise(w))
+    kept = F.filter(words, lambda w: (F.length(w) >= 2) & ~F.lower(w).isin(*STOPWORDS) & (F.lower(w) != F.lower(F.trim(query))))
+    lower = F.transform(kept, lambda w: F.lower(w))
+    first = F.filter(kept, lambda w, i: F.array_position(lower, F.lower(w)) == i + 1)
+    return F.slice(first, 1, most)
 
 
 def word_tokens(text: Column) -> Column:

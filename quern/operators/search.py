@@ -126,8 +126,8 @@ def _cut(df: DataFrame) -> DataFrame:
 
 
 def title_pairs(title: Column) -> Column:
-    """The distinct character pairs of a title in lower case and without white space, sorted; a title of fewer than two characters has none."""
-    t = F.regexp_replace(F.lower(F.coalesce(title, F.lit(""))), r"(?U)\s+", "")
+    """The distinct pairs of neighbouring letters, digits and CJK characters of a title in lower case, sorted; a title of fewer than two has none, so it is like no other."""
+    t = F.lower(F.regexp_replace(F.coalesce(title, F.lit("")), "[^\u4e00-\u9fa5a-zA-Z0-9]", ""))
     pairs = F.transform(F.sequence(F.lit(1), F.length(t) - 1), lambda i: F.substring(t, i, F.lit(2)))
     return F.when(F.length(t) >= 2, F.sort_array(F.array_distinct(pairs))).otherwise(F.array().cast("array<string>"))
 

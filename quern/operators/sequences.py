@@ -158,3 +158,22 @@ def retained(df: DataFrame, age: Column, most: int, order: list[str], keys: list
     marked = df.withColumn("__p", pinned).where(F.col("__p") | age)
     w = W.partitionBy(*keys, "__p").orderBy(*[F.desc(c) for c in order])
     return marked.withColumn("__n", F.row_number().over(w)).where(F.col("__p") | (F.col("__n") <= most)).drop("__p", "__n")
+
+
+def split_parts(df: DataFrame, key: str, meta: str) -> tuple[DataFrame, DataFrame]:
+    """(rows without the segments of their JSON ``meta``, parts): a part (key, seq, kind, payload) for each segment, in order. A meta that is no JSON object or has no segment stays as it is; one that held nothing else becomes null."""
+    segments = F.from_json(F.get_json_object(meta, "$.segments"), "array<string>")
+    has = F.coalesce(F.size(segments) > 0, F.lit(False))
+    rest = F.map_filter(F.from_json(meta, "map<string,variant>"), lambda k, _: ~k.isin("segments", "toolCalls"))
+    bare = df.withColumn(meta, F.when(~has, F.col(meta)).when(F.size(rest) > 0, F.to_json(rest)))
+    parts = df.where(has).select(key, F.posexplode(segments).alias("seq", "payload")).withColumn("kind", F.get_json_object("payload", "$.type"))
+    return bare, parts.select(key, "seq", "kind", "payload")
+
+
+def join_parts(df: DataFrame, parts: DataFrame, key: str, meta: str) -> DataFrame:
+    """The inverse of ``split_parts``: rows with their parts put back, in order, before what else their meta holds."""
+    lists = parts.groupBy(F.col(key).alias("__k")).agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("seq", "payload"))), lambda p: p["payload"]), ",").alias("__segments"))
+    rest = F.substring(F.col(meta), 2, F.length(meta))
+    tail = F.when(F.col(meta).isNull(), "}").otherwise(F.concat(F.lit(","), rest))
+    whole = F.concat(F.lit('{"segments":['), "__segments", F.lit("]"), tail)
+    return df.join(lists, F.col(key) == F.col("__k"), "left").withColumn(meta, F.when(F.col("__k").isNotNull(), whole).otherwise(F.col(meta))).drop("__k", "__segments")

@@ -153,3 +153,29 @@ def distinct_visits(df: DataFrame, identity: tuple[str, ...], time: Column, bots
         F.countDistinct(F.when(~bots, F.struct(*identity, hour.alias("hour")))).alias("visits"),
         F.count_if(bots).alias("bot_rows"),
     )
+
+
+def tri_state(**filters) -> "Column":
+    """A filter of each name given: None asks for null, anything else for the value; names that aren't given filter nothing."""
+    out = F.lit(True)
+    for name, value in filters.items():
+        out &= F.col(name).isNull() if value is None else F.coalesce(F.col(name) == value, F.lit(False))
+    return out
+
+
+def assigned_to(name: str, value, unassigned_only: bool) -> "Column":
+    """Rows of a value; without one, all rows, or only those without any."""
+    if value is not None:
+        return tri_state(**{name: value})
+    return tri_state(**{name: None}) if unassigned_only else F.lit(True)
+
+
+def replaced_usage(df: DataFrame, keys: list[str], order: list[str], tokens: tuple[str, ...], others: tuple[str, ...]) -> DataFrame:
+    """Snapshots merged by replacement: of each field the last known value. A snapshot whose ``tokens`` are all 0 patches the other fields only."""
+    counts = F.lit(False)
+    for c in tokens:
+        counts |= F.col(c) > 0
+    at = F.struct(*order)
+    last = lambda c, here: F.max_by(F.when(here, F.col(c)), F.when(here & F.col(c).isNotNull(), at)).alias(c)
+    out = df.groupBy(*keys).agg(*[last(c, counts) for c in tokens], *[last(c, F.lit(True)) for c in others])
+    return out.withColumns({c: F.coalesce(c, F.lit(0)) for c in tokens})

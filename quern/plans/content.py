@@ -140,9 +140,9 @@ def recall_with_variants(spark, d):
 # Text.
 
 
-@query("SELECT doc_id, n AS line_no, line FROM (SELECT doc_id, unnest(generate_series(1, len(l))) AS n, unnest(l) AS line FROM (SELECT doc_id, string_split(replace(replace(text, chr(13) || chr(10), chr(10)), chr(13), chr(10)), chr(10)) AS l FROM documents WHERE doc_id % 5 = 0))")
+@query("SELECT doc_id, n AS line_no, line FROM (SELECT doc_id, unnest(generate_series(1, len(l))) AS n, unnest(l) AS line FROM (SELECT doc_id, string_split(replace(replace(text, chr(13) || chr(10), chr(10)), chr(13), chr(10)), chr(10)) AS l FROM documents))")
 def text_lines(spark, d):
-    return T.lines(read(spark, d, "documents").where("doc_id % 5 = 0"), "text", ("doc_id",)).withColumn("line_no", F.col("line_no").cast("long"))
+    return T.lines(read(spark, d, "documents"), "text", ("doc_id",)).withColumn("line_no", F.col("line_no").cast("long"))
 
 
 @query("SELECT doc_id, n AS line_no, line FROM (SELECT doc_id, unnest(generate_series(1, len(l))) AS n, unnest(l) AS line FROM (SELECT doc_id, string_split(text, chr(10)) AS l FROM documents)) WHERE n BETWEEN 2 AND 4")
@@ -170,18 +170,18 @@ def glob_pages(spark, d):
     return pages.where(F.col("url").rlike(T.glob_regex("http{s,}://www.*/en/*.html"))).orderBy("url", "page_id").limit(100)
 
 
-@query("SELECT doc_id, s AS section_no, 'T' || s AS title, 'body ' || doc_id AS body FROM documents, (VALUES (1), (2)) v(s) WHERE doc_id < 50")
+@query("SELECT doc_id, s AS section_no, CASE s WHEN 1 THEN 'T ' || source ELSE 'T2' END AS title, CASE s WHEN 1 THEN 'body ' || lang || ' ' || doc_id ELSE 'body ' || n_chars END AS body FROM documents, (VALUES (1), (2)) v(s)")
 def markdown_sections(spark, d):
-    ids = read(spark, d, "documents").where("doc_id < 50").select("doc_id", F.concat(F.lit("intro\n## T1\nbody "), F.col("doc_id"), F.lit("## T2\nbody "), F.col("doc_id"), F.lit("\n")).alias("md"))
+    ids = read(spark, d, "documents").select("doc_id", F.concat(F.lit("intro\n## T "), "source", F.lit("\nbody "), "lang", F.lit(" "), F.col("doc_id"), F.lit("## T2\nbody "), F.col("n_chars"), F.lit("\n")).alias("md"))
     # A glued heading: "body 7## T2" is repaired first.
     return T.sections(ids, "md", ("doc_id",)).withColumn("section_no", F.col("section_no").cast("int"))
 
 
-@query("SELECT doc_id, 'note ' || doc_id AS title, CASE doc_id % 4 WHEN 0 THEN 'lasting' WHEN 1 THEN 'lasting' WHEN 2 THEN 'standard' ELSE 'ephemeral' END AS priority FROM documents WHERE doc_id < 80")
+@query("SELECT doc_id, 'note ' || doc_id AS title, CASE doc_id % 4 WHEN 0 THEN 'lasting' WHEN 1 THEN 'lasting' WHEN 2 THEN 'standard' ELSE 'ephemeral' END AS priority FROM documents")
 def front_matter_fields(spark, d):
     md = F.concat(F.lit("---\ntitle: \"note "), F.col("doc_id"), F.lit("\"\npriority: P"), F.col("doc_id") % 4, F.lit("\ntitle: again\n---\nbody"))
     head = T.front_matter(md)
-    return read(spark, d, "documents").where("doc_id < 80").select("doc_id", head["title"].alias("title"), T.priority_of(head["priority"]).alias("priority"))
+    return read(spark, d, "documents").select("doc_id", head["title"].alias("title"), T.priority_of(head["priority"]).alias("priority"))
 
 
 @query("SELECT doc_id, 'h' || doc_id AS hash, source AS author, 'msg' || chr(1) || 'x' AS subject FROM documents WHERE doc_id % 2 = 0")
@@ -240,15 +240,15 @@ def text_tails(spark, d):
     return T.tail_lines(read(spark, d, "documents"), "text", ("doc_id",), 500).groupBy("doc_id").agg(F.count("*").alias("lines"))
 
 
-@query("SELECT doc_id, trim(regexp_replace(lower(substring(text, 1, 60)), '\\s+', ' ', 'g')) AS key FROM documents")
+@query("SELECT doc_id, trim(regexp_replace(lower(text), '\\s+', ' ', 'g')) AS key FROM documents")
 def title_keys(spark, d):
-    return read(spark, d, "documents").select("doc_id", S.title_key(F.substring("text", 1, 60)).alias("key"))
+    return read(spark, d, "documents").select("doc_id", S.title_key(F.col("text")).alias("key"))
 
 
-@query("SELECT doc_id, replace(text, chr(10), chr(10)) AS clean, false AS binary, doc_id % 7 = 0 AS odd FROM documents WHERE doc_id % 3 = 0")
+@query("SELECT doc_id, replace(text, chr(10), chr(10)) AS clean, false AS binary, doc_id % 7 = 0 AS odd FROM documents")
 def clean_shell_output(spark, d):
     esc = "\u001b"
-    docs = read(spark, d, "documents").where("doc_id % 3 = 0")
+    docs = read(spark, d, "documents")
     raw = F.concat(F.lit(f"{esc}[31m"), F.replace("text", F.lit("\n"), F.lit("\r\n")), F.lit(f"{esc}[0m"))
     odd = F.when(F.col("doc_id") % 7 == 0, F.repeat(F.lit("a\u0001"), 50)).otherwise("plain text")
     return docs.select("doc_id", S.strip_ansi(raw).alias("clean"), S.looks_binary(F.col("text")).alias("binary"), S.looks_binary(odd).alias("odd"))
@@ -260,9 +260,21 @@ def text_intents(spark, d):
     return read(spark, d, "documents").select("doc_id", S.first_intent(F.col("text"), rules, "other").alias("intent"))
 
 
-@query("SELECT doc_id, source || ' [redacted] x' AS text, sha256(source) AS hash FROM documents")
+_SECRET_TAILS = (" api_key=abc123 x", " sk-" + "a1B2" * 6 + " x", " ghp_" + "Zz9" * 8 + ".", " AKIA" + "Q7" * 8 + " x", " AIza" + "k_-3" * 7, " xoxb-" + "12-ab" * 5 + " x", "\n-----BEGIN RSA PRIVATE KEY-----\nabc\n-----END RSA PRIVATE KEY-----\nx", " Bearer : t0k x")
+
+
+def _redacted_sql() -> str:
+    quote = lambda t: "'" + t.replace("'", "''") + "'"
+    text = "text || CASE doc_id % 8 " + " ".join(f"WHEN {k} THEN {quote(t)}" for k, t in enumerate(_SECRET_TAILS)) + " END"
+    for pattern, mark in S.SECRETS:
+        text = f"regexp_replace({text}, {quote(pattern)}, {quote(mark.replace('$1', chr(92) + '1'))}, 'g')"
+    return f"SELECT doc_id, sha256({text}) AS clean, sha256(source) AS hash FROM documents"
+
+
+@query(_redacted_sql())
 def redacted_text(spark, d):
-    return read(spark, d, "documents").select("doc_id", S.redact(F.concat(F.col("source"), F.lit(" api_key=abc123 x"))).alias("text"), F.sha2("source", 256).alias("hash"))
+    tail = F.element_at(F.array(*map(F.lit, _SECRET_TAILS)), (F.col("doc_id") % 8 + 1).cast("int"))
+    return read(spark, d, "documents").select("doc_id", F.sha2(S.redact(F.concat("text", tail)), 256).alias("clean"), F.sha2("source", 256).alias("hash"))
 
 
 @query("SELECT doc_id, CASE doc_id % 5 WHEN 0 THEN doc_id * 1000 WHEN 1 THEN doc_id * 60000 WHEN 2 THEN doc_id * 3600000 WHEN 3 THEN doc_id * 86400000 END AS millis FROM documents")
@@ -278,7 +290,8 @@ def edit_distances(spark, d):
 
 @query()
 def fingerprints_fnv(spark, d):
-    return read(spark, d, "documents").select("doc_id", T.fnv1a(F.col("text")).alias("hash"))
+    memory = F.concat(F.lit("mem-"), T.fnv1a(S.memory_text(F.col("text"))))
+    return read(spark, d, "documents").select("doc_id", T.fnv1a(F.col("text")).alias("hash"), memory.alias("memory"))
 
 
 @query()
@@ -298,10 +311,12 @@ def truncated_documents(spark, d):
     return read(spark, d, "documents").select("doc_id", F.octet_length(S.truncate_middle(F.col("text"), 4096)).alias("bytes"))
 
 
-@query("SELECT doc_id, 1 AS n, true AS shape FROM documents WHERE doc_id < 20")
+@query("SELECT doc_id, CASE WHEN doc_id % 4 = 3 THEN NULL ELSE doc_id % 4 + 1 END AS n, doc_id % 4 < 2 AS shape FROM documents")
 def json_shapes(spark, d):
-    text = F.concat(F.lit('[{"a":'), F.col("doc_id"), F.lit("}]"))
-    return read(spark, d, "documents").where("doc_id < 20").select("doc_id", F.json_array_length(text).alias("n"), F.coalesce(F.get_json_object(text, "$[0].a").try_cast("int").isNotNull(), F.lit(False)).alias("shape"))
+    more = F.col("doc_id") % 4
+    item = F.when(more < 2, F.concat(F.lit('{"a":'), F.col("n_chars"), F.lit("}"))).otherwise(F.lit('{"a":"x"}'))
+    text = F.when(more == 3, F.concat(F.lit("["), item)).otherwise(F.concat(F.lit("["), item, F.repeat(F.lit(',{"b":1}'), more.cast("int")), F.lit("]")))
+    return read(spark, d, "documents").select("doc_id", F.json_array_length(text).cast("long").alias("n"), F.coalesce(F.get_json_object(text, "$[0].a").try_cast("int").isNotNull(), F.lit(False)).alias("shape"))
 
 
 @query("SELECT p_partkey, NOT contains(cmd, 'rm ') AND starts_with(cmd, 'git') AND seg AS allowed FROM (SELECT p_partkey, CASE p_partkey % 4 WHEN 0 THEN 'git status' WHEN 1 THEN 'git log; rm x' WHEN 2 THEN 'git log | less' ELSE 'ls' END AS cmd, p_partkey % 4 <> 2 AS seg FROM part)")
@@ -310,6 +325,57 @@ def command_policy(spark, d):
     return read(spark, d, "part").select("p_partkey", T.command_allowed(cmd, ("rm ",), ("git",)).alias("allowed"))
 
 
-@query("SELECT doc_id, ['thorn', 'tion'] AS words, ['the', '中文', '文字', 'ok1'] AS tokens FROM documents WHERE doc_id < 5")
+_WORDS = f"""SELECT id, list_slice(list_distinct_in_order, 1, 4) AS words FROM (SELECT id, list_filter(kept, lambda w, i: list_position(list_transform(kept, lambda x: lower(x)), lower(w)) = i) AS list_distinct_in_order FROM (
+ SELECT id, list_filter(string_split_regex(trim(content), '[ \\t\\r\\n,.!?;:()\\[\\]{{}}"''/\\\\|，。！？、；：（）《》【】“”‘’…—]+'), lambda w: length(w) >= 2 AND NOT list_contains([{", ".join(f"'{w}'" for w in T.STOPWORDS)}], lower(w)) AND lower(w) <> lower(trim(content))) AS kept FROM messages))"""
+
+
+@query(_WORDS, "messages")
 def query_words(spark, d):
-    return read(spark, d, "documents").where("doc_id < 5").select("doc_id", T.query_variants(F.lit("The thorn, of a tion! x 的")).alias("words"), T.word_tokens(F.lit("The 中文字 ok1 the")).alias("tokens"))
+    return messages(spark, d).select("id", T.query_variants(F.col("content")).alias("words"))
+
+
+@query("SELECT id, list_sort(list_distinct(regexp_extract_all(lower(content), '[a-z0-9]+'))) AS tokens FROM messages", "messages")
+def word_tokens(spark, d):
+    return messages(spark, d).select("id", F.sort_array(T.word_tokens(F.col("content"))).alias("tokens"))
+
+
+# JSON: lenient getters; message parts split from and put back into their message.
+
+
+@query("""SELECT event_id, CASE WHEN event_id % 7 IN (0, 1, 2) THEN k END AS whole, CASE WHEN event_id % 7 IN (0, 1, 2) THEN k::DOUBLE WHEN event_id % 7 = 3 THEN k + 0.5 END AS number, event_id % 7 IN (4, 5) AS flag
+ FROM (SELECT event_id, CAST(regexp_extract(props, '([0-9]+)', 1) AS BIGINT) AS k FROM events)""")
+def lenient_json_values(spark, d):
+    k = F.get_json_object("props", "$.k")
+    forms = (k, F.concat(F.lit('"'), k, F.lit('"')), F.concat(F.lit('" +'), k, F.lit(' "')), F.concat(k, F.lit(".5")), F.lit("true"), F.lit('" TRUE "'), F.lit("[1]"))
+    value = F.element_at(F.array(*forms), (F.col("event_id") % 7 + 1).cast("int"))
+    rows = read(spark, d, "events").select("event_id", F.concat(F.lit('{"v":'), value, F.lit("}")).alias("j"))
+    return rows.select("event_id", S.json_whole(F.col("j"), "$.v").alias("whole"), S.json_double(F.col("j"), "$.v").alias("number"), S.json_bool(F.col("j"), "$.v", False).alias("flag"))
+
+
+def _with_meta(spark, d):
+    """Messages whose meta holds their content as segments, every third with another key besides, every fifth without any."""
+    segment = lambda kind, **fields: F.to_json(F.struct(F.lit(kind).alias("type"), *[F.col(c).alias(n) for n, c in fields.items()]))
+    both = F.concat(F.lit('{"segments":['), segment("text", text="content"), F.lit(","), segment("tool_use", toolCallId="id"), F.lit("]"))
+    meta = F.when(F.col("session_id") % 5 == 0, F.lit("{broken")).when(F.col("session_id") % 3 == 0, F.concat(both, F.lit(',"rating":4}'))).otherwise(F.concat(both, F.lit("}")))
+    return messages(spark, d).withColumn("meta", meta)
+
+
+@query("""SELECT id, 0 AS seq, 'text' AS kind, content AS value FROM messages WHERE session_id % 5 <> 0 UNION ALL SELECT id, 1, 'tool_use', id FROM messages WHERE session_id % 5 <> 0""", "messages")
+def message_parts(spark, d):
+    parts = Q.split_parts(_with_meta(spark, d), "id", "meta")[1]
+    value = F.coalesce(F.get_json_object("payload", "$.text"), F.get_json_object("payload", "$.toolCallId"))
+    return parts.select("id", "seq", "kind", value.alias("value"))
+
+
+@query("SELECT id, CASE WHEN session_id % 5 = 0 THEN '{broken' WHEN session_id % 3 = 0 THEN '{\"rating\":4}' END AS meta FROM messages", "messages")
+def message_meta_without_parts(spark, d):
+    return Q.split_parts(_with_meta(spark, d), "id", "meta")[0].select("id", "meta")
+
+
+@query("SELECT id, session_id % 5 <> 0 AS has_parts, CASE WHEN session_id % 5 <> 0 THEN content END AS text FROM messages", "messages")
+def message_parts_put_back(spark, d):
+    rows = _with_meta(spark, d).withColumn("before", F.col("meta"))
+    bare, parts = Q.split_parts(rows, "id", "meta")
+    whole = Q.join_parts(bare, parts, "id", "meta")
+    same = F.col("meta").isNotNull() & F.col("meta").contains("segments")
+    return whole.select("id", same.alias("has_parts"), F.get_json_object("meta", "$.segments[0].text").alias("text"))

@@ -2,12 +2,11 @@
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import functions as F
 
 from quern.operators import sequences as Q, usage as U
 from quern.plans.kit import Catalog
+from quern.sources.sinks import shared_folder
 from quern.sources.standins import messages, read, usage_logs
 from quern.streaming import coalesce as X
 
@@ -97,15 +96,21 @@ def coalesced_events(spark, d):
 
 @query()
 def coalesced_event_stream(spark, d):
-    """The event table as a file stream, all of it at once, through the stateful coalescer into a table in memory; what a run still holds at the end is left to its timer."""
-    source = read(spark, d, "events")
-    rows = spark.readStream.schema(source.schema).parquet(f"{d}/events.parquet*")
-    kind = F.when(F.col("event_type").isin("view", "click"), "text_delta").when(F.col("event_type") == "purchase", "thinking_delta").otherwise("control")
-    deltas = rows.select(F.concat(F.lit("run-"), F.col("user_id")).alias("run_id"), kind.alias("type"), F.concat(F.lit("x"), F.col("event_id")).alias("text"), F.lit(None).cast("string").alias("tool_call_id"), F.lit(None).cast("string").alias("args"), F.col("event_id").alias("arrival"))
-    table = f"coalesced_{uuid.uuid4().hex}"
-    run = X.coalesce_stream(deltas, size=40, flush_ms=3_600_000).writeStream.format("memory").queryName(table).outputMode("append").trigger(once=True).start()
-    run.awaitTermination()  # one batch: open timers would keep an availableNow query alive
-    return spark.table(table)
+    """The event table as a file stream through the stateful coalescer. Each run's log is closed by a loop_end, so nothing is left to a timer and the result is that of the replay of the same log."""
+    folder = shared_folder(spark, "coalesced")
+    closed_events(spark, d).write.parquet(f"{folder}/in")
+    deltas = spark.readStream.schema(closed_events(spark, d).schema).parquet(f"{folder}/in")
+    stream = X.coalesce_stream(deltas, size=40, flush_ms=3_600_000)
+    run = stream.writeStream.format("parquet").option("path", f"{folder}/out").option("checkpointLocation", f"{folder}/state").outputMode("append").trigger(once=True).start()
+    run.awaitTermination()
+    return spark.read.schema(stream.schema).parquet(f"{folder}/out")
+
+
+def closed_events(spark, d):
+    """The delta events, and a loop_end after the last of each run."""
+    rows = events(spark, d)
+    ends = rows.groupBy("run_id").agg((F.max("arrival") + 1).alias("arrival"))
+    return rows.unionByName(ends.withColumn("type", F.lit("loop_end")), allowMissingColumns=True)
 
 
 @query("""SELECT run_id, iteration, kind, content, completed FROM (SELECT *, coalesce(kind = 'thinking' AND max(CASE WHEN kind <> 'thinking' THEN last_ END) OVER (PARTITION BY run_id, iteration) > last_, false) AS completed FROM (

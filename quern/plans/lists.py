@@ -7,6 +7,7 @@ from pyspark.sql import Window as W, functions as F
 from quern.functions import scalar as S
 from quern.operators import merge, paging as P, relate as R, sequences as Q, usage as U
 from quern.plans.kit import Catalog
+from quern.sources import grids, sinks
 from quern.sources.standins import memory_entries, messages, read, usage_logs
 
 C = Catalog()
@@ -37,10 +38,10 @@ def page_by_time_key(spark, d):
     return P.keyset(usage_logs(spark, d).select(*ROWS), [("started_at", "desc"), ("id", "desc")], P.clamp(None, "timeline"), [1_706_000_000_000, "5"])
 
 
-@query("""SELECT o_orderkey, o_orderpriority, o_totalprice, false AS has_more FROM orders WHERE o_orderpriority > '4-NOT SPECIFIED' AND o_custkey < 60
- AND (o_totalprice < 300000 OR (o_totalprice = 300000 AND o_orderkey < 5)) ORDER BY o_orderpriority, o_totalprice DESC, o_orderkey DESC LIMIT 101""")
+@query("""SELECT o_orderkey, o_orderpriority, o_totalprice, true AS has_more FROM orders WHERE o_orderpriority > '4-NOT SPECIFIED'
+ AND (o_totalprice < 300000 OR (o_totalprice = 300000 AND o_orderkey < 5)) ORDER BY o_orderpriority, o_totalprice DESC, o_orderkey DESC LIMIT 100""")
 def page_by_three_keys(spark, d):
-    rows = read(spark, d, "orders").where("o_custkey < 60 AND o_orderpriority > '4-NOT SPECIFIED'").select("o_orderkey", "o_orderpriority", "o_totalprice")
+    rows = read(spark, d, "orders").where("o_orderpriority > '4-NOT SPECIFIED'").select("o_orderkey", "o_orderpriority", "o_totalprice")
     return P.keyset(rows, [("o_orderpriority", "asc"), ("o_totalprice", "desc"), ("o_orderkey", "desc")], 100, ["5-LOW", 300_000.0, 5])
 
 
@@ -119,9 +120,9 @@ def since_reset(spark, d):
     return logs.join(F.broadcast(reset), F.col("started_at") > F.col("reset_at")).groupBy("session_id").agg(F.count("*").alias("n"))
 
 
-@query("SELECT o_orderkey, coalesce(items, 0) AS items, parts FROM orders LEFT JOIN (SELECT l_orderkey, count(*) AS items, list(l_partkey ORDER BY l_linenumber, l_partkey) AS parts FROM lineitem GROUP BY 1) ON o_orderkey = l_orderkey WHERE o_orderkey % 10 = 0")
+@query("SELECT o_orderkey, coalesce(items, 0) AS items, parts FROM orders LEFT JOIN (SELECT l_orderkey, count(*) AS items, list(l_partkey ORDER BY l_linenumber, l_partkey) AS parts FROM lineitem GROUP BY 1) ON o_orderkey = l_orderkey")
 def parents_with_child_arrays(spark, d):
-    parents = read(spark, d, "orders").where("o_orderkey % 10 = 0").select("o_orderkey")
+    parents = read(spark, d, "orders").select("o_orderkey")
     joined = R.with_children(parents, read(spark, d, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey"), "o_orderkey", "l_orderkey", ["l_linenumber", "l_partkey"], "children")
     return joined.select("o_orderkey", F.when(F.col("children").isNull(), 0).otherwise(F.size("children")).cast("long").alias("items"), F.transform("children", lambda x: x["l_partkey"]).alias("parts"))
 
@@ -174,10 +175,10 @@ def best_route(spark, d):
 # Retention, mutations.
 
 
-@query("SELECT id FROM (SELECT id, row_number() OVER (ORDER BY started_at DESC, id DESC) AS n FROM logs WHERE started_at >= 1704067200000 + 86400000) WHERE n <= 5000", "logs")
+@query("SELECT id FROM (SELECT id, row_number() OVER (ORDER BY started_at DESC, id DESC) AS n FROM logs WHERE started_at >= 1704067200000 + 86400000) WHERE n <= 20000", "logs")
 def retention_newest(spark, d):
     young = usage_logs(spark, d).where(F.col("started_at") >= 1_704_067_200_000 + U.DAY)
-    return young.orderBy(F.desc("started_at"), F.desc("id")).limit(5000).select("id")  # a global top-k, no single-task window
+    return young.orderBy(F.desc("started_at"), F.desc("id")).limit(20_000).select("id")  # a global top-k, no single-task window
 
 
 @query("SELECT user_id, id FROM (SELECT *, user_id % 7 = 0 AS pin, row_number() OVER (PARTITION BY user_id, user_id % 7 = 0 ORDER BY started_at DESC, id DESC) AS n FROM logs WHERE user_id % 7 = 0 OR coalesce(ttft_ms + 1704067200000, started_at) >= 1704067200000) WHERE pin OR n <= 20", "logs")
@@ -259,6 +260,34 @@ def commit_snapshots(spark, d):
     return merge.commit(rows.withColumn("created_at", F.col("created_at") - 600_000).withColumn("expected", F.col("session_id") % 2).withColumn("revision", F.lit(0)), "created_at", "newest", "expected", "revision").select("session_id", "id", "created_at", "committed")
 
 
+@query("""SELECT o_orderkey, o_orderstatus, CASE o_orderstatus WHEN 'P' THEN 'second' ELSE 'first' END AS written FROM orders UNION ALL SELECT o_orderkey, o_orderstatus, 'more' FROM orders WHERE o_orderstatus = 'F' AND o_orderkey % 10 = 0""")
+def append_and_overwrite(spark, d):
+    orders = read(spark, d, "orders").select("o_orderkey", "o_orderstatus")
+    path = sinks.shared_folder(spark, "orders")
+    sinks.append(orders.withColumn("written", F.lit("first")), path, "o_orderstatus")
+    sinks.append(orders.where("o_orderstatus = 'F' AND o_orderkey % 10 = 0").withColumn("written", F.lit("more")), path, "o_orderstatus")
+    for _ in range(2):  # a rerun leaves no trace
+        sinks.overwrite_partitions(orders.where("o_orderstatus = 'P'").withColumn("written", F.lit("second")), path, "o_orderstatus")
+    return spark.read.schema("o_orderkey long, written string, o_orderstatus string").parquet(path).select("o_orderkey", "o_orderstatus", "written")
+
+
+@query("""SELECT ['s_suppkey', 's_name', 'note'] AS cells, 1 AS headers UNION ALL SELECT [CAST(s_suppkey AS VARCHAR), s_name, CASE s_suppkey % 3 WHEN 0 THEN 'a, "b"' WHEN 1 THEN 'two' || chr(10) || 'lines' ELSE '' END], 0 FROM supplier""")
+def grid_round_trip(spark, d):
+    path = sinks.shared_folder(spark, "grid")
+    note = F.when(F.col("s_suppkey") % 3 == 0, 'a, "b"').when(F.col("s_suppkey") % 3 == 1, "two\nlines")
+    rows = read(spark, d, "supplier").select("s_suppkey", "s_name", note.alias("note"))
+    grids.write_csv(rows.coalesce(1), path)  # one grid is one file
+    return grids.read_grid(spark, path).select("cells", (F.col("row_no") == 0).cast("int").alias("headers"))
+
+
+@query("""SELECT p_partkey, price FROM part LEFT JOIN (SELECT p_type AS t, arg_min(p_retailprice, (p_brand, p_partkey)) AS price FROM part WHERE p_size > 5 GROUP BY 1) ON p_type = t""")
+def first_catalog_price(spark, d):
+    part = read(spark, d, "part")
+    entry = F.struct("p_partkey", F.col("p_type").alias("id"), F.col("p_retailprice").alias("price"))
+    catalog = part.where("p_size > 5").groupBy(F.col("p_brand").alias("position")).agg(F.sort_array(F.collect_list(entry)).alias("models"))
+    return R.lookup_first(part.select("p_partkey", "p_type"), catalog, "models", "id", "price", "p_type", "price").select("p_partkey", "price")
+
+
 # Dedupe.
 
 
@@ -267,13 +296,11 @@ def move_to_front(spark, d):
     return Q.latest_each(read(spark, d, "customer").withColumn("back", -F.col("c_custkey")), ["c_mktsegment", "c_nationkey"], ["c_acctbal", "back"]).select("c_mktsegment", "c_custkey")
 
 
-@query("""SELECT id, query_no, rank FROM (SELECT *, row_number() OVER (PARTITION BY id ORDER BY query_no, rank) AS n FROM (SELECT doc_id AS id, 0 AS query_no, row_number() OVER (ORDER BY doc_id) AS rank FROM documents WHERE doc_id % 3 = 0
- UNION ALL SELECT doc_id, 1, row_number() OVER (ORDER BY doc_id DESC) FROM documents WHERE doc_id % 2 = 0)) WHERE n = 1""")
+@query("""SELECT id, query_no, rank FROM (SELECT *, row_number() OVER (PARTITION BY id ORDER BY query_no, rank) AS n FROM (SELECT doc_id AS id, 0 AS query_no, n_chars AS rank FROM documents WHERE doc_id % 3 = 0
+ UNION ALL SELECT doc_id, 1, -n_chars FROM documents WHERE doc_id % 2 = 0)) WHERE n = 1""")
 def union_first_wins(spark, d):
-    ids = read(spark, d, "documents").select(F.col("doc_id").alias("id"))
-    a = ids.where("id % 3 = 0").withColumn("rank", F.row_number().over(W.orderBy("id")))
-    b = ids.where("id % 2 = 0").withColumn("rank", F.row_number().over(W.orderBy(F.desc("id"))))
-    return merge.union_first([a, b], ["id"], ["rank"]).withColumn("rank", F.col("rank").cast("long"))
+    ids = read(spark, d, "documents").select(F.col("doc_id").alias("id"), F.col("n_chars").alias("rank"))
+    return merge.union_first([ids.where("id % 3 = 0"), ids.where("id % 2 = 0").withColumn("rank", -F.col("rank"))], ["id"], ["rank"])
 
 
 @query("SELECT p_partkey FROM (SELECT *, row_number() OVER (PARTITION BY p_brand, p_type ORDER BY src, p_partkey) AS m FROM (SELECT *, row_number() OVER (PARTITION BY lower(p_name) ORDER BY src, p_partkey) AS n FROM (SELECT *, CASE WHEN p_size > 25 THEN 0 ELSE 1 END AS src FROM part)) WHERE n = 1) WHERE m = 1")

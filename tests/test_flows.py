@@ -1,5 +1,7 @@
 """Stateful scans and streams against plain loops, and the cases of the operational model."""
 
+import os
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -221,3 +223,36 @@ def test_near_duplicate_pages_meet_across_hosts(spark, tmp_path):
     html = [(i, u, f"<html><title>{t}</title></html>") for i, u, t in rows]
     spark.createDataFrame(html, "page_id long, url string, html string").write.parquet(f"{tmp_path}/pages.parquet")
     assert ids(registry.queries()["near_duplicate_pages"](spark, str(tmp_path)), "page_id") == want
+
+
+def test_the_stream_gives_what_the_replay_gives(spark):
+    from quern.plans import flows
+    from quern.streaming import coalesce as X
+
+    d = "/root/testdata/sf0.001"
+    if not os.path.isdir(d):
+        pytest.skip("no tables")
+    rows = lambda df: sorted(map(str, df.collect()))
+    assert rows(flows.coalesced_event_stream(spark, d)) == rows(X.replay(flows.closed_events(spark, d), size=40))
+
+
+def test_numbers_like_the_application(spark):
+    values = [0, -1, float("nan"), 850, 999.6, 1005, 1125, 1234, 9995, 9999, 10250, 12500, 99999, 500500, 999999, 1127850000, 1e12]
+    df = spark.createDataFrame([(i, float(v)) for i, v in enumerate(values)], "i int, v double")
+    got = [r.s for r in df.orderBy("i").select(S.short_number(F.col("v")).alias("s")).collect()]
+    assert got == ["0", "0", "0", "850", "1.00k", "1.00k", "1.13k", "1.23k", "9.99k", "10.0k", "10.3k", "12.5k", "100k", "501k", "1.00M", "1.13B", "1.00T"]
+
+
+def test_query_words_of_cjk(spark):
+    df = spark.createDataFrame([("帮我优化排序, Please 优化排序 HELP Sort sort x 可以帮忙",), ("hello",), (None,), ("sorting",)], "q string")
+    assert [r.w for r in df.select(T.query_variants(F.col("q")).alias("w")).collect()] == [["优化排序", "Sort"], [], None, []]
+
+
+def test_titles_without_letters_are_no_duplicates(spark):
+    pages = spark.createDataFrame([(1, "http://a/1", ""), (2, "http://a/2", ""), (3, "http://a/3", "?!"), (4, "http://b/4", "Hello, world"), (5, "http://c/5", "hello world!"), (6, "http://a/1/", "New text")], "id long, url string, title string")
+    assert ids(search.near_duplicates(pages, None, S.normal_url(F.col("url")), "title", "id")) == [1, 2, 3, 4]
+
+
+def test_memory_fingerprint_text(spark):
+    df = spark.createDataFrame([("- [2026-01-02] Use `tabs`\n- [2026-01-03]  *Not*  spaces ",)], "t string")
+    assert df.select(S.memory_text(F.col("t")).alias("m")).first().m == "use tabs not spaces"
