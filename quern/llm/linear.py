@@ -2,17 +2,14 @@
 
 from __future__ import annotations
 
-import re
-
 import numpy as np
 
-_SPACE = re.compile(r"\s+")
 _STEP, _MIX = np.uint32(0x01000193), np.uint32(0x9E3779B1)
 
 
 def codes_of(text: str) -> np.ndarray:
     """Code points of ``text`` with runs of white space as one space and a space at either end."""
-    return np.frombuffer(f" {_SPACE.sub(' ', text).strip()} ".encode("utf-32-le", "surrogatepass"), dtype="<u4")
+    return np.frombuffer(f" {' '.join(text.split())} ".encode("utf-32-le", "surrogatepass"), dtype="<u4")
 
 
 def gram_hashes(codes: np.ndarray, sizes: range, bits: int):

@@ -31,6 +31,7 @@ import pickle
 import unicodedata
 import zlib
 from functools import lru_cache
+from operator import eq
 
 import numpy as np
 import pandas as pd
@@ -65,9 +66,10 @@ def content(text: str | None) -> tuple[np.ndarray, np.ndarray]:
     grams = next(gram_hashes(codes_of(text), range(3, 4), BITS), np.zeros(0, np.uint32))
     cols, counts = np.unique(grams, return_counts=True)
     vals = np.sqrt(counts / max(1, len(grams)))
-    again = sum(a == b for a, b in zip(words, words[1:])) / max(1, n - 1)
+    again = sum(map(eq, words, words[1:])) / max(1, n - 1)
     # Distinct words of stretches of 50: a measure that doesn't fall with the length of a text.
-    fresh = np.mean([len(set(words[k : k + 50])) / len(words[k : k + 50]) for k in range(0, n, 50)]) if n else 1.0
+    stretches = [words[k : k + 50] for k in range(0, n, 50)]
+    fresh = sum(len(set(s)) / len(s) for s in stretches) / len(stretches) if n else 1.0
     numbers = [again, 1 - fresh, min(len(text) / max(1, n), 40) / 40]
     return np.concatenate([cols.astype(np.int64), np.arange(_WORDS, _WORDS + _NUMBERS)]), np.concatenate([vals, numbers])
 
