@@ -11,13 +11,19 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 
-def upsert(base: DataFrame, new: DataFrame, keys: list[str]) -> DataFrame:
-    """New rows replace old ones of the same key."""
+def _one_each(new: DataFrame, keys: list[str], order: list) -> DataFrame:
+    return new.withColumn("__n", F.row_number().over(W.partitionBy(*keys).orderBy(*order))).where("__n = 1").drop("__n")
+
+
+def upsert(base: DataFrame, new: DataFrame, keys: list[str], order: list[str] | None = None) -> DataFrame:
+    """New rows replace old ones of the same key; of new rows alike in key the last in ``order`` does (without it, keys of ``new`` must differ)."""
+    new = _one_each(new, keys, [F.desc(c) for c in order]) if order else new
     return base.join(new.select(*keys), keys, "left_anti").unionByName(new)
 
 
-def insert_absent(base: DataFrame, new: DataFrame, keys: list[str]) -> DataFrame:
-    """New rows whose key is not there yet."""
+def insert_absent(base: DataFrame, new: DataFrame, keys: list[str], order: list[str] | None = None) -> DataFrame:
+    """New rows whose key is not there yet; of new rows alike in key the first in ``order`` (without it, keys of ``new`` must differ)."""
+    new = _one_each(new, keys, order) if order else new
     return base.unionByName(new.join(base.select(*keys), keys, "left_anti"))
 
 
@@ -38,7 +44,7 @@ def counters(deltas: DataFrame, keys: list[str], delta: str, time: str) -> DataF
 
 def finalize_orphans(df: DataFrame, live: DataFrame, key: str, running: Column, into: str) -> DataFrame:
     """Running rows whose key is not alive get the status ``into`` on reading."""
-    marked = df.join(F.broadcast(live.select(F.col(key).alias("__live")).distinct()), F.col(key) == F.col("__live"), "left")
+    marked = df.join(live.select(F.col(key).alias("__live")).distinct(), F.col(key) == F.col("__live"), "left")
     return marked.withColumn("status", F.when(running & F.col("__live").isNull(), into).otherwise(F.col("status"))).drop("__live")
 
 

@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from quern.plans import content, flows, lists, usage
+from quern.plans import content, files, flows, lists, usage
 
-MODULES = (usage, lists, content, flows)
+MODULES = (usage, lists, content, flows, files)
 
 
 def queries() -> dict:
