@@ -22,6 +22,7 @@ import re
 import sys
 import unicodedata
 from functools import lru_cache
+from hashlib import sha256
 from itertools import chain, islice, repeat
 
 import numpy as np
@@ -34,6 +35,8 @@ CHUNK_WORDS = 500_000
 MANY = 24
 #: Keys of a generation of a table of encoded strings (some 16 MB).
 MAX_KEYS = 80_000
+#: Texts whose ids are held at once when only their digests are wanted.
+DIGESTED = 1000
 #: Marks the first piece of a text: a character that no valid text holds.
 FIRST = "\udcff"
 WHITE = "".join(chr(c) for c in range(0x3001) if chr(c).isspace() and not 0x1C <= c <= 0x1F)
@@ -360,14 +363,22 @@ def op9_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return digests(docs)
 
 
+def digest_column(text: Column, ranks_path: str | None = None) -> Column:
+    """Struct of n_tokens, ids_sha256 and decoded_sha256. Ids and decoded bytes are given up after each few texts, so that a worker never holds those of a whole batch."""
+
+    @F.pandas_udf("n_tokens long, ids_sha256 string, decoded_sha256 string")
+    def run(batch: pd.Series) -> pd.DataFrame:
+        made, texts, rows = codec(ranks_path), batch.tolist(), []
+        for at in range(0, len(texts), DIGESTED):
+            for ids in made.encode(texts[at : at + DIGESTED]):
+                rows.append((len(ids) // 4, sha256(ids).hexdigest(), sha256(made.decode(ids)).hexdigest()))
+        return pd.DataFrame(rows, columns=["n_tokens", "ids_sha256", "decoded_sha256"])
+
+    return run(text)
+
+
 def digests(docs: DataFrame) -> DataFrame:
-    both = docs.select("doc_id", round_trip_column(F.col("text")).alias("__made"))
-    return both.select(
-        "doc_id",
-        (F.octet_length("__made.token_ids") / 4).cast("long").alias("n_tokens"),
-        F.sha2("__made.token_ids", 256).alias("ids_sha256"),
-        F.sha2("__made.decoded", 256).alias("decoded_sha256"),
-    )
+    return docs.select("doc_id", digest_column(F.col("text")).alias("__made")).select("doc_id", "__made.*")
 
 
 QUERIES = {"op9_byte_bpe": op9_byte_bpe}
