@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from quern.llm import bm25, bpe, html_text, mixing, periodic, permutation_index, quality, sharding, simhash, toxicity, training_order, url_filter
+from quern.llm import bm25, bpe, collocations, html_text, mixing, periodic, permutation_index, quality, sharding, simhash, toxicity, training_order, url_filter
 
-MODULES = (bm25, bpe, html_text, mixing, periodic, permutation_index, quality, sharding, simhash, toxicity, training_order, url_filter)
+MODULES = (bm25, bpe, collocations, html_text, mixing, periodic, permutation_index, quality, sharding, simhash, toxicity, training_order, url_filter)
 
 
 def queries() -> dict:
