@@ -40,7 +40,9 @@ from quern.llm.shared import drop_folder, mix64, shared_folder, table
 MIN_COUNT, LONGEST, TOP, COVERED, UNKNOWN = 30, 4, 2000, 80, "und"
 SCALE = 2_000_000
 #: Words of a block; distinct words that a task counts before it sends them.
-BLOCK_WORDS, HELD_WORDS = 400_000, 300_000
+BLOCK_WORDS, HELD_WORDS = 400_000, 100_000
+#: Rows of a batch that are taken at once.
+ROWS = 1000
 #: Keys of a slice of a table (some 40 MB), slots of a cell, arrays summed at once, cells that a task holds.
 TABLE_KEYS, CELL, FAN_IN, HELD_CELLS = 4_000_000, 1 << 14, 32, 512
 #: Parts that a language's phrases are ranked in before they are ranked together.
@@ -205,7 +207,7 @@ class Corpus:
                     yield pa.RecordBatch.from_arrays([pa.array([lang] * len(found), pa.string()), pa.array(list(found), pa.binary()), pa.array(list(found.values()), pa.int64())], names=["lang", "word", "n"])
                 held.clear()
 
-            for batch in batches:
+            for batch in _slices(batches):
                 for lang, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
                     held[lang].update(words_of(text))
                 if sum(map(len, held.values())) > HELD_WORDS:
@@ -262,7 +264,7 @@ class Corpus:
             def blocks(batches):
                 """A few texts at a time."""
                 rows, size = [], 0
-                for batch in batches:
+                for batch in _slices(batches):
                     for row in zip(*(batch.column(c).to_pylist() for c in range(3))):
                         rows.append(row)
                         size += len(row[1] or b"") // 6
@@ -351,29 +353,27 @@ class Corpus:
             if held:
                 yield from sent()
 
-        def add(key, group):
-            total = np.zeros(CELL, dtype=np.int64)
+        def total(group):
+            out = np.zeros(CELL, dtype=np.int64)
             for x in group.column("counts"):
-                total += np.frombuffer(x.as_buffer(), dtype=np.int64)
-            return pa.table({"cell": pa.array([key[0].as_py()], pa.int64()), "task": pa.array([key[1].as_py()], pa.int64()), "counts": pa.array([total.tobytes()], pa.binary())})
+                out += np.frombuffer(x.as_buffer(), dtype=np.int64)
+            return out
+
+        def add(key, group):
+            return pa.table({"cell": pa.array([key[0].as_py()], pa.int64()), "task": pa.array([key[1].as_py()], pa.int64()), "counts": pa.array([total(group).tobytes()], pa.binary())})
+
+        def last(key, group):
+            n = total(group)
+            at = np.flatnonzero(n)
+            return pa.table({"slot": pa.array(at + key[0].as_py() * CELL), "a": pa.array(n[at])})
 
         made = corpus.select("s").mapInArrow(arrays, "cell long, counts binary").withColumn("task", F.spark_partition_id().cast("long"))
         # At most so many tasks have read the corpus; a cell has some arrays of each.
-        tasks, level = corpus.rdd.getNumPartitions(), 0
-        while True:
-            tasks, level = -(-tasks // FAN_IN), level + 1
+        tasks = corpus.rdd.getNumPartitions()
+        while tasks > FAN_IN:
+            tasks = -(-tasks // FAN_IN)
             made = made.withColumn("task", F.floor(F.col("task") / FAN_IN)).groupBy("cell", "task").applyInArrow(add, "cell long, task long, counts binary")
-            if tasks <= 1:
-                break
-
-        def rows(batches):
-            for batch in batches:
-                for cell, data in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                    n = np.frombuffer(data, dtype=np.int64)
-                    at = np.flatnonzero(n)
-                    yield pa.RecordBatch.from_arrays([pa.array(at + cell * CELL), pa.array(n[at])], names=["slot", "a"])
-
-        return made.select("cell", "counts").mapInArrow(rows, "slot long, a long")
+        return made.groupBy("cell").applyInArrow(last, "slot long, a long")
 
     def levels(self) -> tuple[DataFrame, dict[int, DataFrame]]:
         """(lang, n), and by length the frequent phrases with what their cuts need."""
@@ -381,13 +381,19 @@ class Corpus:
         words = self._kept(found.select("slot", "lang", F.col("word").alias("phrase"), F.col("n").alias("a")), "level-1")
         made, corpus = {1: words}, self.encode()
         for k in range(2, self.longest + 1):
-            self.starts[k] = self._tables(self.candidates(corpus, k), str(k), lambda c: KeyTable(c[0].to_numpy()))
+            self.starts[k] = self._tables(self._kept(self.candidates(corpus, k), f"candidates-{k}"), str(k), lambda c: KeyTable(c[0].to_numpy()))
             corpus = self.stamp(corpus, k)
             keyed = self._slots(str(k), self.starts[k], lambda t: pa.array(t.stored), "long").join(self.counts(corpus, k).where(F.col("a") >= self.min_count), "slot")
             made[k] = self._kept(cuts(keyed, made, k, self.width), f"level-{k}")
         return totals, made
 
 
+def _slices(batches):
+    for batch in batches:
+        for at in range(0, batch.num_rows, ROWS):
+            yield batch.slice(at, ROWS)
+
+
 def _row(*arrays):
     yield pa.RecordBatch.from_arrays([pa.array([x if isinstance(x, bytes) else x.tobytes()], pa.binary()) for x in arrays], names=list("wst")[: len(arrays)])
 
