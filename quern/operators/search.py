@@ -8,7 +8,9 @@ from functools import reduce
 
 from pyspark.sql import Column, DataFrame, functions as F
 
+from quern.operators.index import SENT, GramIndex
 from quern.operators.merge import union_first
+from quern.operators.usage import in_closed_range
 
 MOST_TOKENS, SHORT = 8, 3
 STATUSES = ("active", "warm")
@@ -29,23 +31,55 @@ def _hits(tokens: list[str]) -> Column:
     return _all([F.contains(F.lower("title"), F.lit(t)) | F.contains(F.lower("content"), F.lit(t)) for t in tokens])
 
 
-def by_rank(entries: DataFrame, tokens: list[str], statuses: tuple[str, ...] | None) -> DataFrame:
-    """Entries that hold every token, scored by BM25 over three-character grams: a token is a phrase, its frequency the (overlapping) times it occurs, a length the grams of title and content. Statistics are over all entries."""
+def _counts(tokens: list[str]) -> list[Column]:
+    """How often each token stands in title and content, overlaps included."""
     text = F.lower(F.concat_ws("\n\n\n", "title", "content"))
-    grams = F.greatest(F.length("title") - 2, F.lit(0)) + F.greatest(F.length("content") - 2, F.lit(0))
-    tf = [F.regexp_count(text, F.lit(f"(?={re.escape(t)})")) for t in tokens]
-    rows = entries.withColumns({f"__tf{i}": c for i, c in enumerate(tf)}).withColumn("__len", F.coalesce(grams, F.lit(0)))
-    stats = rows.agg(F.count("*").alias("__n"), F.avg("__len").alias("__avg"), *[F.count_if(F.col(f"__tf{i}") > 0).alias(f"__df{i}") for i in range(len(tokens))])
-    joined = rows.where(_all([F.col(f"__tf{i}") > 0 for i in range(len(tokens))])).crossJoin(F.broadcast(stats))  # one row
+    return [F.regexp_count(text, F.lit(f"(?={re.escape(t)})")) for t in tokens]
+
+
+def _length() -> Column:
+    """The grams of title and content."""
+    return F.coalesce(F.greatest(F.length("title") - 2, F.lit(0)) + F.greatest(F.length("content") - 2, F.lit(0)), F.lit(0))
+
+
+def _bm25(tokens: list[str]) -> Column:
+    """From __tf0, __tf1, ..., __len of a row and __n, __avg, __df0, __df1, ... of all."""
     score = F.lit(0.0)
     for i in range(len(tokens)):
-        df, n = F.col(f"__tf{i}"), F.col("__n")
-        idf = F.greatest(F.log((n - F.col(f"__df{i}") + 0.5) / (F.col(f"__df{i}") + 0.5)), F.lit(1e-6))
-        score += idf * df * (K1 + 1) / (df + K1 * (1 - B + B * F.col("__len") / F.col("__avg")))
-    out = joined.withColumn("score", score).withColumn("channel", F.lit("rank"))
+        tf, df = F.col(f"__tf{i}"), F.col(f"__df{i}")
+        idf = F.greatest(F.log((F.col("__n") - df + 0.5) / (df + 0.5)), F.lit(1e-6))
+        score += idf * tf * (K1 + 1) / (tf + K1 * (1 - B + B * F.col("__len") / F.col("__avg")))
+    return score
+
+
+def by_rank(entries: DataFrame, tokens: list[str], statuses: tuple[str, ...] | None) -> DataFrame:
+    """Entries that hold every token, scored by BM25 over three-character grams: a token is a phrase, its frequency the (overlapping) times it occurs, a length the grams of title and content. Statistics are over all entries, which are scanned; ``by_index`` needs no scan."""
+    rows = entries.withColumns({f"__tf{i}": c for i, c in enumerate(_counts(tokens))}).withColumn("__len", _length())
+    stats = rows.agg(F.count("*").alias("__n"), F.avg("__len").alias("__avg"), *[F.count_if(F.col(f"__tf{i}") > 0).alias(f"__df{i}") for i in range(len(tokens))])
+    joined = rows.where(_all([F.col(f"__tf{i}") > 0 for i in range(len(tokens))])).crossJoin(F.broadcast(stats))  # one row
+    out = joined.withColumn("score", _bm25(tokens)).withColumn("channel", F.lit("rank"))
     return _of(out, statuses).select(*entries.columns, "score", "channel")
 
 
+def by_index(entries: DataFrame, tokens: list[str], statuses: tuple[str, ...] | None, index: GramIndex) -> DataFrame:
+    """``by_rank`` from the lists of the tokens' grams in ``index``, which holds the same ``entries``; texts are read of rows that hold all grams of a token. Counts are taken, and written, while the result is built."""
+    version = index.store.version()
+    if not version.number or not version.numbers["entries"]:
+        return entries.withColumn("score", F.lit(0.0)).withColumn("channel", F.lit("rank")).where("false")
+    met = index.candidates(tokens, version)
+    # The rarest grams bound how many there can be.
+    met = F.broadcast(met) if index.longest_list(tokens, version) <= SENT else met
+    held = lambda i: F.array_contains("__tokens", i)
+    rows = entries.join(met.select(F.col("id").alias("__id"), F.col("tokens").alias("__tokens")), F.col("id") == F.col("__id"))
+    tf = {f"__tf{i}": F.when(held(i), c).otherwise(0) for i, c in enumerate(_counts(tokens))}
+    counted = _cut(rows.withColumns(tf).withColumn("__len", _length()).select("__id", *tf, "__len"))
+    n, length = version.numbers["entries"], version.numbers["length"]
+    stats = counted.agg(F.lit(n).alias("__n"), F.lit(length / n).alias("__avg"), *[F.count_if(F.col(f"__tf{i}") > 0).alias(f"__df{i}") for i in range(len(tokens))])
+    scored = counted.where(_all([F.col(f"__tf{i}") > 0 for i in range(len(tokens))])).crossJoin(F.broadcast(stats))  # one row
+    scored = scored.select("__id", _bm25(tokens).alias("score"))
+    return _of(entries.join(scored, F.col("id") == F.col("__id")), statuses).select(*entries.columns, "score", F.lit("rank").alias("channel"))
+
+
 def by_like(entries: DataFrame, tokens: list[str], statuses: tuple[str, ...] | None) -> DataFrame:
     """Entries that hold every token in title or content, two points for a title hit and one for a content hit. ASCII or not, case is folded on both sides."""
     points = reduce(lambda a, b: a + b, [F.when(F.contains(F.lower("title"), F.lit(t)), 2).otherwise(0) + F.when(F.contains(F.lower("content"), F.lit(t)), 1).otherwise(0) for t in tokens])
@@ -56,37 +90,54 @@ def _of(df: DataFrame, statuses: tuple[str, ...] | None) -> DataFrame:
     return df.where(F.col("status").isin(*statuses)) if statuses else df
 
 
-
-
-def search(entries: DataFrame, query: str, limit: int = 10, statuses: tuple[str, ...] | None = STATUSES) -> DataFrame:
-    """The best entries with score and channel (scores of the two channels can't be compared). Short tokens, or no hit by rank, fall back to LIKE."""
+def search(
+    entries: DataFrame,
+    query: str,
+    limit: int = 10,
+    statuses: tuple[str, ...] | None = STATUSES,
+    index: GramIndex | None = None,
+    scope: str | None = None,
+    start: int = 0,
+    end: int = 0,
+) -> DataFrame:
+    """The best entries with score and channel (scores of the two channels can't be compared). Short tokens, or no hit by rank, fall back to LIKE.
+
+    scope, start and end (of updated_at, both included, 0: open) select hits; the statistics of ranks are those of all entries.
+    With ``index``, ranks are found by it, without a scan of all texts.
+    """
     tokens = tokens_of(query)
     if not tokens or limit <= 0:
         return entries.withColumn("score", F.lit(0.0)).withColumn("channel", F.lit("")).where("false")
-    like = by_like(entries, tokens, statuses)
+
+    def of(found: DataFrame) -> DataFrame:
+        found = found.where(F.col("scope") == scope) if scope and scope.strip() else found
+        return found.where(in_closed_range("updated_at", start, end)) if start > 0 or end > 0 else found
+
+    like = of(by_like(entries, tokens, statuses))
     found = like
     if all(len(t) >= SHORT for t in tokens):
-        rank = by_rank(entries, tokens, statuses)
-        none = rank.limit(1).agg((F.count("*") == 0).alias("__none"))
-        found = rank.unionByName(like.join(F.broadcast(none), F.col("__none")).drop("__none"))
+        rank = of(by_index(entries, tokens, statuses, index) if index else by_rank(entries, tokens, statuses))
+        none = rank.limit(1).agg((F.count("*") == 0).alias("__none")).where("__none")
+        # No row on the right side, and the left is never run.
+        found = rank.unionByName(like.join(F.broadcast(none)).drop("__none"))
     return found.orderBy((F.col("status") != "active"), F.desc("score"), F.desc("updated_at"), "id").limit(max(1, min(50, limit)))
 
 
-def recall(entries: DataFrame, queries: list[str], limit: int = 5, min_score: float = 0.0, scope: str | None = None) -> DataFrame:
+def recall(entries: DataFrame, queries: list[str], limit: int = 5, min_score: float = 0.0, scope: str | None = None, index: GramIndex | None = None) -> DataFrame:
     """Hits of several variants of a query, the first variant that finds an entry counts; warm entries at 0.8 of their score against ``min_score``, entries without a score pass. With ``scope``, all entries are searched only if the scope has no hit."""
     from pyspark.sql import Window as W
 
-    def of(rows: DataFrame) -> DataFrame:
+    def of(scope: str | None) -> DataFrame:
         order = W.orderBy((F.col("status") != "active"), F.desc("score"), F.desc("updated_at"), "id")
-        found = union_first([search(rows, q, limit).withColumn("rank", F.row_number().over(order)) for q in queries], ["id"], ["rank"])
+        found = union_first([search(entries, q, limit, index=index, scope=scope).withColumn("rank", F.row_number().over(order)) for q in queries], ["id"], ["rank"])
         weighed = F.when(F.col("status") == "warm", F.col("score") * 0.8).otherwise(F.col("score"))
         return found.where(weighed.isNull() | (weighed >= min_score)).orderBy("query_no", "rank").limit(limit)
 
     if scope is None:
-        return of(entries)
-    own = of(entries.where(F.col("scope") == scope))
+        return of(None)
+    own = of(scope)
     none = own.limit(1).agg((F.count("*") == 0).alias("__none"))
-    return own.unionByName(of(entries).join(F.broadcast(none), F.col("__none")).drop("__none"))
+    return own.unionByName(of(None).join(F.broadcast(none), F.col("__none")).drop("__none"))
 
 
 def recall_reason(message: str, hits: int, kept: int, injected: int) -> str:

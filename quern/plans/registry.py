@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from quern.plans import content, files, flows, lists, usage
+from quern.plans import content, files, flows, kept, lists, usage
 
-MODULES = (usage, lists, content, flows, files)
+MODULES = (usage, lists, content, flows, files, kept)
 
 
 def queries() -> dict:
