@@ -35,12 +35,12 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
-from quern.llm.shared import drop_folder, mix64, shared_folder, table
+from quern.llm.shared import drop_folder, mix64, shared_folder, small_batches, table
 
 MIN_COUNT, LONGEST, TOP, COVERED, UNKNOWN = 30, 4, 2000, 80, "und"
 SCALE = 2_000_000
 #: Words of a block; distinct words that a task counts before it sends them.
-BLOCK_WORDS, HELD_WORDS = 400_000, 100_000
+BLOCK_WORDS, HELD_WORDS = 200_000, 100_000
 #: Rows of a batch that are taken at once.
 ROWS = 1000
 #: Keys of a slice of a table (some 40 MB), slots of a cell, arrays summed at once, cells that a task holds.
@@ -449,7 +449,8 @@ def collocations(docs: DataFrame, lang_col: str = "lang", text_col: str = "text"
     The passes over the corpus run while the result is built; the result reads the tables of levels.
     """
     corpus = Corpus(docs, lang_col, text_col, min_count, longest)
-    totals, made = corpus.levels()
+    with small_batches(corpus.spark):
+        totals, made = corpus.levels()
     for name in {f"encoded-{i}" for i in range(len(corpus.starts[1]) - 1)} | {f"stamped-{k}-{i}" for k in range(2, longest + 1) for i in range(len(corpus.starts[k]) - 1)}:
         drop_folder(corpus.spark, f"{corpus.folder}/{name}")
     kept = []

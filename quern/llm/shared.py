@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+from contextlib import contextmanager
 
 import numpy as np
 from pyspark.sql import DataFrame, SparkSession
@@ -38,6 +39,21 @@ def drop_folder(spark: SparkSession, folder: str) -> None:
     path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
+@contextmanager
+def small_batches(spark: SparkSession, size: str = "4m"):
+    """Python workers get Arrow batches of ``size`` bytes instead of 10,000 rows of any length, for what runs meanwhile in this session."""
+    name = "spark.sql.execution.arrow.maxBytesPerBatch"
+    before = spark.conf.get(name, None)
+    spark.conf.set(name, size)
+    try:
+        yield
+    finally:
+        if before is None:
+            spark.conf.unset(name)
+        else:
+            spark.conf.set(name, before)
+
+
 def mix64(x: np.ndarray) -> np.ndarray:
     """The finaliser of splitmix64 on unsigned 64-bit integers (wraps around)."""
     x = x.astype(np.uint64, copy=True)
