@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import re
-import tempfile
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, functions as F
@@ -11,6 +10,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 from quern.operators.index import SENT, GramIndex
 from quern.operators.merge import union_first
 from quern.operators.usage import in_closed_range
+from quern.sources.sinks import checkpointed as _cut
 
 MOST_TOKENS, SHORT = 8, 3
 STATUSES = ("active", "warm")
@@ -165,17 +165,6 @@ def render(rows: list, budget: int = 8000, most: int = 2000) -> str:
     return "".join(out)
 
 
-def _cut(df: DataFrame) -> DataFrame:
-    """``df`` written to the shared folder (spark.checkpoint.dir; a folder of our own only on a local master) and read back."""
-    sc = df.sparkSession.sparkContext
-    if sc.getCheckpointDir() is None:
-        folder = df.sparkSession.conf.get("spark.checkpoint.dir", None)
-        if not folder and (not sc.master.startswith("local") or sc.master.startswith("local-cluster")):
-            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
-        sc.setCheckpointDir(folder or tempfile.mkdtemp(prefix="quern-checkpoints-"))
-    return df.checkpoint(eager=True)
-
-
 def title_pairs(title: Column) -> Column:
     """The distinct pairs of neighbouring letters, digits and CJK characters of a title in lower case, sorted; a title of fewer than two has none, so it is like no other."""
     t = F.lower(F.regexp_replace(F.coalesce(title, F.lit("")), "[^\u4e00-\u9fa5a-zA-Z0-9]", ""))

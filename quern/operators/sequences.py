@@ -2,9 +2,14 @@
 
 from __future__ import annotations
 
+import json
+from collections import deque
+
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
+from quern.operators.chunked import KEY, ROWS, TIE, chain, in_chunks, running_max, scan
+
 
 def newest(df: DataFrame, n: int, keys: list[str], order: list[str]) -> DataFrame:
     """The ``n`` rows of each key that are last in ``order`` (a unique order). Limited before the shuffle."""
@@ -92,49 +97,43 @@ def realigned_tail(df: DataFrame, key: str, order: str, cost: str, kind: str, bu
     return df.groupBy(key).applyInPandas(run, df.schema)
 
 
-def todo_batches(tasks: DataFrame, session: str = "session_id") -> DataFrame:
-    """The last batch of each session's tasks. A task opens a batch if all before it are completed and it was created at or after their last update."""
+def todo_batches(tasks: DataFrame, session: str = "session_id", rows: int = ROWS) -> DataFrame:
+    """The last batch of each session's tasks. A task opens a batch if all before it are completed and it was created at or after their last update.
 
-    def run(frame: pd.DataFrame) -> pd.DataFrame:
-        frame = frame.sort_values(["created_at", "id"], kind="stable")
-        first, done, last = 0, True, None
-        for i, (status, created, updated) in enumerate(zip(frame["status"], frame["created_at"], frame["updated_at"])):
-            if i and done and created >= last:
-                first, done, last = i, True, None
-            done = done and status == "completed"
-            last = updated if last is None else max(last, updated)
-        return frame.iloc[first:]
+    Whether a batch opens depends on no earlier one: what opened a batch was created after all updates before it, so the
+    last update of a batch is that of all tasks so far. Sessions of any size: maxima by chunks, then over chunks.
+    """
+    order = ["created_at", "id"]
+    marked = in_chunks(tasks.withColumn("__left", F.coalesce(F.col("status") != "completed", F.lit(True)).cast("int")), session, order, rows)
+    marked = running_max(marked, order, {"__open": "__left", "__seen": "updated_at"})
+    opens = F.col("__open").isNull() | ((F.col("__open") == 0) & (F.col("created_at") >= F.col("__seen")))
+    place = F.struct(*order, TIE)
+    last = marked.where(opens).groupBy(KEY).agg(F.max(place).alias("__first"))
+    return marked.join(last, KEY).where(place >= F.col("__first")).select(*tasks.columns)
 
-    return tasks.groupBy(session).applyInPandas(run, tasks.schema)
 
+def emitted_alerts(df: DataFrame, key: str, time: str, gap: int, rows: int = ROWS) -> DataFrame:
+    """At most one row of a key in ``gap``, counted from the last one emitted. Links between chunks are worked out while the result is built."""
+    return chain(df, key, time, gap, rows)
 
-def emitted_alerts(df: DataFrame, key: str, time: str, gap: int) -> DataFrame:
-    """At most one row of a key in ``gap``, counted from the last one emitted."""
 
-    def run(frame: pd.DataFrame) -> pd.DataFrame:
-        frame, last, keep = frame.sort_values(time, kind="stable"), None, []
-        for t in frame[time]:
-            keep.append(last is None or t - last >= gap)
-            last = t if keep[-1] else last
-        return frame[keep]
+def rate_limited(df: DataFrame, key: str, time: str, most: int, span: int, rows: int = ROWS) -> DataFrame:
+    """Each row with allowed: fewer than ``most`` allowed rows of its key in the ``span`` before it; refused rows don't count. What chunks leave to the next is worked out while the result is built."""
 
-    return df.groupBy(key).applyInPandas(run, df.schema)
-
-
-def rate_limited(df: DataFrame, key: str, time: str, most: int, span: int) -> DataFrame:
-    """Each row with allowed: fewer than ``most`` allowed rows of its key in the ``span`` before it; refused rows don't count."""
-
-    def run(frame: pd.DataFrame) -> pd.DataFrame:
-        frame, held, out = frame.sort_values(time, kind="stable"), [], []
-        for t in frame[time]:
-            held = [h for h in held if h > t - span]
+    def run(frame: pd.DataFrame, state: str | None) -> tuple[pd.DataFrame, str]:
+        held, out = deque(json.loads(state) if state else ()), []
+        for t in frame[time].tolist():
+            while held and held[0] <= t - span:
+                held.popleft()
             out.append(len(held) < most)
             if out[-1]:
                 held.append(t)
-        return frame.assign(allowed=out)
+        end = frame[time].iloc[-1]
+        return frame[columns].assign(allowed=out), json.dumps([h for h in held if h > end - span])
 
+    columns = df.columns
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema) + ", allowed boolean"
-    return df.groupBy(key).applyInPandas(run, schema)
+    return scan(in_chunks(df, key, [time], rows), [time], run, schema)
 
 
 def last_pair(df: DataFrame, keys: list[str], order: list[str], boundary: Column, summary: Column, time: str, id_: str) -> DataFrame:

@@ -19,6 +19,14 @@ def shared_folder(spark: SparkSession, name: str) -> str:
     return f"{folder}/{name}-{uuid.uuid4().hex}"
 
 
+def checkpointed(df: DataFrame) -> DataFrame:
+    """``df`` written to the shared folder and read back, so that a lost executor costs a read (see ``shared_folder``)."""
+    sc = df.sparkSession.sparkContext
+    if sc.getCheckpointDir() is None:
+        sc.setCheckpointDir(shared_folder(df.sparkSession, "checkpoints"))
+    return df.checkpoint(eager=True)
+
+
 def append(df: DataFrame, path: str, *by: str) -> None:
     """Add rows to a table partitioned by the columns ``by``."""
     df.write.mode("append").partitionBy(*by).parquet(path)
