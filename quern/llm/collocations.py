@@ -9,7 +9,7 @@ of words are those of (language, word).
    word can be frequent).
 2. At level k an occurrence is a candidate only if its first and its last k - 1 words are frequent (Apriori). Tasks send the
    keys of their candidates, once a block, with a count that stops at MIN_COUNT: one byte each, enough to tell who reaches
-   MIN_COUNT in all. Those keys get a minimal perfect hash.
+   MIN_COUNT in all. Keys go in arrays by parts of a hash, as many as keep a part small. Those keys get a minimal perfect hash.
 3. Each occurrence is looked up: the hash gives a slot for any key, and the key stored there tells whether it is meant. Slots
    replace those of the level below; what can be part of no longer candidate goes.
 4. Tasks bincount slots into arrays by cells of CELL slots; arrays are summed cell by cell in a tree of fan-in FAN_IN.
@@ -41,6 +41,8 @@ MIN_COUNT, LONGEST, TOP, COVERED, UNKNOWN = 30, 4, 2000, 80, "und"
 SCALE = 2_000_000
 #: Words of a block; distinct words that a task counts before it sends them.
 BLOCK_WORDS, HELD_WORDS = 200_000, 100_000
+#: Bytes of text whose words, and words of the corpus whose keys, are summed in one group, about.
+PART_BYTES, PART_KEYS = 16 << 20, 3_000_000
 #: Rows of a batch that are taken at once.
 ROWS = 1000
 #: Keys of a slice of a table (some 40 MB), slots of a cell, arrays summed at once, cells that a task holds.
@@ -170,8 +172,8 @@ class Corpus:
         self.docs = docs.select(F.coalesce(F.col(lang_col).cast("string"), F.lit(UNKNOWN)).alias("lang"), F.col(text_col).cast("binary").alias("text"))
         self.folder = f"{shared_folder(self.spark)}/collocations-{uuid.uuid4().hex}"
         self.min_count, self.longest = min_count, longest
-        #: Words with a slot.
-        self.width = 0
+        #: Words with a slot, and all occurrences of words.
+        self.width, self.total = 0, 0
 
     def _kept(self, df: DataFrame, name: str) -> DataFrame:
         df.write.parquet(f"{self.folder}/{name}")
@@ -198,13 +200,20 @@ class Corpus:
     def words(self) -> tuple[DataFrame, DataFrame]:
         """(lang, n) and (slot, lang, word, n) of the frequent words; lays out their table."""
 
+        parts = max(1, -(-int(self.docs.agg(F.coalesce(F.sum(F.length("text")), F.lit(0))).first()[0]) // PART_BYTES))
+        enough = self.min_count
+
         def count(batches):
-            held, size = defaultdict(Counter), 0
+            held = defaultdict(Counter)
 
             def sent():
                 for lang, found in held.items():
                     found.pop(END, None)
-                    yield pa.RecordBatch.from_arrays([pa.array([lang] * len(found), pa.string()), pa.array(list(found), pa.binary()), pa.array(list(found.values()), pa.int64())], names=["lang", "word", "n"])
+                    dealt: dict[int, list[bytes]] = defaultdict(list)
+                    for w in found:
+                        dealt[xxhash.xxh64_intdigest(w) % parts].append(w)
+                    for part, words in dealt.items():
+                        yield _record(part=(part, pa.int32()), lang=(lang, pa.string()), words=(b" ".join(words), pa.binary()), counts=(np.array([found[w] for w in words], dtype=np.int64).tobytes(), pa.binary()))
                 held.clear()
 
             for batch in _slices(batches):
@@ -214,10 +223,22 @@ class Corpus:
                     yield from sent()
             yield from sent()
 
-        counts = self.docs.mapInArrow(count, "lang string, word binary, n long").groupBy("lang", "word").agg(F.sum("n").alias("n"))
-        counts = self._kept(counts, "words")
-        totals = counts.groupBy("lang").agg(F.sum("n").alias("n"))
-        often = counts.where(F.col("n") >= self.min_count)
+        def add(group):
+            """Frequent words of a part, and for each language a row without a word that has the count of all."""
+            found: dict[str, dict[bytes, int]] = defaultdict(dict)
+            for lang, words, counts in zip(group.column("lang").to_pylist(), group.column("words"), group.column("counts")):
+                own = found[lang]
+                for w, n in zip(words.as_py().split(b" "), np.frombuffer(counts.as_buffer(), dtype=np.int64).tolist()):
+                    own[w] = own.get(w, 0) + n
+            rows = [(lang, None, sum(own.values())) for lang, own in found.items()]
+            rows += [(lang, w, n) for lang, own in found.items() for w, n in own.items() if n >= enough]
+            return pa.table({"lang": pa.array([r[0] for r in rows], pa.string()), "word": pa.array([r[1] for r in rows], pa.binary()), "n": pa.array([r[2] for r in rows], pa.int64())})
+
+        sent = self.docs.mapInArrow(count, "part int, lang string, words binary, counts binary")
+        counts = self._kept(sent.groupBy("part").applyInArrow(add, "lang string, word binary, n long"), "words")
+        totals = counts.where("word IS NULL").groupBy("lang").agg(F.sum("n").alias("n"))
+        often = counts.where("word IS NOT NULL")
+        self.total = int(totals.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0])
         whole = F.concat(F.col("word"), F.lit(b" "), F.col("lang").cast("binary"))  # a word holds no space
         self.starts = {1: self._tables(often.select(whole.alias("word")), "1", lambda c: WordTable(c[0].to_pylist()))}
         self.width = max(1, self.starts[1][-1])
@@ -295,15 +316,30 @@ class Corpus:
         width, ratio = self.width, -(-self.min_count // 127)
         enough = -(-self.min_count // ratio)
 
+        parts = max(1, -(-self.total // PART_KEYS))
+
         def keys(batches):
             for batch in batches:
                 for w, s in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
                     found, n = np.unique(candidate_keys(w, s, k, width)[1], return_counts=True)
-                    n = np.minimum(-(-n // ratio), enough)
-                    for at in range(0, len(found), 100_000):
-                        yield pa.RecordBatch.from_arrays([pa.array(found[at : at + 100_000]), pa.array(n[at : at + 100_000].astype(np.int8))], names=["key", "n"])
-
-        return corpus.mapInArrow(keys, "key long, n byte").groupBy("key").agg(F.sum("n").alias("n")).where(F.col("n") >= enough).select("key")
+                    n = np.minimum(-(-n // ratio), enough).astype(np.uint8)
+                    part = (mix64(found) % np.uint64(parts)).astype(np.int32)
+                    order = np.argsort(part, kind="stable")
+                    found, n, part = found[order], n[order], part[order]
+                    first = np.flatnonzero(np.diff(part, prepend=-1))
+                    for a, b in zip(first.tolist(), np.append(first[1:], len(part)).tolist()):
+                        yield _record(part=(int(part[a]), pa.int32()), keys=(found[a:b].tobytes(), pa.binary()), counts=(n[a:b].tobytes(), pa.binary()))
+
+        def add(group):
+            found = np.concatenate([np.frombuffer(x.as_buffer(), dtype=np.int64) for x in group.column("keys")])
+            n = np.concatenate([np.frombuffer(x.as_buffer(), dtype=np.uint8) for x in group.column("counts")])
+            order = np.argsort(found, kind="stable")
+            found, n = found[order], n[order].astype(np.int64)
+            first = np.flatnonzero(np.diff(found, prepend=-1))
+            return pa.table({"key": pa.array(found[first][np.add.reduceat(n, first) >= enough])})
+
+        sent = corpus.mapInArrow(keys, "part int, keys binary, counts binary")
+        return sent.groupBy("part").applyInArrow(add, "key long")
 
     def stamp(self, corpus: DataFrame, k: int) -> DataFrame:
         """The corpus with the slots of phrases of k words in place of those of k - 1."""
@@ -394,6 +430,11 @@ def _slices(batches):
             yield batch.slice(at, ROWS)
 
 
+def _record(**fields) -> pa.RecordBatch:
+    """One row, of (value, type) by name."""
+    return pa.RecordBatch.from_arrays([pa.array([value], kind) for value, kind in fields.values()], names=list(fields))
+
+
 def _row(*arrays):
     yield pa.RecordBatch.from_arrays([pa.array([x if isinstance(x, bytes) else x.tobytes()], pa.binary()) for x in arrays], names=list("wst")[: len(arrays)])
 
