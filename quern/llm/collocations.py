@@ -41,6 +41,8 @@ MIN_COUNT, LONGEST, TOP, COVERED, UNKNOWN = 30, 4, 2000, 80, "und"
 SCALE = 2_000_000
 #: Words of a block; distinct words that a task counts before it sends them.
 BLOCK_WORDS, HELD_WORDS = 200_000, 100_000
+#: Slots in a row of the rewritten corpus (two arrays of 8 bytes each), keys that a task sorts out before it sends them.
+ROW_WORDS, HELD_KEYS = 24_000, 400_000
 #: Bytes of text whose words, and words of the corpus whose keys, are summed in one group, about.
 PART_BYTES, PART_KEYS = 16 << 20, 3_000_000
 #: Rows of a batch that are taken at once.
@@ -164,6 +166,13 @@ def squeezed(keep: np.ndarray) -> np.ndarray:
     return np.flatnonzero(stays)
 
 
+def cut_places(w: np.ndarray) -> np.ndarray:
+    """Where to cut an array of slots, behind a -1, into rows of some ROW_WORDS."""
+    ends = np.flatnonzero(w < 0) + 1
+    at = np.searchsorted(ends, np.arange(ROW_WORDS, len(w), ROW_WORDS))
+    return np.unique(ends[at[at < len(ends)]])
+
+
 class Corpus:
     """A text column as arrays of slots, and the tables of all levels, in a folder of the shared one."""
 
@@ -303,8 +312,9 @@ class Corpus:
                 border = np.array([-1])
                 for rows in blocks(batches):
                     w = np.concatenate([x for array in slots(rows) for x in (array, border)])
-                    w = w[squeezed(w >= 0)].astype(np.int64).tobytes()
-                    yield pa.RecordBatch.from_arrays([pa.array([w], pa.binary()), pa.array([w], pa.binary())], names=["w", "s"])
+                    w = w[squeezed(w >= 0)].astype(np.int64)
+                    for piece in np.split(w, cut_places(w)):
+                        yield from _row(piece, piece)
 
             made = docs.mapInArrow(joined, "w binary, s binary") if last else docs.mapInArrow(filled, "lang string, text binary, ids binary")
             docs = self._kept(made, f"encoded-{i}")
@@ -318,17 +328,29 @@ class Corpus:
 
         parts = max(1, -(-self.total // PART_KEYS))
 
-        def keys(batches):
+        def some(batches):
+            """Keys of a few rows at a time."""
+            held, size = [], 0
             for batch in batches:
                 for w, s in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                    found, n = np.unique(candidate_keys(w, s, k, width)[1], return_counts=True)
-                    n = np.minimum(-(-n // ratio), enough).astype(np.uint8)
-                    part = (mix64(found) % np.uint64(parts)).astype(np.int32)
-                    order = np.argsort(part, kind="stable")
-                    found, n, part = found[order], n[order], part[order]
-                    first = np.flatnonzero(np.diff(part, prepend=-1))
-                    for a, b in zip(first.tolist(), np.append(first[1:], len(part)).tolist()):
-                        yield _record(part=(int(part[a]), pa.int32()), keys=(found[a:b].tobytes(), pa.binary()), counts=(n[a:b].tobytes(), pa.binary()))
+                    held.append(candidate_keys(w, s, k, width)[1])
+                    size += len(held[-1])
+                    if size >= HELD_KEYS:
+                        yield np.concatenate(held)
+                        held, size = [], 0
+            if size:
+                yield np.concatenate(held)
+
+        def keys(batches):
+            for found in some(batches):
+                found, n = np.unique(found, return_counts=True)
+                n = np.minimum(-(-n // ratio), enough).astype(np.uint8)
+                part = (mix64(found) % np.uint64(parts)).astype(np.int32)
+                order = np.argsort(part, kind="stable")
+                found, n, part = found[order], n[order], part[order]
+                first = np.flatnonzero(np.diff(part, prepend=-1))
+                for a, b in zip(first.tolist(), np.append(first[1:], len(part)).tolist()):
+                    yield _record(part=(int(part[a]), pa.int32()), keys=(found[a:b].tobytes(), pa.binary()), counts=(n[a:b].tobytes(), pa.binary()))
 
         def add(group):
             found = np.concatenate([np.frombuffer(x.as_buffer(), dtype=np.int64) for x in group.column("keys")])
