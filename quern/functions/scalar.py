@@ -131,7 +131,7 @@ def flatten_blocks(text: Column, tag: str) -> Column:
 def normal_url(url: Column) -> Column:
     """Host without www. and path without a trailing slash, lower case; the text itself if it is no URL."""
     host = F.regexp_replace(F.lower(F.try_parse_url(url, F.lit("HOST"))), r"^www\.", "")
-    path = F.regexp_replace(F.coalesce(F.try_parse_url(url, F.lit("PATH")), F.lit("")), r"/+$", "")
+    path = F.regexp_replace(F.coalesce(F.try_parse_url(url, F.lit("PATH")), F.lit("")), r"/$", "")
     return F.lower(F.coalesce(F.concat(host, path), F.trim(url)))
 
 

@@ -3,9 +3,13 @@
 from __future__ import annotations
 
 import re
+import zlib
 from functools import reduce
+from itertools import combinations
 
-from pyspark.sql import Column, DataFrame, functions as F
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from quern.operators.index import SENT, GramIndex
 from quern.operators.merge import union_first
@@ -15,7 +19,8 @@ from quern.sources.sinks import checkpointed as _cut
 MOST_TOKENS, SHORT = 8, 3
 STATUSES = ("active", "warm")
 K1, B = 1.2, 0.75
-COMMON = 4096
+#: Equal parts asked for at most, and candidates for each signature beyond which one more is asked for.
+MOST_ALIKE, DEAR = 3, 0.5
 
 
 def tokens_of(query: str) -> list[str]:
@@ -125,8 +130,6 @@ def search(
 
 def recall(entries: DataFrame, queries: list[str], limit: int = 5, min_score: float = 0.0, scope: str | None = None, index: GramIndex | None = None) -> DataFrame:
     """Hits of several variants of a query, the first variant that finds an entry counts; warm entries at 0.8 of their score against ``min_score``, entries without a score pass. With ``scope``, all entries are searched only if the scope has no hit."""
-    from pyspark.sql import Window as W
-
     def of(scope: str | None) -> DataFrame:
         order = W.orderBy((F.col("status") != "active"), F.desc("score"), F.desc("updated_at"), "id")
         found = union_first([search(entries, q, limit, index=index, scope=scope).withColumn("rank", F.row_number().over(order)) for q in queries], ["id"], ["rank"])
@@ -172,53 +175,142 @@ def title_pairs(title: Column) -> Column:
     return F.when(F.length(t) >= 2, F.sort_array(F.array_distinct(pairs))).otherwise(F.array().cast("array<string>"))
 
 
+def _sizes(n: int, share: float) -> list[tuple[int, int, int]]:
+    """(smaller, larger, most differences) of the pairs of sizes in which a set of ``n`` can be like another: Jaccard ``share`` or more."""
+    most = lambda a, b: int((1 - share) / (1 + share) * (a + b) + 1e-9)
+    pairs = [(n, m) for m in range(n, int(n / share + 1e-9) + 1)] + [(m, n) for m in range(int(np.ceil(n * share - 1e-9)), n)]
+    return [(a, b, most(a, b)) for a, b in pairs if a and max(1, b - a) <= most(a, b)]
+
+
+def signatures(sets: DataFrame, share: float, alike: int, sizes: DataFrame | None = None) -> DataFrame:
+    """(g, s, n, a, b, mark) of ``sets`` (g, s, pairs), for the pairs of sizes a <= b in ``sizes`` (all if none is given).
+
+    If sets of a and b elements differ in h elements at most, and all elements are dealt to h + ``alike`` parts by a hash, the sets
+    are equal in ``alike`` of the parts or more. A mark tells the sizes, which parts, and what a set has in them.
+    """
+    wanted = None if sizes is None else {(r["a"], r["b"]) for r in sizes.collect()}  # pairs of title lengths
+
+    def run(batches):
+        for batch in batches:
+            out: dict[str, list] = {c: [] for c in ("g", "s", "n", "a", "b", "mark")}
+            for g, s, items in zip(*(batch.column(i).to_pylist() for i in range(3))):
+                hashes = np.array([zlib.crc32(x.encode()) for x in items], dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)
+                for a, b, most in _sizes(len(items), share):
+                    if wanted is not None and (a, b) not in wanted:
+                        continue
+                    parts = most + alike
+                    # What a set has in a part, as the sum of its elements' hashes.
+                    held = np.zeros(parts, dtype=np.uint64)
+                    np.add.at(held, ((hashes >> np.uint64(33)) % np.uint64(parts)).astype(np.int64), hashes ^ (hashes >> np.uint64(29)))
+                    held *= np.arange(1, 2 * parts, 2, dtype=np.uint64) * np.uint64(0xD6E8FEB86659FD93)
+                    held ^= held >> np.uint64(32)
+                    which = np.array(list(combinations(range(parts), alike)))
+                    marks = held[which].sum(axis=1) * np.uint64(0xBF58476D1CE4E5B9) + (which @ (parts ** np.arange(alike))).astype(np.uint64)
+                    k = len(marks)
+                    for c, v in (("g", g), ("s", s), ("n", len(items)), ("a", a), ("b", b)):
+                        out[c] += [v] * k
+                    out["mark"] += marks.view(np.int64).tolist()
+                if len(out["s"]) > 50_000:
+                    yield pa.RecordBatch.from_pydict(out, schema=_MARKS)
+                    out = {c: [] for c in out}
+            yield pa.RecordBatch.from_pydict(out, schema=_MARKS)
+
+    return sets.select("g", "s", "pairs").mapInArrow(run, "g string, s string, n int, a int, b int, mark long")
+
+
+_MARKS = pa.schema([("g", pa.string()), ("s", pa.string()), ("n", pa.int32()), ("a", pa.int32()), ("b", pa.int32()), ("mark", pa.int64())])
+
+
 def similar_sets(sets: DataFrame, share: float) -> DataFrame:
-    """(a, b), both ways, of the ``sets`` (g, s, pairs) of one g whose Jaccard overlap is ``share`` at least. Two such sets share one of the rarest few elements of each (prefix filter)."""
-    size = F.size("pairs")
-    each = sets.select("g", "s", F.explode("pairs").alias("x"))
-    # Any one order of all elements will do; the most common few thousand come last, by how common they are.
-    common = each.groupBy("x").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "x").limit(COMMON)
-    ordered = each.join(F.broadcast(common), "x", "left").groupBy("g", "s").agg(F.sort_array(F.collect_list(F.struct(F.coalesce("n", F.lit(0)).alias("n"), "x"))).alias("o"))
-    ordered = ordered.select("g", "s", F.col("o.x").alias("pairs"))
-    prefix = F.slice("pairs", F.lit(1), (size - F.ceil(size * share - 1e-9) + 1).cast("int"))
-    heads = _cut(ordered.select("g", "s", "pairs", size.alias("n"), F.posexplode(prefix).alias("at", "x")))
-    left, right = (heads.select("g", "x", *[F.col(c).alias(f"{c}{i}") for c in ("s", "pairs", "n", "at")]) for i in (1, 2))
-    least = (F.col("n1") + F.col("n2")) * (share / (1 + share)) - 1e-6
-    # What can still be shared from the first shared element on.
-    rest = F.least(F.col("n1") - F.col("at1"), F.col("n2") - F.col("at2"))
-    near = left.join(right, ["g", "x"]).where((F.col("s1") < F.col("s2")) & (rest >= least))
+    """(a, b), both ways, of the ``sets`` (g, s, pairs) of one g whose Jaccard overlap is ``share`` at least.
+
+    Candidates share a signature (see ``signatures``). With one part that must be equal there are few signatures a set; where
+    these meet too often (counted for each pair of sizes, no pair is formed for that), two or three parts must be equal, which
+    takes more signatures and leaves far fewer candidates. So candidates keep in proportion to the sets.
+    """
+    key = ["g", "a", "b", "mark"]
+    found, sizes = None, None
+    for alike in range(1, MOST_ALIKE + 1):
+        made = _cut(signatures(sets, share, alike, sizes))
+        if alike < MOST_ALIKE:
+            left, right = F.count_if(F.col("n") == F.col("a")), F.count_if(F.col("n") == F.col("b"))
+            groups = made.groupBy(*key).agg(left.alias("l"), right.alias("r"), F.count("*").alias("n"))
+            met = F.when(F.col("a") == F.col("b"), F.col("l") * (F.col("l") - 1) / 2).otherwise(F.col("l") * F.col("r"))
+            cost = groups.groupBy("a", "b").agg(F.sum(met).alias("met"), F.sum("n").alias("n")).withColumn("dear", F.col("met") > F.col("n") * DEAR)
+            cost = _cut(cost.select("a", "b", "dear"))  # a row for each pair of title lengths
+            sizes = cost.where("dear")
+            made = made.join(F.broadcast(cost.where("NOT dear").select("a", "b")), ["a", "b"], "left_semi")
+        small = made.where(F.col("n") == F.col("a")).select(*key, F.col("s").alias("s1"))
+        large = made.where(F.col("n") == F.col("b")).select(*key, F.col("s").alias("s2"))
+        here = small.join(large, key).where((F.col("a") < F.col("b")) | (F.col("s1") < F.col("s2"))).where(F.col("s1") != F.col("s2")).select("g", "s1", "s2")
+        found = here if found is None else found.unionByName(here)
+        if alike == MOST_ALIKE or sizes.isEmpty():
+            break
+    of = lambda i: sets.select("g", F.col("s").alias(f"s{i}"), F.col("pairs").alias(f"pairs{i}"))
+    near = found.distinct().join(of(1), ["g", "s1"]).join(of(2), ["g", "s2"])
     both = F.size(F.array_intersect("pairs1", "pairs2"))
-    found = near.where(both >= share * (F.col("n1") + F.col("n2") - both)).select(F.col("s1").alias("a"), F.col("s2").alias("b")).distinct()
-    return found.union(found.select("b", "a"))
+    alike = near.where(both / (F.size("pairs1") + F.size("pairs2") - both) >= share).select(F.col("s1").alias("a"), F.col("s2").alias("b"))
+    return alike.union(alike.select("b", "a"))
+
+
+def query_tokens(query: str) -> list[str]:
+    """Words of more than two characters in lower case; of words with CJK characters the whole and its pairs of neighbours."""
+    found: list[str] = []
+    for word in re.split(r"[\W_]+", query.lower()):
+        if re.search("[\u4e00-\u9fa5]", word):
+            found += [word, *(word[i : i + 2] for i in range(len(word) - 1))]
+        elif len(word) > 2:
+            found.append(word)
+    return list(dict.fromkeys(found))
+
 
+def shares_token(query: str, title: Column, snippet: Column) -> Column:
+    """Whether title or snippet holds a token of the query; true for a query without tokens."""
+    text = F.lower(F.concat(F.coalesce(title, F.lit("")), F.lit(" "), F.coalesce(snippet, F.lit(""))))
+    tokens = query_tokens(query)
+    return reduce(lambda a, b: a | b, [F.contains(text, F.lit(t)) for t in tokens]) if tokens else F.lit(True)
 
-def near_duplicates(df: DataFrame, group: str | None, url: Column, title: str, order: str, share: float = 0.82) -> DataFrame:
-    """Rows that stay when, in order (a unique column), a row goes whose normalised URL is that of a kept row or whose title's character pairs overlap those of a kept row by ``share`` (Jaccard). Titles of fewer than two characters are like no other. Without ``group``, over all rows.
+
+def near_duplicates(df: DataFrame, group: str | None, url: Column, title: str, order: str, share: float = 0.82, on_topic: Column | None = None, limit: int | None = None) -> DataFrame:
+    """Rows that stay when, in order (a unique column), a row goes whose normalised URL is that of a row that stayed or whose title's character pairs overlap those of a kept row by ``share`` (Jaccard). Titles of fewer than two characters are like no other. Without ``group``, over all rows.
+
+    Of the rows that stay, those not ``on_topic`` are deferred: their URLs count, but no title is compared with theirs. With
+    ``limit``, a group's first rows in order are given, deferred ones only where others don't fill it.
 
     The result is that of the greedy scan, but worked out in rounds of joins: of the rows not yet decided, those first among
-    all that their URL and title are alike to are kept, and what is alike to them goes. Equal titles are one set of pairs, so
-    copies cost no pairs of rows; similar but unequal titles cost one row for each pair of sets.
+    all that their URL and kept titles are alike to stay, and what is alike to them goes. Equal titles are one set of pairs, so
+    copies cost no pairs of rows; similar but unequal titles cost one row for each pair of sets. The rounds, as many as the
+    longest chain of rows that decide on each other, run while the result is built.
     """
     g = F.col(group).cast("string") if group else F.lit("")
-    slim = df.select(F.col(order).alias("n"), F.coalesce(g, F.lit("")).alias("g"), url.alias("u"), title_pairs(F.col(title)).alias("pairs"))
+    topic = F.lit(True) if on_topic is None else F.coalesce(on_topic, F.lit(False))
+    slim = df.select(F.col(order).alias("n"), F.coalesce(g, F.lit("")).alias("g"), url.alias("u"), title_pairs(F.col(title)).alias("pairs"), topic.alias("on"))
     name = F.sha2(F.to_json(F.struct("g", "pairs")), 256)
     slim = _cut(slim.withColumn("u", F.sha2(F.to_json(F.struct("g", "u")), 256)).withColumn("s", F.when(F.size("pairs") > 0, name)))
     sets = slim.where("s IS NOT NULL").groupBy("g", "s").agg(F.first("pairs").alias("pairs"))
     alike = _cut(similar_sets(sets, share))
-    # Of equal URL and title only the first can be kept.
-    whole = slim.where("s IS NULL").select("n", "u", "s").union(slim.where("s IS NOT NULL").groupBy("u", "s").agg(F.min("n").alias("n")).select("n", "u", "s"))
+    # Of equal URL and title only the first can stay: what takes it out takes out the others.
+    first = F.min_by(F.struct("n", "on"), "n").alias("x")
+    whole = slim.where("s IS NULL").select("n", "u", "s", "on").union(slim.where("s IS NOT NULL").groupBy("u", "s").agg(first).select("x.n", "u", "s", "x.on"))
     left, kept = _cut(whole), None
+
+    def least(rows: DataFrame, into: str) -> DataFrame:
+        """For each set, the first of ``rows`` on topic that has it or one alike."""
+        own = rows.where("s IS NOT NULL AND on").groupBy("s").agg(F.min("n").alias("first"))
+        near = alike.join(own.withColumnRenamed("s", "b"), "b").select(F.col("a").alias("s"), "first")
+        return own.union(near).groupBy("s").agg(F.min("first").alias(into))
+
     while not left.isEmpty():
-        by_set = left.where("s IS NOT NULL").groupBy("s").agg(F.min("n").alias("first"))
-        near = alike.join(by_set.withColumnRenamed("s", "b"), "b").select(F.col("a").alias("s"), "first")
-        by_set = by_set.union(near).groupBy("s").agg(F.min("first").alias("of_set"))
         by_url = left.groupBy("u").agg(F.min("n").alias("of_url"))
-        here = left.join(by_url, "u").join(by_set, "s", "left")
-        now = _cut(here.where((F.col("n") == F.col("of_url")) & (F.col("n") == F.coalesce("of_set", "n"))).select("n", "u", "s"))
+        here = left.join(by_url, "u").join(least(left, "of_set"), "s", "left")
+        now = _cut(here.where((F.col("n") == F.col("of_url")) & (F.col("n") <= F.coalesce("of_set", "n"))).select("n", "u", "s", "on"))
         kept = now if kept is None else kept.union(now)
-        own = now.where("s IS NOT NULL").select("s").distinct()
-        gone = own.union(alike.join(own.withColumnRenamed("s", "b"), "b").select(F.col("a").alias("s"))).distinct()
-        left = _cut(left.join(now.select("u").distinct(), "u", "left_anti").join(gone, "s", "left_anti").select("n", "u", "s"))
+        rest = left.join(now.select("u").distinct(), "u", "left_anti").join(least(now, "gone_by"), "s", "left")
+        left = _cut(rest.where(F.coalesce(F.col("n") < F.col("gone_by"), F.lit(True))).select("n", "u", "s", "on"))
     if kept is None:
-        return df
-    return df.join(kept.select(F.col("n").alias(order)), order, "left_semi").select(*df.columns)
+        kept = left
+    stay = df.join(kept.select(F.col("n").alias(order), (~F.col("on")).alias("__deferred")), order)
+    if limit is not None:
+        place = F.row_number().over(W.partitionBy(g if group else F.lit("")).orderBy("__deferred", order))
+        stay = stay.withColumn("__place", place).where(F.col("__place") <= limit) if group else stay.orderBy("__deferred", order).limit(limit)
+    return stay.select(*df.columns, *([] if on_topic is None else [F.col("__deferred").alias("deferred")]))

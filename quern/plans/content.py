@@ -212,7 +212,7 @@ def page_link_cards(spark, d):
     return T.link_cards(read(spark, d, "pages"), "html", ("page_id",))
 
 
-@query(r"""SELECT page_id, regexp_replace(lower(regexp_extract(url, '^https?://([^/?#]+)', 1)), '^www\.', '') || lower(regexp_replace(regexp_extract(url, '^https?://[^/?#]+([^?#]*)', 1), '/+$', '')) AS url FROM pages""")
+@query(r"""SELECT page_id, regexp_replace(lower(regexp_extract(url, '^https?://([^/?#]+)', 1)), '^www\.', '') || lower(regexp_replace(regexp_extract(url, '^https?://[^/?#]+([^?#]*)', 1), '/$', '')) AS url FROM pages""")
 def normalized_urls(spark, d):
     return read(spark, d, "pages").select("page_id", S.normal_url(F.col("url")).alias("url"))
 
@@ -223,6 +223,14 @@ def near_duplicate_pages(spark, d):
     return K.near_duplicates(pages, None, S.normal_url(F.col("url")), "title", "page_id").select("page_id")
 
 
+@query()
+def search_results_on_topic(spark, d):
+    """Pages as results of a search: near-duplicates go, pages that share no word with the query are deferred behind the others."""
+    pages = read(spark, d, "pages").select("page_id", "url", T.page_title(F.col("html")).alias("title"))
+    topic = K.shares_token("the nation of things", F.col("title"), F.lit(""))
+    return K.near_duplicates(pages, None, S.normal_url(F.col("url")), "title", "page_id", on_topic=topic).select("page_id", "deferred")
+
+
 @query("SELECT doc_id, position, paragraph FROM (SELECT doc_id, position, trim(p) AS paragraph FROM (SELECT doc_id, unnest(generate_series(0, len(l) - 1)) AS position, unnest(l) AS p FROM (SELECT doc_id, string_split(replace(text, chr(10), chr(10) || chr(10)), chr(10) || chr(10)) AS l FROM documents))) WHERE length(paragraph) >= 20")
 def text_paragraphs(spark, d):
     docs = read(spark, d, "documents").select("doc_id", F.replace("text", F.lit("\n"), F.lit("\n\n")).alias("text"))
