@@ -46,11 +46,11 @@ def _links(rows: DataFrame) -> dict[tuple[str, int], int | None]:
     return {(r[KEY], c): before for r in several.collect() for before, c in zip([None, *r["chunks"]], r["chunks"])}
 
 
-def scan(rows: DataFrame, order: list[str], run: Callable[[pd.DataFrame, str | None], tuple[pd.DataFrame, str | None]], schema: str) -> DataFrame:
+def scan(rows: DataFrame, order: list[str], run: Callable[[pd.DataFrame, str | None, bool], tuple[pd.DataFrame, str | None]], schema: str) -> DataFrame:
     """The output of ``run`` over the chunks of each key in order.
 
-    run: from a chunk's sorted rows and the state left by the chunk before (None at a key's start; bounded text) to output
-    rows and the state at the chunk's end. The rounds run while the result is built.
+    run: from a chunk's sorted rows, the state left by the chunk before (None at a key's start; bounded text) and whether the
+    key ends with this chunk, to output rows and the state at the chunk's end. The rounds run while the result is built.
     """
     spark, links = rows.sparkSession, _links(rows)
     by = [*order, TIE]
@@ -58,6 +58,7 @@ def scan(rows: DataFrame, order: list[str], run: Callable[[pd.DataFrame, str | N
     def ordered(frame: pd.DataFrame) -> pd.DataFrame:
         return frame.sort_values(by, kind="stable").reset_index(drop=True)
 
+    final = set(links) - {(k, before) for (k, _), before in links.items()}
     entry: dict[tuple[str, int], str | None] = dict.fromkeys(links)
     todo, leaves = list(links), {}
     while todo:
@@ -65,7 +66,7 @@ def scan(rows: DataFrame, order: list[str], run: Callable[[pd.DataFrame, str | N
 
         def ends(name: tuple, frame: pd.DataFrame) -> pd.DataFrame:
             key = (name[0], int(name[1]))
-            return pd.DataFrame({KEY: [key[0]], CHUNK: [key[1]], "state": [run(ordered(frame), given[key])[1]]})
+            return pd.DataFrame({KEY: [key[0]], CHUNK: [key[1]], "state": [run(ordered(frame), given[key], key in final)[1]]})
 
         wanted = F.broadcast(spark.createDataFrame(todo, f"{KEY} string, {CHUNK} int"))
         found = rows.join(wanted, [KEY, CHUNK], "left_semi").groupBy(KEY, CHUNK).applyInPandas(ends, f"{KEY} string, {CHUNK} int, state string")
@@ -75,7 +76,8 @@ def scan(rows: DataFrame, order: list[str], run: Callable[[pd.DataFrame, str | N
         entry = true
 
     def out(name: tuple, frame: pd.DataFrame) -> pd.DataFrame:
-        return run(ordered(frame), entry.get((name[0], int(name[1]))))[0]
+        key = (name[0], int(name[1]))
+        return run(ordered(frame), entry.get(key), key in final or key not in links)[0]
 
     return rows.groupBy(KEY, CHUNK).applyInPandas(out, schema)
 

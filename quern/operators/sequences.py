@@ -120,7 +120,7 @@ def emitted_alerts(df: DataFrame, key: str, time: str, gap: int, rows: int = ROW
 def rate_limited(df: DataFrame, key: str, time: str, most: int, span: int, rows: int = ROWS) -> DataFrame:
     """Each row with allowed: fewer than ``most`` allowed rows of its key in the ``span`` before it; refused rows don't count. What chunks leave to the next is worked out while the result is built."""
 
-    def run(frame: pd.DataFrame, state: str | None) -> tuple[pd.DataFrame, str]:
+    def run(frame: pd.DataFrame, state: str | None, last: bool) -> tuple[pd.DataFrame, str]:
         held, out = deque(json.loads(state) if state else ()), []
         for t in frame[time].tolist():
             while held and held[0] <= t - span:

@@ -6,7 +6,6 @@ from pyspark.sql import functions as F
 
 from quern.operators import sequences as Q, usage as U
 from quern.plans.kit import Catalog
-from quern.sources.sinks import shared_folder
 from quern.sources.standins import messages, read, usage_logs
 from quern.streaming import coalesce as X
 
@@ -96,14 +95,8 @@ def coalesced_events(spark, d):
 
 @query()
 def coalesced_event_stream(spark, d):
-    """The event table as a file stream through the stateful coalescer. Each run's log is closed by a loop_end, so nothing is left to a timer and the result is that of the replay of the same log."""
-    folder = shared_folder(spark, "coalesced")
-    closed_events(spark, d).write.parquet(f"{folder}/in")
-    deltas = spark.readStream.schema(closed_events(spark, d).schema).parquet(f"{folder}/in")
-    stream = X.coalesce_stream(deltas, size=40, flush_ms=3_600_000)
-    run = stream.writeStream.format("parquet").option("path", f"{folder}/out").option("checkpointLocation", f"{folder}/state").outputMode("append").trigger(once=True).start()
-    run.awaitTermination()
-    return spark.read.schema(stream.schema).parquet(f"{folder}/out")
+    """The event table through the stateful coalescer of the stream. Each run's log is closed by a loop_end, so nothing is left to a timer and the result is that of the replay of the same log."""
+    return X.coalesce_stream(closed_events(spark, d), size=40, flush_ms=3_600_000)
 
 
 def closed_events(spark, d):

@@ -12,6 +12,10 @@ import json
 
 import pandas as pd
 from pyspark.sql import DataFrame, Window as W, functions as F
+from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
+
+from quern.operators.chunked import CHUNK, KEY, ROWS, in_chunks, scan
+from quern.sources.sinks import checkpointed
 
 FLUSH_MS, SIZE = 33, 200
 ENDS = ("loop_end", "error")
@@ -57,55 +61,136 @@ class Run:
         return self.flush() if held >= self.size else []
 
 
-def _rows(run_id: str, events: list[tuple]) -> pd.DataFrame:
-    return pd.DataFrame([(run_id, *e) for e in events], columns=["run_id", "seq", "type", "text", "tool_call_id", "args"])
-
-
 def _none(v):
     return None if v is None or v != v else v
 
 
-def replay(events: DataFrame, order: str = "arrival", time: str | None = None, size: int = SIZE, flush_ms: int = FLUSH_MS) -> DataFrame:
-    """Envelope rows of a whole log (run_id, type, text, tool_call_id, args and ``order``); with ``time`` in milliseconds a window also ends ``flush_ms`` after its first event."""
+def _held(run: Run) -> bool:
+    return bool(run.state["text"] or run.state["args"])
+
+
+def replay(events: DataFrame, order: str = "arrival", time: str | None = None, size: int = SIZE, flush_ms: int = FLUSH_MS, rows: int = ROWS) -> DataFrame:
+    """Envelope rows of a whole log (run_id, type, text, tool_call_id, args and ``order``, which is unique in a run); with ``time`` in milliseconds a window also ends ``flush_ms`` after its first event.
+
+    Runs of any length: a run's chunks are folded at once, and again where the window that the chunk before left open makes a
+    difference (none after a control event). The numbers of envelopes are counted on over chunks afterwards.
+    """
+
+    def fold(frame: pd.DataFrame, state: str | None, last: bool) -> tuple[pd.DataFrame, str]:
+        before, opened = json.loads(state) if state else (None, None)
+        run, out, epoch, count = Run(before, size), [], 0, 0
+        run.state["seq"] = 0
+        times = frame[time].tolist() if time else [0] * len(frame)
+
+        def add(made: list[tuple]) -> None:
+            nonlocal epoch, count
+            for e in made:
+                out.append((epoch, *e))
+                count = e[0] + 1
+                if e[1] in ENDS:
+                    epoch, count = epoch + 1, 0
 
-    def fold(frame: pd.DataFrame) -> pd.DataFrame:
-        frame = frame.sort_values(order, kind="stable")
-        run, out, opened = Run(size=size), [], None
-        times = frame[time] if time else [0] * len(frame)
         for at, kind, text, tool, args in zip(times, frame["type"], frame["text"], frame["tool_call_id"], frame["args"]):
             if time and opened is not None and at - opened >= flush_ms:
-                out += run.flush()
+                add(run.flush())
                 opened = None
-            out += run.push(kind, _none(text), _none(tool), _none(args))
-            held = run.state["text"] or run.state["args"]
-            opened = (opened if opened is not None else at) if held else None
-        out += run.flush()
-        return _rows(frame["run_id"].iloc[0], out)
+            add(run.push(kind, _none(text), _none(tool), _none(args)))
+            opened = (at if opened is None else opened) if _held(run) else None
+        if last:
+            add(run.flush())
+        id_, key, chunk = (frame[c].iloc[0] for c in ("run_id", KEY, CHUNK))
+        # The last row says how many envelopes follow the last end in this chunk, and how many ends it has.
+        made = [(id_, key, chunk, *e) for e in out] + [(id_, key, chunk, epoch, count, None, None, None, None)]
+        return pd.DataFrame(made, columns=_FOLDED, dtype=object), json.dumps(({**run.state, "seq": 0}, opened))
+
+    made = scan(in_chunks(events, "run_id", [order], rows), [order], fold, f"run_id {dict(events.dtypes)['run_id']}, {KEY} string, {CHUNK} int, epoch int, seq long, type string, text string, tool_call_id string, args string")
+    made = checkpointed(made)
+    # Envelopes before a chunk, since the last end before it: a window over one row for each chunk.
+    by = W.partitionBy(KEY).orderBy(CHUNK)
+    chunks = made.where("type IS NULL").select(KEY, CHUNK, "epoch", "seq").withColumn("group", F.sum("epoch").over(by))
+    chunks = chunks.withColumn("count", F.sum("seq").over(W.partitionBy(KEY, "group").orderBy(CHUNK)))
+    chunks = chunks.select(KEY, CHUNK, F.coalesce(F.lag("count").over(by), F.lit(0)).alias("__before"))
+    rows_ = made.where("type IS NOT NULL").join(chunks, [KEY, CHUNK])
+    return rows_.select("run_id", (F.col("seq") + F.when(F.col("epoch") == 0, F.col("__before")).otherwise(0)).alias("seq"), "type", "text", "tool_call_id", "args")
+
+
+_FOLDED = ["run_id", KEY, CHUNK, "epoch", "seq", "type", "text", "tool_call_id", "args"]
+
+
+class Coalescer(StatefulProcessor):
+    """The window of a run in a state store: a value, a map of tool arguments, and one processing-time timer while it holds anything."""
+
+    def __init__(self, order: str, size: int, flush_ms: int):
+        self.order, self.size, self.flush_ms = order, size, flush_ms
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.window = handle.getValueState("window", "seq long, kind string, text string, due long")
+        # The place keeps the order in which ids came first.
+        self.args = handle.getMapState("args", "id string", "place int, args string")
+
+    def _load(self) -> tuple[Run, int | None]:
+        if not self.window.exists():
+            return Run(size=self.size), None
+        seq, kind, text, due = self.window.get()
+        kept = sorted((place, k[0], args) for k, (place, args) in self.args.iterator()) if self.args.exists() else []
+        return Run({"seq": seq, "kind": kind, "text": text, "args": {k: a for _, k, a in kept}}, self.size), due
+
+    def _keep(self, run: Run, due: int | None) -> None:
+        s = run.state
+        self.args.clear()
+        if s == _EMPTY:
+            self.window.clear()
+            return
+        self.window.update((s["seq"], s["kind"], s["text"], due))
+        for place, (k, v) in enumerate(s["args"].items()):
+            self.args.updateValue((k,), (place, v))
+
+    def handleInputRows(self, key, rows, timerValues):
+        run, due = self._load()
+        frame, out = pd.concat(list(rows)).sort_values(self.order, kind="stable"), []
+        before = due
+        for kind, text, tool, args in zip(frame["type"], frame["text"], frame["tool_call_id"], frame["args"]):
+            made = run.push(kind, _none(text), _none(tool), _none(args))
+            out += made
+            if not _held(run):
+                due = None
+            elif due is None or made:
+                due = timerValues.getCurrentProcessingTimeInMs() + self.flush_ms
+        if before != due:
+            if before is not None:
+                self.handle.deleteTimer(before)
+            if due is not None:
+                self.handle.registerTimer(due)
+        self._keep(run, due)
+        yield _rows(key[0], out)
 
-    return events.groupBy("run_id").applyInPandas(fold, OUT)
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo):
+        run, _ = self._load()
+        out = run.flush()
+        self._keep(run, None)
+        yield _rows(key[0], out)
 
+    def close(self) -> None:
+        pass
 
-def coalesce_stream(events: DataFrame, order: str = "arrival", size: int = SIZE, flush_ms: int = FLUSH_MS) -> DataFrame:
-    """The same on a stream: state per run, a processing-time timer for open windows. Within a micro-batch events go by ``order``."""
 
-    def fold(key, frames, state):
-        run = Run(json.loads(state.get[0]) if state.exists else None, size)
-        out = []
-        if state.hasTimedOut:
-            out = run.flush()
-        else:
-            frame = pd.concat(list(frames)).sort_values(order, kind="stable")
-            for kind, text, tool, args in zip(frame["type"], frame["text"], frame["tool_call_id"], frame["args"]):
-                out += run.push(kind, _none(text), _none(tool), _none(args))
-        if run.state == _EMPTY:
-            state.remove()
-        else:
-            state.update((json.dumps(run.state),))
-            if run.state["text"] or run.state["args"]:
-                state.setTimeoutDuration(flush_ms)
-        yield _rows(key[0], out)
+def _rows(run_id: str, events: list[tuple]) -> pd.DataFrame:
+    return pd.DataFrame([(run_id, *e) for e in events], columns=["run_id", "seq", "type", "text", "tool_call_id", "args"], dtype=object)
 
-    return events.groupBy("run_id").applyInPandasWithState(fold, OUT, "state string", "append", "ProcessingTimeTimeout")
+
+def coalesce_stream(events: DataFrame, order: str = "arrival", size: int = SIZE, flush_ms: int = FLUSH_MS) -> DataFrame:
+    """The same on a stream: state per run, a timer ``flush_ms`` after a window's first event. Within a micro-batch events go by ``order``. A table instead of a stream gives what one micro-batch would, without timers.
+
+    Needs the state store with column families: it is made the session's, unless another than the default is set.
+    """
+    spark = events.sparkSession
+    name = "spark.sql.streaming.stateStore.providerClass"
+    if spark.conf.get(name, "").rpartition(".")[2] in ("", "HDFSBackedStateStoreProvider"):
+        spark.conf.set(name, "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+    # A session that has run no stream has no one to coordinate state stores yet, which a table needs as well.
+    spark.streams.active
+    return events.groupBy("run_id").transformWithStateInPandas(Coalescer(order, size, flush_ms), OUT, "append", "processingTime")
 
 
 def sequence_gaps(envelopes: DataFrame) -> DataFrame:

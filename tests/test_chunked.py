@@ -79,7 +79,7 @@ def test_todo_batches_equal_the_loop(spark):
 def test_a_machine_that_forgets_takes_two_rounds(spark):
     calls = spark.sparkContext.accumulator(0)
 
-    def run(frame, state):
+    def run(frame, state, last):
         calls.add(1)
         return frame[["k", "t"]], "gone" if frame["t"].max() % 2 >= 0 else state
 
