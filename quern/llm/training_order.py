@@ -137,6 +137,8 @@ def in_order(rows: DataFrame, length: int = LENGTH, per_shard: int = PER_SHARD,
     # One row a segment; the order of files and of segments within them is that of the stream.
     offsets, total = {}, 0
     for file, segment, size in sorted(tuple(r) for r in rows.mapInArrow(count, "file string, segment long, n long").collect()):
+        if (file, segment) in offsets:
+            raise ValueError(f"two files go by the name {file}")
         offsets[file, segment], total = total, total + size
     n = -(-total // length)
     shared = rows.sparkSession.sparkContext.broadcast(offsets)
@@ -209,8 +211,8 @@ def write(docs: DataFrame, folder: str, id_col: str = "doc_id", text_col: str =
 
 
 def read_ordered(spark: SparkSession, path: str, *columns: str) -> DataFrame:
-    """A Parquet table with the columns ``file`` and ``row`` that ``write`` takes as order."""
-    return spark.read.parquet(path).select(*columns, F.col("_metadata.file_name").alias("file"), F.col("_metadata.row_index").alias("row"))
+    """A Parquet table with the columns ``file`` and ``row`` that ``write`` takes as order. Files go by their whole path: those of one task have one name in all partition folders."""
+    return spark.read.parquet(path).select(*columns, F.col("_metadata.file_path").alias("file"), F.col("_metadata.row_index").alias("row"))
 
 
 def digests(spark: SparkSession, folder: str, length: int = LENGTH, per_shard: int = PER_SHARD, width: int = 2) -> DataFrame:

@@ -100,3 +100,19 @@ def test_without_files_the_order_is_that_of_ids(spark, tmp_path):
 def test_empty(spark, tmp_path):
     to.write(spark.createDataFrame([], SCHEMA), f"file://{tmp_path}/none")
     assert shard_files(tmp_path / "none") == {}
+
+
+def test_files_of_one_name_in_partition_folders(spark, tmp_path):
+    rows = [(i, f"text number {i} " * 40, i % 3) for i in range(300)]
+    spark.createDataFrame(rows, "doc_id long, text string, k int").coalesce(1).write.partitionBy("k").parquet(f"{tmp_path}/docs")
+    assert len({p.name for p in (tmp_path / "docs").glob("k=*/*.parquet")}) == 1
+    to.write(to.read_ordered(spark, f"{tmp_path}/docs", "doc_id", "text"), f"{tmp_path}/out", order=("file", "row"), length=64, per_shard=16)
+    found = sequences(shard_files(tmp_path / "out"), 64, 16)
+    texts = [t for k in range(3) for i, t, kk in rows if kk == k]
+    assert sorted(map(list, found.values())) == sorted(stream(texts, 64)) and sorted(found) == list(range(len(found)))
+
+
+def test_a_repeated_file_name_is_an_error(spark, tmp_path):
+    rows = spark.createDataFrame([("a", 0, "x"), ("a", 0, "y")], "file string, row long, text string").repartition(2)
+    with pytest.raises(ValueError, match="name a"):
+        to.write(rows, f"{tmp_path}/out", order=("file", "row"), length=64)
