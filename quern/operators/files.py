@@ -41,12 +41,8 @@ def web_log_rows(lines: DataFrame, line: str = "line") -> DataFrame:
     return lines.where(F.col(line).rlike(LINE)).withColumns({"ip": part(1), "at": at, "target": part(3), "agent": part(4)}).where("at IS NOT NULL")
 
 
-def web_log_counts(lines: DataFrame, log: str = "log", line: str = "line") -> DataFrame:
-    """(day, metric, n, filtered_bots) of the logs access, clicks and downloads.
-
-    Requests of one address and agent for one file count once an hour. Robots and empty agents don't count, their number is
-    kept beside; what is no page and no installer isn't looked at. Aggregates twice on fine keys, so no day is one task's.
-    """
+def counted_requests(lines: DataFrame, log: str = "log", line: str = "line") -> DataFrame:
+    """metric, at, hour, ip, agent, file and robot of the requests in the logs access, clicks and downloads that count; what is no page and no installer isn't looked at."""
     path = F.regexp_extract("target", r"^[^?#]*", 0)
     page = path.isin("/", "/download", "/guide") | path.endswith(".html")
     installer = ~(path.endswith("/latest.yml") | path.endswith(".blockmap"))
@@ -57,8 +53,16 @@ def web_log_counts(lines: DataFrame, log: str = "log", line: str = "line") -> Da
     )
     file = F.when(F.col(log) == "clicks", F.col("target")).otherwise(path)
     robot = F.col("agent").isin("", "-") | F.lower("agent").rlike(ROBOTS)
-    rows = web_log_rows(lines, line).select(metric.alias("metric"), F.date_trunc("hour", "at").alias("hour"), "ip", "agent", file.alias("file"), robot.alias("robot")).where("metric IS NOT NULL")
-    once = rows.groupBy("metric", "hour", "ip", "agent", "file", "robot").agg(F.count("*").alias("k"))
+    return web_log_rows(lines, line).select(metric.alias("metric"), "at", F.date_trunc("hour", "at").alias("hour"), "ip", "agent", file.alias("file"), robot.alias("robot")).where("metric IS NOT NULL")
+
+
+def web_log_counts(lines: DataFrame, log: str = "log", line: str = "line") -> DataFrame:
+    """(day, metric, n, filtered_bots) of the logs access, clicks and downloads.
+
+    Requests of one address and agent for one file count once an hour. Robots and empty agents don't count, their number is
+    kept beside. Aggregates twice on fine keys, so no day is one task's.
+    """
+    once = counted_requests(lines, log, line).groupBy("metric", "hour", "ip", "agent", "file", "robot").agg(F.count("*").alias("k"))
     return once.groupBy(F.col("hour").cast("date").alias("day"), "metric").agg(F.count_if(~F.col("robot")).alias("n"), F.sum(F.when(F.col("robot"), F.col("k")).otherwise(0)).alias("filtered_bots"))
 
 

@@ -7,8 +7,10 @@ import datetime as dt
 from pyspark.sql import functions as F
 
 from quern.operators import dispatch as D, files as O
+from quern.operators.baseline import WebLogBaseline
 from quern.plans.kit import Catalog
 from quern.sources import sinks
+from quern.sources.sinks import shared_folder
 from quern.sources.standins import read, usage_logs
 
 C = Catalog()
@@ -28,6 +30,11 @@ def expired_daily_files(spark, d):
  SELECT ts, user_id, u, p, CASE event_type WHEN 'view' THEN CASE WHEN p < 3 THEN 'page_view' END WHEN 'click' THEN 'web_click' ELSE CASE WHEN p IN (0, 3) THEN CASE u WHEN 1 THEN 'app_update' ELSE 'web_download_local' END END END AS metric
  FROM (SELECT *, event_id % 5 AS u, event_id // 5 % 4 AS p FROM events)) WHERE metric IS NOT NULL GROUP BY 1, 2""")
 def web_log_counts(spark, d):
+    return O.web_log_counts(_lines(spark, d))
+
+
+def _lines(spark, d):
+    """Lines of three web logs out of the event table."""
     pick = lambda n, *values: F.element_at(F.array(*map(F.lit, values)), (n + 1).cast("int"))
     agent = pick(F.col("event_id") % 5, "Mozilla/5.0 (X11)", "electron-updater/6.1", "Mozilla/5.0 (Mac)", "GoogleBot/2.1", "-")
     which = F.floor(F.col("event_id") / 5) % 4
@@ -38,7 +45,29 @@ def web_log_counts(spark, d):
         .otherwise(pick(which, "/downloads/setup-1.exe", "/downloads/latest.yml", "/downloads/setup-1.exe.blockmap", "/downloads/setup-2.exe"))
     )
     line = F.concat(F.lit("10.0.0."), F.col("user_id"), F.lit(" - - ["), F.date_format("ts", "dd/MMM/yyyy:HH:mm:ss"), F.lit(' +0000] "GET '), target, F.lit(' HTTP/1.1" 200 17 "-" "'), agent, F.lit('"'))
-    return O.web_log_counts(read(spark, d, "events").select(log.alias("log"), line.alias("line")))
+    return read(spark, d, "events").select(log.alias("log"), line.alias("line"))
+
+
+#: The same lines as text, and then what a parser of such lines finds in them.
+_PARSED = r"""lines AS (SELECT log, '10.0.0.' || user_id || ' - - [' || strftime(ts, '%d/%b/%Y:%H:%M:%S') || ' +0000] "GET ' || CASE log WHEN 'access' THEN ['/', '/guide?from=x', '/a/b.html', '/logo.png'][w + 1] WHEN 'clicks' THEN '/go?f=' || w
+  ELSE ['/downloads/setup-1.exe', '/downloads/latest.yml', '/downloads/setup-1.exe.blockmap', '/downloads/setup-2.exe'][w + 1] END || ' HTTP/1.1" 200 17 "-" "' || ['Mozilla/5.0 (X11)', 'electron-updater/6.1', 'Mozilla/5.0 (Mac)', 'GoogleBot/2.1', '-'][event_id % 5 + 1] || '"' AS line
+  FROM (SELECT *, event_id // 5 % 4 AS w, CASE event_type WHEN 'view' THEN 'access' WHEN 'click' THEN 'clicks' ELSE 'downloads' END AS log FROM events)),
+ parts AS (SELECT log, regexp_extract(line, '^(\S+) \S+ \S+ \[([^\] ]+)[^\]]*\] "\S+ (\S+)[^"]*" [0-9]+ \S+ "[^"]*" "([^"]*)"', ['ip', 'at', 'target', 'agent']) AS p FROM lines),
+ requests AS (SELECT log, p.ip AS ip, date_trunc('hour', strptime(p.at, '%d/%b/%Y:%H:%M:%S')) AS hour, p.target AS target, regexp_extract(p.target, '^[^?#]*') AS path, p.agent AS agent FROM parts),
+ counted AS (SELECT *, CASE WHEN log = 'access' AND (path IN ('/', '/download', '/guide') OR suffix(path, '.html')) THEN 'page_view' WHEN log = 'clicks' THEN 'web_click'
+  WHEN log = 'downloads' AND NOT suffix(path, '/latest.yml') AND NOT suffix(path, '.blockmap') THEN CASE WHEN regexp_matches(agent, 'electron-updater|electron-builder') THEN 'app_update' ELSE 'web_download_local' END END AS metric,
+  agent IN ('', '-') OR regexp_matches(lower(agent), 'bot|spider|crawl|scan|curl|wget|python-requests|zgrab|masscan|headless') AS robot FROM requests),
+ days AS (SELECT CAST(hour AS DATE) AS day, metric, count(DISTINCT CASE WHEN NOT robot THEN (hour, ip, agent, CASE WHEN log = 'clicks' THEN target ELSE path END) END) AS n FROM counted WHERE metric IS NOT NULL GROUP BY 1, 2)"""
+
+
+@query(f"WITH {_PARSED} SELECT metric, sum(n)::BIGINT AS n, count(*) AS days FROM days WHERE day <= DATE '2024-01-20' GROUP BY 1")
+def web_log_baseline(spark, d):
+    """Runs of four days in turn over the same logs, two of them twice: each folds what has left its window."""
+    kept = WebLogBaseline(spark, shared_folder(spark, "web-log"))
+    lines = _lines(spark, d)
+    for day in (10, 10, 13, 19, 19):
+        kept.fold(lines, dt.date(2024, 1, day))
+    return kept.summary(lines, dt.date(2024, 1, 20))
 
 
 _INDEX = "SELECT p_partkey, p_name, p_brand || '/' || p_partkey AS path, CASE p_size % 4 WHEN 0 THEN 'pdf' WHEN 1 THEN 'TXT' WHEN 2 THEN 'png' ELSE '' END AS extension, p_partkey * 7919 % 1000 AS modified FROM part"
