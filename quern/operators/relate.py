@@ -34,22 +34,3 @@ def lookup_first(rows: DataFrame, catalog: DataFrame, array: str, key: str, valu
     flat = catalog.select("position", F.posexplode(array).alias("__i", "__e")).select("position", "__i", F.col(f"__e.{key}").alias("__k"), F.col(f"__e.{value}").alias("__v"))
     first = flat.groupBy("__k").agg(F.min_by("__v", F.struct("position", "__i")).alias(into))
     return rows.join(first, F.col(on) == F.col("__k"), "left").drop("__k")
-
-
-def not_contained(new: DataFrame, known: DataFrame, text: str, most: int = 500) -> DataFrame:
-    """Paragraphs of ``new`` that no known text contains or is contained in; at most ``most`` known texts are looked at, which bounds the nested loop. ``new`` is taken row by row in the order of its position column, and accepted rows are known from then on: one task, as each decision depends on those before."""
-    import pandas as pd
-
-    held = known.select(F.col(text).alias("__t")).orderBy("__t").limit(most)
-    near = F.contains(F.col("__t"), F.col(text)) | F.contains(F.col(text), F.col("__t"))
-    fresh = new.join(F.broadcast(held), near, "left_anti")
-
-    def run(frame: pd.DataFrame) -> pd.DataFrame:
-        taken, keep = [], []
-        for t in (frame := frame.sort_values("position", kind="stable"))[text]:
-            keep.append(not any(t in x or x in t for x in taken))
-            if keep[-1]:
-                taken.append(t)
-        return frame[keep]
-
-    return fresh.groupBy(F.lit("all").alias("__g")).applyInPandas(run, new.schema)

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from quern.functions import scalar as S, text as T
 from quern.operators import search as K, sequences as Q, usage as U
+from quern.operators.contained import not_contained
 from quern.plans.kit import Catalog
 from quern.sources.standins import memory_entries, messages, read
 
@@ -231,6 +232,15 @@ def search_results_on_topic(spark, d):
     return K.near_duplicates(pages, None, S.normal_url(F.col("url")), "title", "page_id", on_topic=topic).select("page_id", "deferred")
 
 
+@query()
+def paragraphs_not_known(spark, d):
+    """The paragraphs of all messages, in order, that are no part of a benchmark text or of an earlier paragraph that stays, and have none as a part."""
+    parts = T.paragraphs(messages(spark, d).select("session_id", "sort_order", "content"), "content", ("session_id", "sort_order"), 12)
+    new = parts.select((F.col("session_id") * 1_000_000 + F.col("sort_order") * 1000 + F.col("position")).alias("position"), S.title_key(F.col("paragraph")).alias("text"))
+    known = read(spark, d, "benchmark").select(S.title_key(F.col("text")).alias("text"))
+    return not_contained(new, known, "text")
+
+
 @query("SELECT doc_id, position, paragraph FROM (SELECT doc_id, position, trim(p) AS paragraph FROM (SELECT doc_id, unnest(generate_series(0, len(l) - 1)) AS position, unnest(l) AS p FROM (SELECT doc_id, string_split(replace(text, chr(10), chr(10) || chr(10)), chr(10) || chr(10)) AS l FROM documents))) WHERE length(paragraph) >= 20")
 def text_paragraphs(spark, d):
     docs = read(spark, d, "documents").select("doc_id", F.replace("text", F.lit("\n"), F.lit("\n\n")).alias("text"))

@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from quern.functions import scalar as S, text as T
-from quern.operators import merge, paging, relate, search, sequences as Q, usage as U
+from quern.operators import contained, merge, paging, relate, search, sequences as Q, usage as U
 from quern.streaming import coalesce as X
 
 
@@ -141,7 +141,7 @@ def test_search_cases(spark):
 def test_relations(spark):
     new = spark.createDataFrame([(0, "alpha beta"), (1, "alpha"), (2, "gamma delta"), (3, "zeta"), (4, "zeta eta")], "position long, text string")
     known = spark.createDataFrame([("x gamma delta y",)], "text string")
-    assert sorted(r.text for r in relate.not_contained(new, known, "text").collect()) == ["alpha beta", "zeta"]
+    assert sorted(r.text for r in contained.not_contained(new, known, "text").collect()) == ["alpha beta", "zeta"]
     prices = spark.createDataFrame([(0, [("m", 1.0), ("n", 2.0)]), (1, [("m", 9.0)])], "position long, models array<struct<id:string,price:double>>")
     rows = spark.createDataFrame([("m",), ("n",), ("o",)], "model string")
     assert sorted((r.model, r.price) for r in relate.lookup_first(rows, prices, "models", "id", "price", "model", "price").collect()) == [("m", 1.0), ("n", 2.0), ("o", None)]
