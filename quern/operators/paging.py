@@ -53,6 +53,9 @@ def ranked(column: Column, order: tuple[str, ...]) -> Column:
 
 
 def natural_key(name: Column) -> Column:
-    """A sort key by which numbers in names count as numbers and case doesn't."""
-    parts = F.regexp_extract_all(F.lower(name), F.lit(r"(\d+|\D+)"), 1)
-    return F.array_join(F.transform(parts, lambda p: F.when(p.rlike(r"^\d+$"), F.lpad(p, 20, "0")).otherwise(p)), "")
+    """A sort key by which numbers in names count by value, of any length, and neither case nor accents count (a collation; equal names are equal keys)."""
+    parts = F.regexp_extract_all(name, F.lit(r"([0-9]+|[^0-9]+)"), 1)
+    # A number is told by the length of its digits, then by these.
+    digits = lambda p: F.regexp_replace(p, "^0+", "")
+    by_value = lambda p: F.concat(F.lpad(F.length(digits(p)).cast("string"), 6, "0"), digits(p))
+    return F.collate(F.array_join(F.transform(parts, lambda p: F.when(p.rlike("^[0-9]"), by_value(p)).otherwise(p)), ""), "UNICODE_CI_AI")

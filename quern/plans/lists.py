@@ -33,6 +33,15 @@ def page_pinned_first(spark, d):
     return read(spark, d, "part").orderBy((F.col("p_size") > 45).desc(), P.natural_key(F.col("p_name")), "p_partkey").select("p_partkey", "p_name").limit(30)
 
 
+@query("""SELECT doc_id, name FROM (SELECT doc_id, word || CASE WHEN doc_id % 3 = 0 THEN '0' ELSE '' END || (doc_id * 37 % 211) AS name, strip_accents(lower(word)) AS w, doc_id * 37 % 211 AS n FROM (
+ SELECT doc_id, substring(regexp_replace(text, '[^a-zA-ZàâäéèêëîïôöùûüçñáíóúÀÂÄÉÈÊËÎÏÔÖÙÛÜÇÑÁÍÓÚ]', '', 'g'), 1, 3) AS word FROM documents)) ORDER BY w, n, doc_id LIMIT 80""")
+def names_in_locale_order(spark, d):
+    letters = F.regexp_replace("text", "[^a-zA-ZàâäéèêëîïôöùûüçñáíóúÀÂÄÉÈÊËÎÏÔÖÙÛÜÇÑÁÍÓÚ]", "")
+    number = F.concat(F.when(F.col("doc_id") % 3 == 0, "0").otherwise(""), F.col("doc_id") * 37 % 211)
+    rows = read(spark, d, "documents").select("doc_id", F.concat(F.substring(letters, 1, 3), number).alias("name"))
+    return rows.orderBy(P.natural_key(F.col("name")), "doc_id").limit(80)
+
+
 @query("SELECT id, session_id, status, started_at, true AS has_more FROM logs WHERE (started_at, id) < (1706000000000, '5') ORDER BY started_at DESC, id DESC LIMIT 100", "logs")
 def page_by_time_key(spark, d):
     return P.keyset(usage_logs(spark, d).select(*ROWS), [("started_at", "desc"), ("id", "desc")], P.clamp(None, "timeline"), [1_706_000_000_000, "5"])

@@ -256,3 +256,12 @@ def test_titles_without_letters_are_no_duplicates(spark):
 def test_memory_fingerprint_text(spark):
     df = spark.createDataFrame([("- [2026-01-02] Use `tabs`\n- [2026-01-03]  *Not*  spaces ",)], "t string")
     assert df.select(S.memory_text(F.col("t")).alias("m")).first().m == "use tabs not spaces"
+
+
+def test_names_by_value_without_case_and_accents(spark):
+    names = ["b", "a10", "Ä9", "a9", "A 1", "a123456789012345678901234567890", "a0123456789012345678901234567889", "Zoë2", "zoe 10", "zoe2x", "éa", "", "10", "9"]
+    df = spark.createDataFrame(list(enumerate(names)), "i int, name string")
+    got = [r.name for r in df.orderBy(paging.natural_key(F.col("name")), "i").collect()]
+    assert got == ["", "9", "10", "A 1", "Ä9", "a9", "a10", "a0123456789012345678901234567889", "a123456789012345678901234567890", "b", "éa", "zoe 10", "Zoë2", "zoe2x"]
+    same = df.select(paging.natural_key(F.col("name")).alias("k")).where("k = 'ZOÉ0000012'").count()
+    assert same == 1
