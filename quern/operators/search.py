@@ -175,79 +175,79 @@ def title_pairs(title: Column) -> Column:
     return F.when(F.length(t) >= 2, F.sort_array(F.array_distinct(pairs))).otherwise(F.array().cast("array<string>"))
 
 
-def _sizes(n: int, share: float) -> list[tuple[int, int, int]]:
-    """(smaller, larger, most differences) of the pairs of sizes in which a set of ``n`` can be like another: Jaccard ``share`` or more."""
-    most = lambda a, b: int((1 - share) / (1 + share) * (a + b) + 1e-9)
-    pairs = [(n, m) for m in range(n, int(n / share + 1e-9) + 1)] + [(m, n) for m in range(int(np.ceil(n * share - 1e-9)), n)]
-    return [(a, b, most(a, b)) for a, b in pairs if a and max(1, b - a) <= most(a, b)]
-
-
-def signatures(sets: DataFrame, share: float, alike: int, sizes: DataFrame | None = None) -> DataFrame:
-    """(g, s, n, a, b, mark) of ``sets`` (g, s, pairs), for the pairs of sizes a <= b in ``sizes`` (all if none is given).
-
-    If sets of a and b elements differ in h elements at most, and all elements are dealt to h + ``alike`` parts by a hash, the sets
-    are equal in ``alike`` of the parts or more. A mark tells the sizes, which parts, and what a set has in them.
+def _groups(n: int, share: float) -> list[tuple[int, int, int]]:
+    """(group, side, most differences) for a set of ``n``. Sizes are cut into ranges so wide that what is like a set (Jaccard ``share``) is in its own range or the next; a group is a range (side 0) or a range (1) and its next (2)."""
+    most = lambda x, y: int((1 - share) / (1 + share) * (x + y) + 1e-9)
+    low, before, k = 1, 0, 0
+    while n > (high := max(low, int(low / share + 1e-9))):
+        low, before, k = high + 1, high, k + 1
+    after = int(high / share + 1e-9)
+    found = [(2 * k, 0, most(high, high)), (2 * k + 1, 1, most(high, after))]
+    if k:
+        found.append((2 * k - 1, 2, most(before, int(before / share + 1e-9))))
+    return [x for x in found if x[2]]
+
+
+def signatures(sets: DataFrame, share: float, alike: int, groups: set[int] | None = None) -> DataFrame:
+    """(mark, h, grp, side) of ``sets`` (g, h, pairs), for the ``groups`` of sizes (all if none are given).
+
+    If two sets of a group differ in m elements at most, and all elements are dealt to m + ``alike`` parts by a hash, the sets are
+    equal in ``alike`` of the parts or more. A mark tells g, the group, which parts, and what a set has in them, as one hash.
     """
-    wanted = None if sizes is None else {(r["a"], r["b"]) for r in sizes.collect()}  # pairs of title lengths
 
     def run(batches):
         for batch in batches:
-            out: dict[str, list] = {c: [] for c in ("g", "s", "n", "a", "b", "mark")}
-            for g, s, items in zip(*(batch.column(i).to_pylist() for i in range(3))):
-                hashes = np.array([zlib.crc32(x.encode()) for x in items], dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)
-                for a, b, most in _sizes(len(items), share):
-                    if wanted is not None and (a, b) not in wanted:
-                        continue
-                    parts = most + alike
-                    # What a set has in a part, as the sum of its elements' hashes.
-                    held = np.zeros(parts, dtype=np.uint64)
-                    np.add.at(held, ((hashes >> np.uint64(33)) % np.uint64(parts)).astype(np.int64), hashes ^ (hashes >> np.uint64(29)))
-                    held *= np.arange(1, 2 * parts, 2, dtype=np.uint64) * np.uint64(0xD6E8FEB86659FD93)
-                    held ^= held >> np.uint64(32)
-                    which = np.array(list(combinations(range(parts), alike)))
-                    marks = held[which].sum(axis=1) * np.uint64(0xBF58476D1CE4E5B9) + (which @ (parts ** np.arange(alike))).astype(np.uint64)
-                    k = len(marks)
-                    for c, v in (("g", g), ("s", s), ("n", len(items)), ("a", a), ("b", b)):
-                        out[c] += [v] * k
-                    out["mark"] += marks.view(np.int64).tolist()
-                if len(out["s"]) > 50_000:
-                    yield pa.RecordBatch.from_pydict(out, schema=_MARKS)
-                    out = {c: [] for c in out}
-            yield pa.RecordBatch.from_pydict(out, schema=_MARKS)
-
-    return sets.select("g", "s", "pairs").mapInArrow(run, "g string, s string, n int, a int, b int, mark long")
-
-
-_MARKS = pa.schema([("g", pa.string()), ("s", pa.string()), ("n", pa.int32()), ("a", pa.int32()), ("b", pa.int32()), ("mark", pa.int64())])
+            for at in range(0, batch.num_rows, 200):
+                part, marks, h, grp, side = batch.slice(at, 200), [np.zeros(0, dtype=np.int64)], [], [], []
+                for g, name, items in zip(*(part.column(i).to_pylist() for i in range(3))):
+                    hashes = np.array([zlib.crc32(x.encode()) for x in items], dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)
+                    for group, which, most in _groups(len(items), share):
+                        if groups is not None and group not in groups:
+                            continue
+                        parts = most + alike
+                        # What a set has in a part, as the sum of its elements' hashes.
+                        held = np.zeros(parts, dtype=np.uint64)
+                        np.add.at(held, ((hashes >> np.uint64(33)) % np.uint64(parts)).astype(np.int64), hashes ^ (hashes >> np.uint64(29)))
+                        held = (held + np.uint64(group)) * np.arange(1, 2 * parts, 2, dtype=np.uint64) * np.uint64(0xD6E8FEB86659FD93)
+                        held ^= held >> np.uint64(32)
+                        combined = np.array(list(combinations(range(parts), alike)))
+                        made = held[combined].sum(axis=1) + (combined @ (parts ** np.arange(alike))).astype(np.uint64) + np.uint64(zlib.crc32(g.encode()))
+                        marks.append((made * np.uint64(0xBF58476D1CE4E5B9)).view(np.int64))
+                        h += [name] * len(made)
+                        grp += [group] * len(made)
+                        side += [which] * len(made)
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(marks)), pa.array(h, pa.int64()), pa.array(grp, pa.int32()), pa.array(side, pa.int8())], names=["mark", "h", "grp", "side"])
+
+    return sets.select("g", "h", "pairs").mapInArrow(run, "mark long, h long, grp int, side byte")
 
 
 def similar_sets(sets: DataFrame, share: float) -> DataFrame:
     """(a, b), both ways, of the ``sets`` (g, s, pairs) of one g whose Jaccard overlap is ``share`` at least.
 
     Candidates share a signature (see ``signatures``). With one part that must be equal there are few signatures a set; where
-    these meet too often (counted for each pair of sizes, no pair is formed for that), two or three parts must be equal, which
-    takes more signatures and leaves far fewer candidates. So candidates keep in proportion to the sets.
+    these meet too often (counted for each group of sizes, no pair is formed for that), two or three parts must be equal, which
+    takes more signatures and leaves far fewer candidates. So candidates keep in proportion to the sets. Sets go by a 64-bit
+    hash until they are verified; two of one hash are both verified against others, not against each other.
     """
-    key = ["g", "a", "b", "mark"]
-    found, sizes = None, None
+    named = sets.withColumn("h", F.xxhash64("s"))
+    found, groups = None, None
     for alike in range(1, MOST_ALIKE + 1):
-        made = _cut(signatures(sets, share, alike, sizes))
+        made = _cut(signatures(named, share, alike, groups))
+        groups = set()
         if alike < MOST_ALIKE:
-            left, right = F.count_if(F.col("n") == F.col("a")), F.count_if(F.col("n") == F.col("b"))
-            groups = made.groupBy(*key).agg(left.alias("l"), right.alias("r"), F.count("*").alias("n"))
-            met = F.when(F.col("a") == F.col("b"), F.col("l") * (F.col("l") - 1) / 2).otherwise(F.col("l") * F.col("r"))
-            cost = groups.groupBy("a", "b").agg(F.sum(met).alias("met"), F.sum("n").alias("n")).withColumn("dear", F.col("met") > F.col("n") * DEAR)
-            cost = _cut(cost.select("a", "b", "dear"))  # a row for each pair of title lengths
-            sizes = cost.where("dear")
-            made = made.join(F.broadcast(cost.where("NOT dear").select("a", "b")), ["a", "b"], "left_semi")
-        small = made.where(F.col("n") == F.col("a")).select(*key, F.col("s").alias("s1"))
-        large = made.where(F.col("n") == F.col("b")).select(*key, F.col("s").alias("s2"))
-        here = small.join(large, key).where((F.col("a") < F.col("b")) | (F.col("s1") < F.col("s2"))).where(F.col("s1") != F.col("s2")).select("g", "s1", "s2")
+            n, left, right = F.count("*"), F.count_if(F.col("side") == 1), F.count_if(F.col("side") == 2)
+            met = made.groupBy("mark", "grp").agg(n.alias("n"), (left * right + F.when(F.max("side") == 0, n * (n - 1) / 2).otherwise(0)).alias("met"))
+            cost = met.groupBy("grp").agg((F.sum("met") > F.sum("n") * DEAR).alias("dear"))
+            groups = {r["grp"] for r in cost.where("dear").collect()}  # ranges of title lengths
+            made = made.where(~F.col("grp").isin(*groups)) if groups else made
+        small = made.where("side < 2").select("mark", "side", F.col("h").alias("h1"))
+        large = made.where("side <> 1").select("mark", F.col("side").alias("other"), F.col("h").alias("h2"))
+        here = small.join(large, "mark").where("other - side = 1 AND h1 <> h2 OR side = 0 AND other = 0 AND h1 < h2").select("h1", "h2")
         found = here if found is None else found.unionByName(here)
-        if alike == MOST_ALIKE or sizes.isEmpty():
+        if not groups:
             break
-    of = lambda i: sets.select("g", F.col("s").alias(f"s{i}"), F.col("pairs").alias(f"pairs{i}"))
-    near = found.distinct().join(of(1), ["g", "s1"]).join(of(2), ["g", "s2"])
+    of = lambda i: named.select(F.col("h").alias(f"h{i}"), F.col("g").alias(f"g{i}"), F.col("s").alias(f"s{i}"), F.col("pairs").alias(f"pairs{i}"))
+    near = found.distinct().join(of(1), "h1").join(of(2), "h2").where("g1 = g2 AND s1 <> s2")
     both = F.size(F.array_intersect("pairs1", "pairs2"))
     alike = near.where(both / (F.size("pairs1") + F.size("pairs2") - both) >= share).select(F.col("s1").alias("a"), F.col("s2").alias("b"))
     return alike.union(alike.select("b", "a"))
