@@ -44,6 +44,11 @@ def cache_write_split(total: Column, five: Column, hour: Column) -> Column:
     return F.struct((F.greatest(F.lit(0), zero(five)) + rest).alias("five"), long.alias("hour"))
 
 
+def utf16_units(text: Column) -> Column:
+    """The length that the application counts: a character beyond the basic plane is two units."""
+    return F.length(text) + F.length(F.regexp_replace(text, "[\u0000-\uffff]", ""))
+
+
 def _ratio(a: Column, b: Column) -> Column:
     return F.coalesce(F.try_divide(a, F.when(b > 0, b)), F.lit(0.0))
 

@@ -146,9 +146,14 @@ def notable_lines(df: DataFrame, text: str, key: str, words: tuple[str, ...], mo
 
 
 def tail_lines(df: DataFrame, text: str, keep: tuple[str, ...], most_bytes: int) -> DataFrame:
-    """Lines within the last ``most_bytes`` characters; the first, cut one is dropped."""
-    cut = F.length(text) > most_bytes
-    tail = F.when(cut, F.regexp_replace(F.expr(f"right({text}, {most_bytes})"), r"^[^\n]*\n?", "")).otherwise(F.col(text))
+    """Lines within the last ``most_bytes`` bytes (UTF-8); the first line, cut or not, is dropped, unless the tail has only that one."""
+    data = F.encode(F.col(text), "UTF-8")
+    size = F.octet_length(text)
+    tail = F.substring(data, size - most_bytes + 1, F.lit(most_bytes))
+    # A character that the cut splits goes; of a tail that is one line its remaining bytes go as well.
+    hexed = F.regexp_replace(F.hex(tail), "^(?:[89AB][0-9A-F]){1,3}", "")
+    tail = F.decode(F.unhex(hexed), "UTF-8")
+    tail = F.when(size > most_bytes, F.regexp_replace(tail, r"^[^\n]*\n", "")).otherwise(F.col(text))
     return lines(df.withColumn("__t", tail), "__t", keep)
 
 

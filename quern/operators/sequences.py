@@ -159,20 +159,42 @@ def retained(df: DataFrame, age: Column, most: int, order: list[str], keys: list
     return marked.withColumn("__n", F.row_number().over(w)).where(F.col("__p") | (F.col("__n") <= most)).drop("__p", "__n")
 
 
+#: The fields of a tool call, by their names in a part.
+CALL_FIELDS = {"toolCallId": "id", "toolName": "name", "input": "input", "status": "status", "output": "output", "error": "error", "startedAt": "startedAt", "completedAt": "completedAt"}
+
+
+def _renamed(json: Column, names: dict[str, str], fixed: dict[str, str]) -> Column:
+    """A JSON object with the ``fixed`` fields, then those of ``json`` that it has, under their new names (new: old); null if it is no object."""
+    old = F.from_json(json, "map<string,variant>")
+    entries = [F.struct(F.lit(k).alias("k"), F.parse_json(F.lit(v)).alias("v")) for k, v in fixed.items()]
+    entries += [F.struct(F.lit(new).alias("k"), F.try_element_at(old, F.lit(name)).alias("v")) for new, name in names.items()]
+    return F.when(old.isNotNull(), F.to_json(F.map_from_entries(F.filter(F.array(*entries), lambda e: e["v"].isNotNull()))))
+
+
 def split_parts(df: DataFrame, key: str, meta: str) -> tuple[DataFrame, DataFrame]:
-    """(rows without the segments of their JSON ``meta``, parts): a part (key, seq, kind, payload) for each segment, in order. A meta that is no JSON object or has no segment stays as it is; one that held nothing else becomes null."""
-    segments = F.from_json(F.get_json_object(meta, "$.segments"), "array<string>")
-    has = F.coalesce(F.size(segments) > 0, F.lit(False))
+    """(rows without the segments and tool calls of their JSON ``meta``, parts): a part (key, seq, kind, payload) for each segment, in order.
+
+    Where there are tool calls but no segments, each call becomes a part of kind tool_use (iteration 0: unknown). A meta that is no
+    JSON object or has neither stays as it is; one that held nothing else becomes null.
+    """
+    listed = lambda name: F.from_json(F.get_json_object(meta, f"$.{name}"), "array<string>")
+    some = lambda array: F.coalesce(F.size(array) > 0, F.lit(False))
+    segments, calls = listed("segments"), listed("toolCalls")
+    made = F.transform(calls, lambda c: _renamed(c, CALL_FIELDS, {"type": '"tool_use"', "iteration": "0"}))
+    has = some(segments) | some(calls)
     rest = F.map_filter(F.from_json(meta, "map<string,variant>"), lambda k, _: ~k.isin("segments", "toolCalls"))
     bare = df.withColumn(meta, F.when(~has, F.col(meta)).when(F.size(rest) > 0, F.to_json(rest)))
-    parts = df.where(has).select(key, F.posexplode(segments).alias("seq", "payload")).withColumn("kind", F.get_json_object("payload", "$.type"))
+    parts = df.where(has).select(key, F.posexplode(F.when(some(segments), segments).otherwise(made)).alias("seq", "payload")).where("payload IS NOT NULL").withColumn("kind", F.get_json_object("payload", "$.type"))
     return bare, parts.select(key, "seq", "kind", "payload")
 
 
 def join_parts(df: DataFrame, parts: DataFrame, key: str, meta: str) -> DataFrame:
-    """The inverse of ``split_parts``: rows with their parts put back, in order, before what else their meta holds."""
-    lists = parts.groupBy(F.col(key).alias("__k")).agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("seq", "payload"))), lambda p: p["payload"]), ",").alias("__segments"))
+    """The inverse of ``split_parts``: rows with their parts put back, in order, before what else their meta holds; tool calls are those that the parts of kind tool_use tell of."""
+    call = F.when(F.col("kind") == "tool_use", _renamed(F.col("payload"), {old: new for new, old in CALL_FIELDS.items()}, {}))
+    row = F.struct("seq", "payload", call.alias("call"))
+    lists = parts.groupBy(F.col(key).alias("__k")).agg(F.sort_array(F.collect_list(row)).alias("__parts"))
+    joined = lambda name: F.array_join(F.transform("__parts", lambda p: p[name]), ",")
     rest = F.substring(F.col(meta), 2, F.length(meta))
     tail = F.when(F.col(meta).isNull(), "}").otherwise(F.concat(F.lit(","), rest))
-    whole = F.concat(F.lit('{"segments":['), "__segments", F.lit("]"), tail)
-    return df.join(lists, F.col(key) == F.col("__k"), "left").withColumn(meta, F.when(F.col("__k").isNotNull(), whole).otherwise(F.col(meta))).drop("__k", "__segments")
+    whole = F.concat(F.lit('{"segments":['), joined("payload"), F.lit('],"toolCalls":['), joined("call"), F.lit("]"), tail)
+    return df.join(lists, F.col(key) == F.col("__k"), "left").withColumn(meta, F.when(F.col("__k").isNotNull(), whole).otherwise(F.col(meta))).drop("__k", "__parts")

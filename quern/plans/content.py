@@ -79,9 +79,9 @@ def strip_injected_blocks(spark, d):
     return rows.select("id", S.strip_block(held, "recall").alias("content"), F.concat(S.flatten_blocks(F.lit("<block>a\nb</block>"), "block"), F.trim("content")).alias("flat"), S.unescape(F.lit("&lt;b&gt;&amp;amp;lt;")).alias("back"))
 
 
-@query("SELECT id, length(content) AS tokens FROM messages", "messages")
+@query("SELECT id, length(content) + length(regexp_replace(content, '[^\U00010000-\U0010ffff]', '', 'g')) AS tokens FROM messages", "messages")
 def token_estimates(spark, d):
-    n = F.length("content")
+    n = S.utf16_units(F.col("content"))
     return messages(spark, d).select("id", F.greatest(F.ceil(n / 4), n).alias("tokens"))
 
 
@@ -253,7 +253,8 @@ def notable_text_lines(spark, d):
     return T.notable_lines(read(spark, d, "documents"), "text", "doc_id", ("license", "idiot"), 3).withColumn("line_no", F.col("line_no").cast("long"))
 
 
-@query("SELECT doc_id, count(*) AS lines FROM (SELECT doc_id, unnest(string_split(CASE WHEN length(text) > 500 THEN regexp_replace(right(text, 500), '^[^\n]*\n?', '') ELSE text END, chr(10))) AS line FROM documents) GROUP BY 1")
+@query("""SELECT doc_id, count(*) AS lines FROM (SELECT doc_id, unnest(string_split(CASE WHEN strlen(text) <= 500 THEN text WHEN contains(tail, chr(10)) THEN substring(tail, instr(tail, chr(10)) + 1) ELSE tail END, chr(10))) AS line
+ FROM (SELECT doc_id, text, decode(unhex(regexp_replace(right(hex(encode(text)), 1000), '^([89AB][0-9A-F]){1,3}', ''))) AS tail FROM documents)) GROUP BY 1""")
 def text_tails(spark, d):
     return T.tail_lines(read(spark, d, "documents"), "text", ("doc_id",), 500).groupBy("doc_id").agg(F.count("*").alias("lines"))
 

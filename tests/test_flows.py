@@ -265,3 +265,44 @@ def test_names_by_value_without_case_and_accents(spark):
     assert got == ["", "9", "10", "A 1", "Ä9", "a9", "a10", "a0123456789012345678901234567889", "a123456789012345678901234567890", "b", "éa", "zoe 10", "Zoë2", "zoe2x"]
     same = df.select(paging.natural_key(F.col("name")).alias("k")).where("k = 'ZOÉ0000012'").count()
     assert same == 1
+
+
+def test_tool_calls_become_parts_and_come_back(spark):
+    import json
+
+    calls = [{"id": "x", "name": "Read", "input": {"a": 1}, "status": "ok", "startedAt": 5}, "no object", {"id": "y", "error": "e"}]
+    metas = {
+        1: json.dumps({"toolCalls": calls, "rating": 4}),
+        2: json.dumps({"segments": [{"type": "text", "text": "t"}, {"type": "tool_use", "iteration": 1, "toolCallId": "z", "toolName": "Write", "output": "o"}], "toolCalls": [{"id": "z", "name": "Write", "output": "o"}]}),
+        3: '{"toolCalls":[]}',
+        4: None,
+        5: "{broken",
+    }
+    df = spark.createDataFrame(list(metas.items()), "id int, meta string")
+    bare, parts = Q.split_parts(df, "id", "meta")
+    assert {r.id: r.meta for r in bare.collect()} == {1: '{"rating":4}', 2: None, 3: '{"toolCalls":[]}', 4: None, 5: "{broken"}
+    got = sorted((r.id, r.seq, r.kind, json.loads(r.payload)) for r in parts.collect())
+    assert got[0] == (1, 0, "tool_use", {"type": "tool_use", "iteration": 0, "toolCallId": "x", "toolName": "Read", "input": {"a": 1}, "status": "ok", "startedAt": 5})
+    assert got[1][:3] == (1, 2, "tool_use") and [g[:3] for g in got[2:]] == [(2, 0, "text"), (2, 1, "tool_use")]
+    back = {r.id: json.loads(r.meta) for r in Q.join_parts(bare, parts, "id", "meta").where("id < 3").collect()}
+    assert back[1]["toolCalls"] == [calls[0], calls[2]] and back[1]["rating"] == 4
+    assert back[2] == json.loads(metas[2])
+
+
+def test_tail_by_bytes_and_units(spark):
+    from quern.functions import text as T
+
+    texts = {1: "ab\ncd", 2: "ééé\nxy\nz", 3: "é" * 5, 4: "😀\nabc", 5: "first line\n"}
+    df = spark.createDataFrame(list(texts.items()), "i int, t string")
+    got = {}
+    for r in T.tail_lines(df, "t", ("i",), 7).orderBy("i", "line_no").collect():
+        got.setdefault(r.i, []).append(r.line)
+    plain = {}
+    for i, t in texts.items():
+        b = t.encode()
+        if len(b) > 7:
+            t = b[-7:].decode("utf-8", "ignore")
+            t = t.split("\n", 1)[1] if "\n" in t else t
+        plain[i] = t.split("\n")
+    assert got == plain
+    assert [r.n for r in df.orderBy("i").select(S.utf16_units(F.col("t")).alias("n")).collect()] == [len(t.encode("utf-16-le")) // 2 for t in texts.values()]
