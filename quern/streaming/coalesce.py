@@ -11,7 +11,7 @@ from __future__ import annotations
 import json
 
 import pandas as pd
-from pyspark.sql import DataFrame, Window as W, functions as F
+from pyspark.sql import DataFrame, SparkSession, Window as W, functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
 from quern.operators.chunked import CHUNK, KEY, ROWS, in_chunks, scan
@@ -179,17 +179,20 @@ def _rows(run_id: str, events: list[tuple]) -> pd.DataFrame:
     return pd.DataFrame([(run_id, *e) for e in events], columns=["run_id", "seq", "type", "text", "tool_call_id", "args"], dtype=object)
 
 
-def coalesce_stream(events: DataFrame, order: str = "arrival", size: int = SIZE, flush_ms: int = FLUSH_MS) -> DataFrame:
-    """The same on a stream: state per run, a timer ``flush_ms`` after a window's first event. Within a micro-batch events go by ``order``. A table instead of a stream gives what one micro-batch would, without timers.
-
-    Needs the state store with column families: it is made the session's, unless another than the default is set.
-    """
-    spark = events.sparkSession
+def _state_store(spark: SparkSession) -> None:
     name = "spark.sql.streaming.stateStore.providerClass"
     if spark.conf.get(name, "").rpartition(".")[2] in ("", "HDFSBackedStateStoreProvider"):
         spark.conf.set(name, "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
     # A session that has run no stream has no one to coordinate state stores yet, which a table needs as well.
     spark.streams.active
+
+
+def coalesce_stream(events: DataFrame, order: str = "arrival", size: int = SIZE, flush_ms: int = FLUSH_MS) -> DataFrame:
+    """The same on a stream: state per run, a timer ``flush_ms`` after a window's first event. Within a micro-batch events go by ``order``. A table instead of a stream gives what one micro-batch would, without timers.
+
+    Needs the state store with column families: it is made the session's, unless another than the default is set.
+    """
+    _state_store(events.sparkSession)
     return events.groupBy("run_id").transformWithStateInPandas(Coalescer(order, size, flush_ms), OUT, "append", "processingTime")
 
 
@@ -215,6 +218,56 @@ def slots(deltas: DataFrame) -> DataFrame:
     return slot.select(*key, "kind", place.alias("ord"), F.when(F.col("kind") == "tool_use", F.col("tool")).otherwise(F.col("content")).alias("content"), F.coalesce((F.col("kind") == "thinking") & (other > F.col("last")), F.lit(False)).alias("completed"))
 
 
+SLOT_OUT = "run_id string, iteration long, kind string, ord int, content string, completed boolean, seen long"
+
+
+class SlotKeeper(StatefulProcessor):
+    """The slots of a run in a state store, by iteration, kind and tool: the deltas so far. Deltas may come late and in any order; a thinking slot that a text has closed opens again when a later delta of it comes."""
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.slots = handle.getMapState("slots", "iteration long, kind string, tool string", "deltas string")
+
+    def handleInputRows(self, key, rows, timerValues):
+        new: dict[tuple, list] = {}
+        for frame in rows:
+            for iteration, kind, value, arrival in zip(frame["iteration"], frame["kind"], frame["value"], frame["arrival"]):
+                new.setdefault((int(iteration), kind, value if kind == "tool_use" else ""), []).append((int(arrival), value))
+        for slot, deltas in new.items():
+            held = [tuple(x) for x in json.loads(self.slots.getValue(slot)[0])] if self.slots.containsKey(slot) else []
+            # A delta that comes again has its arrival already.
+            merged = sorted({a: v for a, v in [*held, *deltas]}.items())
+            self.slots.updateValue(slot, (json.dumps(merged),))
+        touched = {s[0] for s in new}
+        by: dict[int, list[tuple]] = {i: [] for i in touched}
+        for (iteration, kind, tool), (deltas,) in self.slots.iterator():
+            if iteration in touched:
+                by[iteration].append((kind, tool, json.loads(deltas)))
+        out = []
+        for iteration, found in by.items():
+            found.sort(key=lambda f: (SLOTS.index(f[0]), f[2][0][0]))
+            other = max((d[-1][0] for kind, _, d in found if kind != "thinking"), default=-1)
+            seen = sum(len(d) for _, _, d in found)
+            for place, (kind, tool, d) in enumerate(found, 1):
+                content = tool if kind == "tool_use" else "".join(v for _, v in d)
+                out.append((key[0], iteration, kind, place, content, kind == "thinking" and other > d[-1][0], seen))
+        yield pd.DataFrame(out, columns=[c.split()[0] for c in SLOT_OUT.split(", ")], dtype=object)
+
+    def close(self) -> None:
+        pass
+
+
+def slot_stream(deltas: DataFrame) -> DataFrame:
+    """``slots`` on a stream of (run_id, iteration, kind, value, arrival): after each micro-batch all slots of the iterations it touched, with the number of deltas ``seen`` in the iteration, by which the last state of a slot is told. See ``coalesce_stream`` for the state store."""
+    _state_store(deltas.sparkSession)
+    return deltas.groupBy("run_id").transformWithStateInPandas(SlotKeeper(), SLOT_OUT, "update", "none")
+
+
+def newest_slots(emitted: DataFrame) -> DataFrame:
+    """The last state of each iteration's slots out of what ``slot_stream`` has given."""
+    last = F.max("seen").over(W.partitionBy("run_id", "iteration"))
+    return emitted.withColumn("__last", last).where(F.col("seen") == F.col("__last")).drop("__last", "seen").distinct()
+
+
 def sse_deltas(lines: DataFrame, line: str = "line") -> DataFrame:
     """The JSON payloads of "data:" lines of a server-sent event log, up to [DONE], as (…, delta, finish_reason)."""
     data = F.regexp_extract(line, r"^data:\s*(.*)$", 1)

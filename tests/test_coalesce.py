@@ -74,3 +74,26 @@ def test_the_timer_flushes_what_no_event_does(spark, tmp_path):
     assert [r for r in rows if r[0] != "a"] == [("b", 0, "text_delta", "gone"), ("b", 1, "loop_end", None), ("c", 0, "text_delta", "x"), ("c", 1, "control", None)]
     # Whether both of run a's events were in one window depends on the clock; the timer sent them in any case.
     assert [r[2:] for r in rows if r[0] == "a"] == [("text_delta", "one "), ("tool_use_args_delta", "{}")]
+
+
+def test_slots_of_a_stream_equal_the_batch_on_shuffled_arrival(spark, tmp_path):
+    """Late thinking opens its slot again across micro-batches; one file comes twice."""
+    r = random.Random(6)
+    rows = [(r.choice("ab"), r.randrange(3), r.choice(["thinking", "text", "text", "tool_use"]), None, i) for i in range(90)]
+    rows = [(a, i, k, f"t{n % 4}" if k == "tool_use" else f"x{n} ", n) for a, i, k, _, n in rows]
+    schema = "run_id string, iteration long, kind string, value string, arrival long"
+    shuffled = r.sample(rows, len(rows))
+    # Run c: a text closes the thinking, which a delta in the third file opens again.
+    late = [("c", 0, "thinking", "z", 1002)]
+    early = [("c", 0, "thinking", "a", 1000), ("c", 0, "text", "b", 1001)]
+    rows += early + late
+    for i in (0, 30, 60, 30):
+        spark.createDataFrame(shuffled[i : i + 30] + {0: early, 60: late}.get(i, []), schema).coalesce(1).write.mode("append").json(f"{tmp_path}/in")
+    stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).json(f"{tmp_path}/in")
+    query = X.slot_stream(stream).writeStream.format("memory").queryName("slots_seen").outputMode("update").option("checkpointLocation", f"{tmp_path}/state").trigger(availableNow=True).start()
+    query.awaitTermination(90)
+    found = sorted(tuple(x) for x in X.newest_slots(spark.table("slots_seen")).collect())
+    batch = X.slots(spark.createDataFrame(rows, schema)).select("run_id", "iteration", "kind", "ord", "content", "completed")
+    assert found == sorted(tuple(x) for x in batch.collect()) and any(x[-1] for x in found)
+    states = spark.table("slots_seen").where("run_id = 'c' AND kind = 'thinking'").orderBy("seen").collect()
+    assert [(x.content, x.completed) for x in states] == [("a", True), ("az", False)]
