@@ -1,7 +1,10 @@
 import hashlib
 
 import numpy as np
+import public_tokenizers
+import pyarrow as pa
 import pytest
+import tiktoken
 
 from quern.llm import bpe, training_order as to
 
@@ -116,3 +119,26 @@ def test_a_repeated_file_name_is_an_error(spark, tmp_path):
     rows = spark.createDataFrame([("a", 0, "x"), ("a", 0, "y")], "file string, row long, text string").repartition(2)
     with pytest.raises(ValueError, match="name a"):
         to.write(rows, f"{tmp_path}/out", order=("file", "row"), length=64)
+
+
+SPACED = ["", None, " ", "  ", "a", " a  b", "a\n\n b\t\tc ", "a 　 b\x1c \x1cc", "\r\n\r\nx's  'll", "word " * 200 + "\n\n" + "word " * 200 + " end  ", "  x" * 50, "<|none|> a  <|none|>", "é  中  文😀"]
+
+
+def test_ids_are_those_of_the_whole_pattern(monkeypatch):
+    rng = np.random.default_rng(1)
+    letters = list("ab9é中.,'s   \n\n\t\r 　\x1c\x85")
+    texts = SPACED + ["".join(rng.choice(letters, n)) for n in rng.integers(0, 40, 3000)]
+    whole = tiktoken.Encoding("whole", pat_str=public_tokenizers.PATTERN, mergeable_ranks={b: i for i, b in bpe.codec(None).bytes_of.items()}, special_tokens={})
+    want = [whole.encode_ordinary(t or "") for t in texts]
+    for least in (0, to.LEAST_PART):
+        monkeypatch.setattr(to, "LEAST_PART", least)
+        assert [x.tolist() for x in to.encode(pa.array(texts))] == want
+
+
+def test_few_runs_of_white_space_need_no_look_ahead(monkeypatch):
+    used, encoder = [], to.encoder
+    monkeypatch.setattr(to, "encoder", lambda *x: used.append(x) or encoder(*x))
+    texts = ["one two\nthree.", "word " * 200 + "\n\n" + "word " * 200, " ", None]
+    got = list(to.encode(pa.array(texts)))
+    assert used == [(None, public_tokenizers.PATTERN.replace(to.AHEAD, ""))] and used[0][1] != public_tokenizers.PATTERN
+    assert [x.tolist() for x in got] == [np.frombuffer(x, dtype="<u4").tolist() for x in bpe.codec(None).encode(texts)]
