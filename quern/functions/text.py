@@ -274,10 +274,12 @@ def query_variants(query: Column, most: int = 4) -> Column:
     edges = "|".join(w for w in STOPWORDS if len(w) > 1)
     cut = lambda w: F.regexp_replace(F.regexp_replace(w, f"(?i)^(?:(?:{edges})(?=..))+", ""), f"(?i)(?<=..)(?:{edges})+$", "")
     words = F.transform(F.split(F.trim(query), DELIMITERS), lambda w: F.when(w.rlike("[\u4e00-\u9fff\u3400-\u4dbf]"), cut(w)).otherwise(w))
-    kept = F.filter(words, lambda w: (F.length(w) >= 2) & ~F.lower(w).isin(*STOPWORDS) & (F.lower(w) != F.lower(F.trim(query))))
-    lower = F.transform(kept, lambda w: F.lower(w))
-    first = F.filter(kept, lambda w, i: F.array_position(lower, F.lower(w)) == i + 1)
-    return F.slice(first, 1, most)
+    pairs = F.transform(words, lambda w: F.struct(w.alias("word"), F.lower(w).alias("low")))
+    # What a lambda refers to is worked out again for each element, unless it is a variable of another lambda: once bound, it is a value.
+    bound = lambda value, f: F.get(F.transform(F.array(value), f), F.lit(0))
+    kept = bound(F.lower(F.trim(query)), lambda whole: F.filter(pairs, lambda p: (F.length(p["word"]) >= 2) & ~p["low"].isin(*STOPWORDS) & (p["low"] != whole)))
+    first = lambda k: F.transform(F.slice(F.array_distinct(k["low"]), 1, most), lambda low: F.get(k["word"], (F.array_position(k["low"], low) - 1).cast("int")))
+    return bound(kept, first)
 
 
 def word_tokens(text: Column) -> Column:

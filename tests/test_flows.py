@@ -1,6 +1,9 @@
 """Stateful scans and streams against plain loops, and the cases of the operational model."""
 
 import os
+import random
+import re
+import threading
 
 import pytest
 from pyspark.sql import functions as F
@@ -248,6 +251,28 @@ def test_query_words_of_cjk(spark):
     assert [r.w for r in df.select(T.query_variants(F.col("q")).alias("w")).collect()] == [["优化排序", "Sort"], [], None, []]
 
 
+def test_query_words_of_long_texts(spark):
+    """The work grows with the words, not with their square: a text of 40,000 words, and many of 300, within a minute."""
+    r = random.Random(5)
+    texts = [" ".join(r.choice(("the", "Please", f"w{r.randrange(30)}", f"W{r.randrange(30)}", "排序", "x,y")) for _ in range(300)) for _ in range(400)]
+    texts += ["the " * 40_000 + "Last last one", " ".join(f"w{i}" for i in range(40_000)), "  alone ", "", " ", "İx iẋ"]
+    want = []
+    for t in texts:
+        found = {}
+        for w in re.split(r"[ ,]+", t.strip(" ")):
+            if len(w) >= 2 and w.lower() not in T.STOPWORDS and w.lower() != t.strip(" ").lower():
+                found.setdefault(w.lower(), w)
+        want.append(list(found.values())[:4])
+    df = spark.createDataFrame(list(enumerate(texts)), "i int, q string").repartition(50).select("i", T.query_variants(F.col("q")).alias("w"))
+    late = threading.Timer(60, spark.sparkContext.cancelAllJobs)
+    late.start()
+    try:
+        got = {row.i: row.w for row in df.collect()}
+    finally:
+        late.cancel()
+    assert [got[i] for i in range(len(texts))] == want
+
+
 def test_titles_without_letters_are_no_duplicates(spark):
     pages = spark.createDataFrame([(1, "http://a/1", ""), (2, "http://a/2", ""), (3, "http://a/3", "?!"), (4, "http://b/4", "Hello, world"), (5, "http://c/5", "hello world!"), (6, "http://a/1/", "New text")], "id long, url string, title string")
     assert ids(search.near_duplicates(pages, None, S.normal_url(F.col("url")), "title", "id")) == [1, 2, 3, 4]
