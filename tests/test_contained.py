@@ -45,3 +45,18 @@ def test_filter_equals_the_loop(spark):
 def test_empty(spark):
     none = spark.createDataFrame([], "position long, text string")
     assert contained.not_contained(none, none, "text").collect() == []
+
+
+def test_nothing_large_is_broadcast(spark, tmp_path):
+    """Spark takes the marks of a file's texts for a fraction of their size; a broadcast of them ends the driver."""
+    spark.createDataFrame([(str(i), t) for i, t in enumerate(sorted(set(texts(4, 100))))], "key string, text string").write.parquet(f"{tmp_path}/texts")
+    df = contained.checkpointed(spark.read.parquet(f"{tmp_path}/texts"))
+    plan = contained.contained_pairs(df)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("SortMergeJoin") == 4 and "Broadcast" not in plan
+
+
+def test_marks_of_long_texts_are_rare():
+    """Texts of the same few words share short grams, but hardly one of the grams that long texts are looked for by."""
+    r = random.Random(6)
+    seen = [set(contained.marks("".join(r.choice(("the", "ing", "an", "er", "tion", " ")) for _ in range(200)), [64])[64].tolist()) for _ in range(300)]
+    assert max(sum(m in x for x in seen) for m in seen[0]) <= 2
