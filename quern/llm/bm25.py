@@ -8,12 +8,15 @@ document is read again, however many queries follow.
 
 Search: queries go to the tasks in broadcast blocks of bounded size, and a block is one pass over the index (its terms'
 document frequencies are summed over the parts first, from the columns of terms alone). A task puts parts together to shards
-of SHARD documents. Every list has a maximum, and a long one a maximum for each block of WIDTH documents. For a query, the
-long lists are ordered, and WAND's pivot is the list at which the maxima together reach the threshold, the k-th best score the
-task has seen: no document can be a result by the lists before the pivot alone, so only the cursors of the others walk. A
-document found by them is looked up in the resting lists only if its score so far and the maxima of its block in those lists
-reach the threshold; all its other postings there are skipped. Each shard starts with the threshold that the task's earlier
-shards have raised, and the first one takes its own from the documents with the highest bounds.
+of SHARD documents. Every list has a maximum, and one that stands in most documents a maximum for each block of WIDTH documents.
+For a query, these long lists are ordered, and WAND's pivot is the list at which the maxima together reach the threshold, the
+k-th best score the task has seen: no document can be a result by the lists before the pivot alone, so they rest. A document
+found by the others is looked up in the resting lists only if its score so far and the maxima of its block in those lists reach
+the threshold; all its other postings there are skipped. Of the others, the frequent ones are rows of a matrix in single
+precision, which one product adds up for many queries (queries with the same most frequent term side by side), and the short ones
+are walked posting by posting. Documents that may reach the threshold within the product's error are scored again in double
+precision, so the results are exact. Each shard starts with the threshold that the task's earlier shards have raised, and the
+first one takes its own from the documents with the highest bounds. The work still grows with queries times documents.
 The tasks' best k of each query are merged. All weights come from global statistics, so the merge is exact.
 
 Defined results
@@ -39,6 +42,8 @@ K1, B = 1.2, 0.75
 SHARD, WIDTH = 8192, 8
 #: Queries and bytes of their texts in a block, about; documents in a task, about, and tasks at least.
 BLOCK_QUERIES, QUERY_BYTES, TASK_DOCS, TASKS = 8192, 48 << 20, 20_000, 6
+#: A list with a posting in every SPARSE documents is a row of a shard's matrix, DENSE lists at most; queries that are multiplied by it together, and that are walked together.
+SPARSE, DENSE, TOGETHER, FEW = 16, 1024, 256, 8
 _TERM = re.compile(r"\w+")
 _SEP = "\u0000"
 PART = "n long, tokens long, ids binary, lengths binary, words string, sizes binary, docs binary, counts binary"
@@ -65,6 +70,7 @@ class Block:
         self.at = np.concatenate([[0], np.cumsum([len(x) for x in lists])]).astype(np.int64)
         self.cols = np.concatenate(lists) if lists else np.zeros(0, np.int32)
         self.idf, self.mean, self.shard, self.width = None, 1.0, SHARD, WIDTH
+        self.order = np.arange(len(ids))
 
     def __getstate__(self):
         return {**self.__dict__, "words": _SEP.join(self.words)}
@@ -76,6 +82,9 @@ class Block:
     def weigh(self, df: np.ndarray, n: int, length: int) -> None:
         self.idf = np.log1p((n - df + 0.5) / (df + 0.5))
         self.mean = length / n if n and length else 1.0
+        # Queries with the same most frequent term stand together, as they have many others in common.
+        common = [int(c[df[c].argmax()]) if len(c) else -1 for c in (self.cols[a:b] for a, b in zip(self.at[:-1], self.at[1:]))]
+        self.order = np.argsort(np.array(common, dtype=np.int64), kind="stable")
 
 
 def index(docs: DataFrame, folder: str) -> DataFrame:
@@ -117,77 +126,157 @@ def index(docs: DataFrame, folder: str) -> DataFrame:
     return docs.sparkSession.read.schema(PART).parquet(folder)
 
 
+class Best:
+    """The best k scores and documents of each query, in order; -inf where there are fewer."""
+
+    def __init__(self, queries: int, k: int):
+        self.scores, self.docs = np.full((queries, k), -np.inf), np.zeros((queries, k), dtype=np.int64)
+
+    def of(self, query: int) -> tuple[np.ndarray, np.ndarray]:
+        there = self.scores[query] > -np.inf
+        return self.scores[query, there], self.docs[query, there]
+
+    def put(self, queries: np.ndarray, scores: np.ndarray, docs: np.ndarray) -> None:
+        """Add results; of an id the best score counts, ties go to the smaller id."""
+        k, rows = self.scores.shape[1], np.unique(queries)
+        there = self.scores[rows] > -np.inf
+        queries = np.concatenate([queries, np.repeat(rows, k).reshape(there.shape)[there]])
+        scores, docs = np.concatenate([scores, self.scores[rows][there]]), np.concatenate([docs, self.docs[rows][there]])
+        order = np.lexsort((-scores, docs, queries))
+        once = np.ones(len(order), dtype=bool)
+        once[1:] = (np.diff(queries[order]) != 0) | (np.diff(docs[order]) != 0)
+        order = order[once]
+        order = order[np.lexsort((docs[order], -scores[order], queries[order]))]
+        queries, scores, docs = queries[order], scores[order], docs[order]
+        rank = np.arange(len(queries)) - np.searchsorted(queries, queries)
+        mine = rank < k
+        self.scores[rows] = -np.inf
+        self.scores[queries[mine], rank[mine]], self.docs[queries[mine], rank[mine]] = scores[mine], docs[mine]
+
+
 class Shard:
     """The lists of one shard for a block's terms. ids, lengths: of its documents; terms, docs, counts: its postings, with the documents of each term ascending."""
 
     def __init__(self, block: Block, ids: np.ndarray, lengths: np.ndarray, terms: np.ndarray, docs: np.ndarray, counts: np.ndarray):
         self.block, self.ids, n = block, ids, len(ids)
         order = np.argsort(terms, kind="stable")
-        terms, self.docs, counts = terms[order], docs[order], counts[order]
-        norm = K1 * (1 - B + B * lengths / block.mean)
-        self.weight = block.idf[terms] * counts * (K1 + 1) / (counts + norm[self.docs])
+        terms, self.docs, counts = terms[order], docs[order].astype(np.intp), counts[order]
+        self.norm = K1 * (1 - B + B * lengths / block.mean)
+        self.weight = block.idf[terms] * counts * (K1 + 1) / (counts + self.norm[self.docs])
         self.start = np.searchsorted(terms, np.arange(len(block.idf) + 1))
         size = np.diff(self.start)
-        # The greatest weight of every list, and of every block of the long ones: those with a posting in each block, on average.
-        # (In shorter lists most blocks hold one posting at most, which is its own maximum.) Long lists have a cell a document.
+        # Lists in most documents have a cell a document and their greatest weight in every block: they can rest. Other frequent lists
+        # are rows of a matrix in single precision; what it finds is scored again. The rest are walked posting by posting.
         self.top = np.zeros(len(size))
         self.top[size > 0] = np.maximum.reduceat(self.weight, self.start[:-1][size > 0]) if len(terms) else 0.0
-        self.long = size * block.width > n
-        self.row = np.cumsum(self.long) - 1
         width = block.width
-        self.cells = np.zeros((int(self.long.sum()), -(-n // width) * width))
+        self.span = -(-n // width) * width
+        self.long = (size * width > n) & (size * 2 > n)
+        self.row = np.cumsum(self.long) - 1
+        self.cells = np.zeros((int(self.long.sum()), self.span))
         inside = self.long[terms]
         self.cells[self.row[terms[inside]], self.docs[inside]] = self.weight[inside]
         self.tops = self.cells.reshape(len(self.cells), -(-n // width), width).max(axis=2, initial=0.0)
+        often = np.sort(size[~self.long])[::-1][:DENSE]
+        self.dense = ~self.long & (size * SPARSE > n) & (size >= often[-1] if len(often) == DENSE else True)
+        self.line = np.cumsum(self.dense) - 1
+        self.lines = np.zeros((int(self.dense.sum()), self.span), dtype=np.float32)
+        inside = self.dense[terms]
+        self.lines[self.line[terms[inside]], self.docs[inside]] = self.weight[inside]
+        most = int(counts[inside].max(initial=0))
+        self.counts = np.zeros(self.lines.shape, dtype=np.uint16 if most < 65536 else np.uint32)
+        self.counts[self.line[terms[inside]], self.docs[inside]] = counts[inside]
+        self.once = len(np.unique(ids)) == n
         #: Postings of the lists of all queries, and how many of them were read.
         self.posted = self.walked = 0
 
     def search(self, query: int, k: int, scores: np.ndarray, docs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """The best k of ``scores`` and ``docs`` (the best so far) and of this shard."""
-        block, n = self.block, len(self.ids)
-        cols = block.cols[block.at[query] : block.at[query + 1]]
-        size = self.start[cols + 1] - self.start[cols]
-        self.posted += int(size.sum())
-        least = scores[k - 1] if len(scores) >= k else -np.inf
-        # The pivot: long lists are put first, those with the most postings for their maximum at the front; up to the pivot
-        # all maxima together stay below the threshold, so no document can be a result by these lists alone.
-        long = self.long[cols]
-        first = cols[long]
-        first = first[np.argsort(self.top[first] / np.maximum(size[long], 1), kind="stable")]
-        before = np.cumsum(self.top[first]) < (least if least > -np.inf else np.inf)
-        resting = self.row[first[before]]
-        # Cursors of the pivot's list and those behind it walk: short lists posting by posting, long ones as rows of cells.
-        short = cols[~long]
-        sizes = size[~long]
-        take = _taken(self.start[short], sizes)
-        sure = np.bincount(self.docs[take], weights=self.weight[take], minlength=n) if len(take) else np.zeros(n)
-        for r in self.row[first[~before]].tolist():
-            sure += self.cells[r, :n]
-        self.walked += len(take) + int(size[long].sum() - (self.start[first[before] + 1] - self.start[first[before]]).sum())
-        # Block maxima of the resting lists: a document is looked up in them only if with these it reaches the threshold.
-        bound = sure + np.repeat(self.tops[resting].sum(axis=0), block.width)[:n] if len(resting) else sure
-        if least == -np.inf and n > 4 * k:
-            # A first threshold: the k-th exact score of the documents with the highest bounds, if their ids differ.
-            some = np.argpartition(-bound, 2 * k)[: 2 * k]
-            best: dict[int, float] = {}
-            for i, s in zip(self.ids[some].tolist(), (sure[some] + self.cells[np.ix_(resting, some)].sum(axis=0)).tolist()):
-                best[i] = max(s, best.get(i, 0.0))
-            if len(best) >= k:
-                least = np.round(sorted(best.values())[-k], 9)
-        found = np.flatnonzero((bound >= least - 1e-8) & (bound > 0))
-        self.walked += len(found) * len(resting)
-        if not len(found):
-            return scores, docs
-        exact = np.round(sure[found] + (self.cells[np.ix_(resting, found)].sum(axis=0) if len(resting) else 0.0), 9)
-        keep = (exact > 0) & (exact >= least)
-        scores, docs = np.concatenate([scores, exact[keep]]), np.concatenate([docs, self.ids[found[keep]]])
-        best = np.lexsort((docs, -scores))
-        scores, docs = scores[best], docs[best]
-        if len(docs) > 1:
-            _, once = np.unique(docs, return_index=True)  # the first of an id is its best
-            once.sort()
-            scores, docs = scores[once], docs[once]
-        return scores[:k], docs[:k]
+        best = Best(len(self.block.ids), k)
+        best.scores[query, : len(scores)], best.docs[query, : len(docs)] = scores, docs
+        self.search_all(np.array([query]), best)
+        return best.of(query)
+
+    def search_all(self, queries: np.ndarray, best: Best) -> None:
+        """Put the results of several queries in this shard into ``best``. What neighbours have in common costs less."""
+        block, n, k = self.block, len(self.ids), best.scores.shape[1]
+        for at in range(0, len(queries), TOGETHER):
+            some = queries[at : at + TOGETHER]
+            count = block.at[some + 1] - block.at[some]
+            cols, of = block.cols[_taken(block.at[some], count)], np.repeat(np.arange(len(some)), count)
+            size = self.start[cols + 1] - self.start[cols]
+            least = best.scores[some, k - 1]
+            self.posted += int(size.sum())
+            # The pivot: long lists are put first, those with the most postings for their maximum at the front; up to the pivot
+            # all maxima together stay below the threshold, so no document can be a result by these lists alone.
+            long = np.flatnonzero(self.long[cols])
+            long = long[np.lexsort((self.top[cols[long]] / size[long], of[long]))]
+            sums = np.concatenate([[0.0], np.cumsum(self.top[cols[long]])])
+            before = sums[1:] - sums[np.searchsorted(of[long], of[long])] < np.where(least > -np.inf, least - 1e-8, np.inf)[of[long]]
+            rests, walks = np.zeros((len(some), len(self.cells))), np.zeros((len(some), len(self.cells)))
+            rests[of[long[before]], self.row[cols[long[before]]]] = 1.0
+            walks[of[long[~before]], self.row[cols[long[~before]]]] = 1.0
+            self.walked += int(size.sum() - size[long[before]].sum())
+            tops = rests @ self.tops
+            # Frequent lists: rows of the matrix, added up for all queries at once. Each sum has this relative error at most.
+            dense = np.flatnonzero(self.dense[cols])
+            used, place = np.unique(self.line[cols[dense]], return_inverse=True)
+            if 2 * len(used) > len(self.lines):
+                used, place = np.arange(len(self.lines)), self.line[cols[dense]]
+            mine = np.zeros((len(some), len(used)), dtype=np.float32)
+            mine[of[dense], place] = 1.0
+            product = mine @ (self.lines if len(used) == len(self.lines) else self.lines[used])
+            error = 3e-7 * (len(used) + 4)
+            # Short lists are walked posting by posting.
+            short = np.flatnonzero(~self.long[cols] & ~self.dense[cols] & (size > 0))
+            ends = np.searchsorted(of[short], np.arange(len(some) + 1))
+            found = []
+            for first in range(0, len(some), FEW):
+                few = slice(first, min(first + FEW, len(some)))
+                lists = short[ends[few.start] : ends[few.stop]]
+                take = _taken(self.start[cols[lists]], size[lists])
+                to = self.docs[take]
+                to += np.repeat((of[lists] - first) * self.span, size[lists])
+                shape = (few.stop - first, self.span)
+                sure = np.bincount(to, weights=self.weight[take], minlength=shape[0] * shape[1]).astype(np.float64, copy=False).reshape(shape)  # of nothing: whole numbers
+                if walks[few].any():
+                    sure += walks[few] @ self.cells
+                about = sure + product[few]
+                # Block maxima of the resting lists: a document is looked up in them only if with these it reaches the threshold.
+                bound = about + np.repeat(tops[few], block.width, axis=1) if rests[few].any() else about
+                if n > 4 * k and (least[few] == -np.inf).any():
+                    least[few] = np.maximum(least[few], self._first_thresholds(about, bound, rests[few], k, error))
+                hit = np.flatnonzero(bound >= np.maximum((least[few] - 1e-8) * (1 - error), 1e-300)[:, None])
+                found.append((hit // self.span + first, hit % self.span, sure.ravel()[hit], about.ravel()[hit]))
+            of_hit, doc, sure, about = (np.concatenate(x) for x in zip(*found))
+            self.walked += int(rests.sum(axis=1)[of_hit].sum())
+            rested = (rests[of_hit] * self.cells[:, doc].T).sum(axis=1)
+            near = (about + rested) * (1 + error) >= least[of_hit] - 1e-8
+            of_hit, doc, exact = of_hit[near], doc[near], (sure + rested)[near]
+            # What is left gets the dense lists' weights in double precision.
+            firsts = np.searchsorted(of[dense], np.arange(len(some) + 1))
+            times = (firsts[1:] - firsts[:-1])[of_hit]
+            term, there = cols[dense[_taken(firsts[of_hit], times)]], np.repeat(doc, times)
+            held = self.counts[self.line[term], there].astype(np.float64)
+            weight = block.idf[term] * held * (K1 + 1) / (held + self.norm[there])
+            exact = np.round(exact + np.bincount(np.repeat(np.arange(len(doc)), times), weights=weight, minlength=len(doc)), 9)
+            keep = (exact > 0) & (exact >= least[of_hit])
+            best.put(some[of_hit[keep]], exact[keep], self.ids[doc[keep]])
+
+    def _first_thresholds(self, about: np.ndarray, bound: np.ndarray, rests: np.ndarray, k: int, error: float) -> np.ndarray:
+        """For each query a bound from below of its k-th score: of the documents with the highest bounds, if their ids differ."""
+        some = np.argpartition(-bound[:, : len(self.ids)], 2 * k, axis=1)[:, : 2 * k]
+        scores = (np.take_along_axis(about, some, axis=1) + np.einsum("qr,rqd->qd", rests, self.cells[:, some])) * (1 - error) - 1e-8
+        if self.once:
+            return np.partition(scores, -k, axis=1)[:, -k]
+        out = np.full(len(some), -np.inf)
+        for i, (ids, s) in enumerate(zip(self.ids[some].tolist(), scores.tolist())):
+            most: dict[int, float] = {}
+            for x, y in zip(ids, s):
+                most[x] = max(y, most.get(x, -np.inf))
+            if len(most) >= k:
+                out[i] = sorted(most.values())[-k]
+        return out
 
 
 def _block_of(queries: DataFrame, blocks: int, number: int) -> Block:
@@ -260,14 +349,13 @@ def _searched(made: DataFrame, shared, k: int) -> DataFrame:
 
     def run(batches):
         block: Block = shared.value
-        best = [(np.zeros(0), np.zeros(0, np.int64))] * len(block.ids)
+        best = Best(len(block.ids), k)
         for shard in shards_of(batches, block):
-            for q in range(len(best)):
-                best[q] = shard.search(q, k, *best[q])
-        for first in range(0, len(best), 1000):
-            some = best[first : first + 1000]
-            at = np.repeat(np.arange(first, first + len(some)), [len(s) for s, _ in some])
-            yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(block.ids[at]), pa.array(np.concatenate([d for _, d in some])), pa.array(np.concatenate([s for s, _ in some]))], names=["query", "query_id", "doc_id", "score"])
+            shard.search_all(block.order, best)
+        for first in range(0, len(block.ids), 1000):
+            at, place = np.nonzero(best.scores[first : first + 1000] > -np.inf)
+            at += first
+            yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(block.ids[at]), pa.array(best.docs[at, place]), pa.array(best.scores[at, place])], names=["query", "query_id", "doc_id", "score"])
 
     return made.mapInArrow(run, "query long, query_id long, doc_id long, score double")
 

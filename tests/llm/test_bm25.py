@@ -77,3 +77,39 @@ def test_postings_of_resting_lists_are_skipped():
         assert docs[0] == q and len(docs) == 10
         shard.search(q, 10, scores, docs)
     assert shard.walked < 0.6 * shard.posted
+
+
+@pytest.mark.parametrize("sparse,dense,together,few,width", [(1000, 1024, 256, 8, 8), (1000, 3, 5, 2, 1), (2, 1024, 7, 3, 8), (16, 1024, 256, 8, 100)])
+def test_many_queries_at_once_equal_all_scores(monkeypatch, sparse, dense, together, few, width):
+    """Scores that differ by less than single precision, counts beyond 16 bits and repeated ids; shards searched one after the other."""
+    for name, value in (("SPARSE", sparse), ("DENSE", dense), ("TOGETHER", together), ("FEW", few), ("WIDTH", width)):
+        monkeypatch.setattr(bm25, name, value)
+    rng = np.random.default_rng(7)
+    n, words, asked = 600, 60, 40
+    there = rng.random((words, n)) < np.linspace(0.02, 0.9, words)[:, None]
+    there[:, 100:160] = there[:, 100:101]
+    there[:, 40] = there[:, 41] = False
+    counts = np.where(there, rng.integers(1, 4, (words, n)), 0)
+    counts[:, 100:160] = counts[:, 100:101]
+    counts[-1, 300] = 70_000
+    lengths = 10**8 + 2 * rng.permutation(n)  # neighbours differ by 2e-8 of their length
+    ids = np.arange(n) // 2 * 7 if few == 3 else rng.permutation(n)
+    block = bm25.Block(np.arange(asked), ["\0".join(f"w{w:02d}" for w in rng.choice(words, rng.integers(0, 40), replace=False)) for _ in range(asked)])
+    mine = np.array([int(w[1:]) for w in block.words])
+    block.weigh((counts[mine] > 0).sum(axis=1), n, int(lengths.sum()))
+    best = bm25.Best(asked, 10)
+    for part in (slice(0, 350), slice(350, 600)):
+        term, doc = np.nonzero(counts[mine][:, part])
+        shard = bm25.Shard(block, ids[part], lengths[part], term, doc, counts[mine][:, part][term, doc])
+        shard.search_all(block.order, best)
+    norm = 1.2 * (0.25 + 0.75 * lengths / block.mean)
+    weight = block.idf[:, None] * counts[mine] * 2.2 / (counts[mine] + norm)
+    for q in range(asked):
+        total, most = np.round(weight[block.cols[block.at[q] : block.at[q + 1]]].sum(axis=0), 9), {}
+        for i, s in zip(ids.tolist(), total.tolist()):
+            if s > 0:
+                most[i] = max(s, most.get(i, 0.0))
+        scores, docs = best.of(q)
+        want = sorted((-s, i) for i, s in most.items())[:10]
+        assert np.allclose(scores, [-s for s, _ in want], atol=2e-9, rtol=0)
+        assert all(abs(most[i] - s) <= 2e-9 for i, s in zip(docs.tolist(), scores.tolist())) and len(set(docs.tolist())) == len(want)
